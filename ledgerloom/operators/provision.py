@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.columns import calendar_label, percent, ratio
 from ledgerloom.spec import ACTIVE, DEFAULT, STAGE_1, STAGE_2, STAGE_3, PanelSpec
@@ -60,68 +61,60 @@ def pd_horizon(fact: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def _provision_cells(
-    dim: DataFrame, fact: DataFrame, event: DataFrame, spec: PanelSpec
-) -> DataFrame:
+def provision(dim: DataFrame, fact: DataFrame, event: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Exposure times default probability times loss, per period, stage and band."""
     # One row per score band: as many as the spec has bands, plus unknown.
-    rates = F.broadcast(pd_lifetime(dim, event).join(pd_horizon(fact, spec), "credit_score_band", "left"))
+    rates = F.broadcast(
+        pd_lifetime(dim, event).join(pd_horizon(fact, spec), "credit_score_band", "left")
+    )
     probability = (
         F.when(F.col("ifrs9_stage") == STAGE_1, F.col("pd_12m"))
         .when(F.col("ifrs9_stage") == STAGE_2, F.col("pd_lifetime"))
         .otherwise(F.lit(1.0))
     )
     loss = F.lit(float(spec.loss_given_default))
+    exposure, provided = F.col("exposure"), F.col("provision")
     return (
         stage_cells(fact, spec)
         .join(rates, "credit_score_band", "left")
+        .withColumn("exposure", exposure.cast("double"))
         .withColumn("probability_of_default", probability)
-        .withColumn(
+        .withColumn("provision", exposure * F.col("probability_of_default") * loss)
+        .select(
+            "period",
+            calendar_label(F.col("period"), spec).alias("reporting_quarter"),
+            "ifrs9_stage",
+            "credit_score_band",
+            "loans",
+            "exposure",
+            "probability_of_default",
+            loss.alias("loss_given_default_assumed"),
             "provision",
-            F.col("exposure").cast("double") * F.col("probability_of_default") * loss,
+            percent(provided, exposure).alias("coverage_ratio_pct"),
         )
     )
 
 
-def provision(dim: DataFrame, fact: DataFrame, event: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Exposure times default probability times loss, per period, stage and band."""
-    exposure = F.col("exposure").cast("double")
-    return _provision_cells(dim, fact, event, spec).select(
-        "period",
-        calendar_label(F.col("period"), spec).alias("reporting_quarter"),
-        "ifrs9_stage",
-        "credit_score_band",
-        "loans",
-        exposure.alias("exposure"),
-        "probability_of_default",
-        F.lit(float(spec.loss_given_default)).alias("loss_given_default_assumed"),
-        "provision",
-        percent(F.col("provision"), exposure).alias("coverage_ratio_pct"),
-    )
-
-
-def provision_movement(
-    dim: DataFrame, fact: DataFrame, event: DataFrame, spec: PanelSpec
-) -> DataFrame:
+def provision_movement(provisions: DataFrame, spec: PanelSpec) -> DataFrame:
     """Opening, charge, release and closing provision per period.
 
-    A period has at most stages x bands cells. They are added in a fixed order,
-    so that a sum of doubles is the same on every run.
+    Reads the provision report. A period has at most stages x bands cells; they
+    are added in a fixed order, so the sum of doubles is the same on every run.
     """
     in_cell_order = F.array_sort(
-        F.collect_list(F.struct("ifrs9_stage", "credit_score_band", "provision"))
-    )
-    by_period = (
-        _provision_cells(dim, fact, event, spec)
-        .groupBy("period")
-        .agg(
-            F.aggregate(
-                F.filter(in_cell_order, lambda cell: cell["provision"].isNotNull()),
-                F.lit(None).cast("double"),
-                lambda total, cell: F.coalesce(total, F.lit(0.0)) + cell["provision"],
-            ).alias("closing_provision"),
-            F.sum("exposure").cast("double").alias("exposure"),
+        F.collect_list(
+            F.when(
+                F.col("provision").isNotNull(),
+                F.struct("ifrs9_stage", "credit_score_band", "provision"),
+            )
         )
     )
+    by_period = provisions.groupBy("period").agg(
+        F.aggregate(
+            in_cell_order, F.lit(0.0), lambda total, cell: total + cell["provision"]
+        ).alias("closing_provision"),
+        _exposure_sum(F.col("exposure"), spec).cast("double").alias("exposure"),
+    )
     opening = F.coalesce(F.lag("closing_provision").over(Window.orderBy("period")), F.lit(0.0))
     closing, start = F.col("closing_provision"), F.col("opening_provision")
     increase = F.greatest(closing - start, F.lit(0.0))
@@ -138,3 +131,18 @@ def provision_movement(
         percent(closing, F.col("exposure")).alias("coverage_ratio_pct"),
         F.round(start + increase - decrease - closing, 6).alias("reconciliation_error"),
     )
+
+
+def stage2_share(provisions: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Share of each period's exposure in Stage 2; NULL without any."""
+    exposure = F.col("exposure")
+    in_stage_2 = F.when(F.col("ifrs9_stage") == STAGE_2, exposure)
+    return provisions.groupBy("period").agg(
+        percent(_exposure_sum(in_stage_2, spec), _exposure_sum(exposure, spec)).alias(
+            "stage2_share_pct"
+        )
+    )
+
+
+def _exposure_sum(exposure: Column, spec: PanelSpec) -> Column:
+    return F.sum(exposure.cast(T.DecimalType(28, spec.money_scale)))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.portfolio import balance_where, segment_cells
 from ledgerloom.spec import (
     ACTIVE,
     DEFAULT,
@@ -134,31 +133,46 @@ def balance_rise(spec: PanelSpec) -> Column:
     return (rise > spec.balance_rise_tolerance) & (F.col("status_code") == ACTIVE)
 
 
-def reconciliation(fact: DataFrame) -> DataFrame:
-    """Segment total less portfolio total, per dimension and period, exact."""
-    segments = (
-        segment_cells(fact)
-        .groupBy("segment_type", "period")
-        .agg(F.sum("active_balance").alias("segment_total"))
+def reconciliation(segments: DataFrame, summary: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Segment total less portfolio total, per dimension and period.
+
+    Compares the two reports. Money is added as a decimal, so that agreement
+    is exactly zero.
+    """
+    money = T.DecimalType(28, spec.money_scale)
+    totals = segments.groupBy("segment_type", "period").agg(
+        F.sum(F.col("active_balance").cast(money)).alias("segment_total")
     )
-    portfolio = fact.groupBy("period").agg(balance_where(ACTIVE).alias("portfolio_total"))
-    return segments.join(portfolio, "period").select(
+    book = summary.select("period", F.col("active_balance").cast(money).alias("portfolio_total"))
+    return totals.join(book, "period").select(
         "segment_type",
         "period",
         (F.col("segment_total") - F.col("portfolio_total")).cast("double").alias("difference"),
     )
 
 
-def reconciliation_by_dimension(fact: DataFrame) -> DataFrame:
-    return reconciliation(fact).groupBy("segment_type").agg(
-        F.max(F.abs("difference")).alias("max_abs_difference")
+def reconciliation_by_dimension(
+    segments: DataFrame, summary: DataFrame, spec: PanelSpec
+) -> DataFrame:
+    return (
+        reconciliation(segments, summary, spec)
+        .groupBy("segment_type")
+        .agg(F.max(F.abs("difference")).alias("max_abs_difference"))
     )
 
 
 def rule_counts(
-    dim: DataFrame, fact: DataFrame, periods: DataFrame, spec: PanelSpec
+    dim: DataFrame,
+    fact: DataFrame,
+    periods: DataFrame,
+    segments: DataFrame,
+    summary: DataFrame,
+    spec: PanelSpec,
 ) -> DataFrame:
-    """(rule_name, affected_rows) of the ten rules."""
+    """(rule_name, affected_rows) of the ten rules.
+
+    Two scans of the fact: one for all rules on rows, one for duplicate keys.
+    """
     status = F.col("status_code")
     by_row = with_prior(fact).agg(
         F.count_if(F.col("current_balance") < 0).alias("negative_balance"),
@@ -181,7 +195,7 @@ def rule_counts(
             F.col("property_type").isNull() | (F.col("property_type") == OTHER_PROPERTY)
         ).alias("missing_property_type"),
     )
-    unreconciled = reconciliation(fact).agg(
+    unreconciled = reconciliation(segments, summary, spec).agg(
         F.count_if(F.abs("difference") > spec.reconciliation_tolerance).alias(
             "segment_balance_reconciliation"
         )
@@ -197,9 +211,14 @@ def rule_counts(
 
 
 def rule_findings(
-    dim: DataFrame, fact: DataFrame, periods: DataFrame, spec: PanelSpec
+    dim: DataFrame,
+    fact: DataFrame,
+    periods: DataFrame,
+    segments: DataFrame,
+    summary: DataFrame,
+    spec: PanelSpec,
 ) -> DataFrame:
-    return rule_counts(dim, fact, periods, spec).select(
+    return rule_counts(dim, fact, periods, segments, summary, spec).select(
         "rule_name",
         _severity(RULE_SEVERITY, F.col("rule_name")).alias("severity"),
         _outcome(F.col("affected_rows")).alias("status"),

@@ -168,14 +168,10 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "provision": lambda c: provision.provision(
         c.warehouse.dim, c.warehouse.fact, c.warehouse.event, c.spec
     ),
-    "provision_movement": lambda c: provision.provision_movement(
-        c.warehouse.dim, c.warehouse.fact, c.warehouse.event, c.spec
-    ),
+    "provision_movement": lambda c: c.store.provision_movement(),
     # quality
-    "dq_rules": lambda c: quality.rule_findings(
-        c.warehouse.dim, c.warehouse.fact, c.warehouse.periods, c.spec
-    ),
-    "dq_reconciliation": lambda c: quality.reconciliation_by_dimension(c.warehouse.fact),
+    "dq_rules": lambda c: c.store.rules(),
+    "dq_reconciliation": lambda c: c.store.reconciliation_by_dimension(),
     "dq_score": lambda c: quality.quality_score(quality.latest_run(c.register, QUALITY_PHASE)),
     "dq_history": lambda c: quality.register_history(c.register),
     "dq_latest": lambda c: quality.failing_rules(c.register),
@@ -185,7 +181,7 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
         c.report(SEGMENTS), c.report(SUMMARY), c.spec
     ),
     "top_mover_default": lambda c: commentary.top_mover_default(c.report(SEGMENTS), c.spec),
-    "stage2_share": lambda c: commentary.stage2_share(c.warehouse.fact, c.spec),
+    "stage2_share": lambda c: c.store.stage2_share(),
     "commentary_lines": lambda c: c.store.commentary_lines(c.register),
     # dashboard datasets
     "slicer_values": lambda c: insights.slicer_values(c.warehouse.dim),

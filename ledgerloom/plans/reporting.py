@@ -21,7 +21,7 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "vw_loss_recovery": lambda w: loss.loss_exposure(w.event, w.spec),
     "vw_provision": lambda w: provision.provision(w.dim, w.fact, w.event, w.spec),
     "vw_provision_movement": lambda w: provision.provision_movement(
-        w.dim, w.fact, w.event, w.spec
+        provision.provision(w.dim, w.fact, w.event, w.spec), w.spec
     ),
 }
 
@@ -57,8 +57,35 @@ class ReportStore:
         self._written: dict[str, DataFrame] = {}
 
     def report(self, name: str) -> DataFrame:
+        if name == "vw_provision_movement":
+            return self._once(name, self.provision_movement)
         return self._once(name, lambda: REPORTS[name](self.warehouse))
 
+    def provision_movement(self) -> DataFrame:
+        return provision.provision_movement(self.report("vw_provision"), self.warehouse.spec)
+
+    def stage2_share(self) -> DataFrame:
+        return provision.stage2_share(self.report("vw_provision"), self.warehouse.spec)
+
+    def reconciliation_by_dimension(self) -> DataFrame:
+        return quality.reconciliation_by_dimension(
+            self.report("vw_segment_performance"),
+            self.report("vw_portfolio_summary"),
+            self.warehouse.spec,
+        )
+
+    def rules(self) -> DataFrame:
+        """Findings of the ten rules, evaluated now."""
+        w = self.warehouse
+        return quality.rule_findings(
+            w.dim,
+            w.fact,
+            w.periods,
+            self.report("vw_segment_performance"),
+            self.report("vw_portfolio_summary"),
+            w.spec,
+        )
+
     def ingest_findings(self) -> DataFrame:
         w = self.warehouse
         return self._once(
@@ -66,10 +93,7 @@ class ReportStore:
         )
 
     def rule_findings(self) -> DataFrame:
-        w = self.warehouse
-        return self._once(
-            "rule_findings", lambda: quality.rule_findings(w.dim, w.fact, w.periods, w.spec)
-        )
+        return self._once("rule_findings", self.rules)
 
     def register(self, name: str, runs: list[tuple[str, datetime.datetime]]) -> DataFrame:
         """Register after the given (phase, timestamp) runs, appended in order."""
@@ -103,7 +127,7 @@ class ReportStore:
             self.movement_facts(),
             commentary.top_mover_growth(segments, summary, w.spec),
             commentary.top_mover_default(segments, w.spec),
-            commentary.stage2_share(w.fact, w.spec),
+            self.stage2_share(),
             quality.failing_rules(register),
             generated,
             period,

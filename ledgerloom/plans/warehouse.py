@@ -86,7 +86,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder, since a
     machine-local path is useless to the executors of a cluster.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

@@ -7,7 +7,7 @@ exit, outcome and origination attributes are functions of the customer key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.spec import PANEL_SCHEMA, PanelSpec
@@ -23,53 +23,44 @@ DERIVED_SPEC = PanelSpec(
 
 
 def panel_from_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Source panel over ``lineitem``, ``orders`` and ``customer`` in ``folder``."""
+    """Source panel over ``lineitem``, ``orders`` and ``customer`` in ``folder``.
+
+    No broadcast hints: every one of these tables grows with the data, so the
+    planner decides by size, and adaptive execution splits skewed join keys.
+    """
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     customer = spark.read.parquet(f"{folder}/customer.parquet")
-    # No broadcast hints: every one of these tables grows with the data, so the
-    # planner decides by size, and adaptive execution splits skewed keys.
-    owners = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey",
-        F.col("o_custkey").alias("id"),
-        (F.col("c_nationkey") % 5 == 0).cast("long").alias("investor_orig_time"),
-        *[
-            (F.col("c_mktsegment") == segment).cast("long").alias(flag)
-            for flag, segment in (
-                ("REtype_SF_orig_time", "BUILDING"),
-                ("REtype_PU_orig_time", "HOUSEHOLD"),
-                ("REtype_CO_orig_time", "MACHINERY"),
-            )
-        ],
-    )
-    shipped = lineitem.select(
-        "l_orderkey",
-        (
-            (F.year("l_shipdate") - FIRST_YEAR) * 4 + F.quarter("l_shipdate")
-        ).cast("long").alias("time"),
-        "l_linenumber",
-        "l_extendedprice",
-        "l_discount",
-        "l_tax",
-    )
+    quarter = (F.year("l_shipdate") - FIRST_YEAR) * 4 + F.quarter("l_shipdate")
     rows = (
-        shipped.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
+        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            F.col("o_custkey").alias("id"),
+            quarter.cast("long").alias("time"),
+            "l_linenumber",
+            "l_extendedprice",
+            "l_discount",
+            "l_tax",
+        )
         .where(F.col("time") >= 1 + F.col("id") % 12)
     )
-    inside = (F.col("time") >= F.col("mn")) & (F.col("time") <= F.col("mx"))
-    return rows.join(_presence(rows), "id").where(inside).select(_panel_columns())
+    # Customer attributes and presence meet at one row per entity, so the rows
+    # themselves are shuffled by entity once.
+    entities = _presence(rows).join(customer, F.col("id") == F.col("c_custkey"))
+    inside = F.col("time").between(F.col("mn"), F.col("mx"))
+    return rows.join(entities, "id").where(inside).select(_panel_columns())
 
 
 def _presence(rows: DataFrame) -> DataFrame:
     """First and last period of each entity.
 
-    Two partial aggregations: the first shrinks every entity to its distinct
-    quarters before anything is shuffled by entity, however many rows it has.
+    Entities shrink to their distinct quarters before they are shuffled by
+    entity, however many rows they have.
     """
     quarters = rows.select("id", "time").distinct()
-    entry = quarters.groupBy("id").agg(F.min("time").alias("mn"))
+    entry = F.min("time").over(Window.partitionBy("id"))
     return (
-        quarters.join(entry, "id")
+        quarters.withColumn("mn", entry)
         .where(F.col("time") <= F.col("mn") + 4 + F.col("id") % 20)
         .groupBy("id", "mn")
         .agg(F.max("time").alias("mx"))
@@ -104,17 +95,17 @@ def _panel_columns() -> list:
         "hpi_time": house_prices,
         "gdp_time": F.lit(2.0) - (time % 5) * F.lit(0.3),
         "uer_time": F.lit(4.0) + (time % 7) * F.lit(0.5),
-        "REtype_CO_orig_time": F.col("REtype_CO_orig_time"),
-        "REtype_PU_orig_time": F.col("REtype_PU_orig_time"),
-        "REtype_SF_orig_time": F.col("REtype_SF_orig_time"),
-        "investor_orig_time": F.col("investor_orig_time"),
+        "REtype_CO_orig_time": F.col("c_mktsegment") == "MACHINERY",
+        "REtype_PU_orig_time": F.col("c_mktsegment") == "HOUSEHOLD",
+        "REtype_SF_orig_time": F.col("c_mktsegment") == "BUILDING",
+        "investor_orig_time": F.col("c_nationkey") % 5 == 0,
         "balance_orig_time": 100000 + entity * 7919 % 400000,
         "FICO_orig_time": 500 + entity * 53 % 350,
         "LTV_orig_time": original_ltv.cast("decimal(18,4)"),
         "Interest_Rate_orig_time": original_rate.cast("decimal(18,4)"),
         "hpi_orig_time": F.lit(100.0) + F.lit(3.0) * start - F.lit(0.1) * start * start,
-        "default_time": (status == 1).cast("long"),
-        "payoff_time": (status == 2).cast("long"),
+        "default_time": status == 1,
+        "payoff_time": status == 2,
         "status_time": status,
     }
     return [values[f.name].cast(f.dataType).alias(f.name) for f in PANEL_SCHEMA]
