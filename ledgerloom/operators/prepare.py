@@ -250,9 +250,11 @@ def linked_rows(kept: DataFrame, spec: PanelSpec, split: bool = False) -> DataFr
     ``prior_balance`` and ``prior_status`` of the preceding one, and the
     entity's ``default_period``. ``split`` selects the form for entities with
     more periods than one window group should hold; results are the same.
+    Rows without an entity or a period have no place in the panel and drop out.
     """
     piece = spec.entity_window_periods if split else None
-    carried = ordered.carry_forward(kept, "loan_id", "period", MEASURES, piece)
+    placed = kept.where(F.col("loan_id").isNotNull() & F.col("period").isNotNull())
+    carried = ordered.carry_forward(placed, "loan_id", "period", MEASURES, piece)
     linked = ordered.neighbours(
         carried,
         "loan_id",

@@ -68,9 +68,10 @@ def _as_rows(one_row: DataFrame) -> DataFrame:
 def ingest_findings(panel: DataFrame, dim: DataFrame, fact: DataFrame) -> DataFrame:
     """What preparation found and corrected.
 
-    Dropped copies are the source rows less the reported fact rows, so no
-    second grouping of the source is needed.
+    Dropped copies are the source rows that name an entity and a period, less
+    the reported fact rows, so no second grouping of the source is needed.
     """
+    placed = panel.where(F.col("id").isNotNull() & F.col("time").isNotNull())
     reported = F.count_if(~F.col("is_forward_filled"))
     filled_loans = F.count_distinct(F.when(F.col("is_forward_filled"), F.col("loan_id")))
     in_fact = fact.agg(
@@ -79,7 +80,7 @@ def ingest_findings(panel: DataFrame, dim: DataFrame, fact: DataFrame) -> DataFr
         filled_loans.alias("filled_loans"),
     )
     dropped = (
-        panel.agg(F.count("*").alias("n"))
+        placed.agg(F.count("*").alias("n"))
         .union(in_fact.select(-F.col("reported")))
         .agg(F.sum("n").alias("affected_rows"))
         .select(

@@ -25,9 +25,9 @@ from ledgerloom.operators import (
     vintage,
 )
 from ledgerloom.plans.reporting import REPORTS, ReportStore
-from ledgerloom.plans.warehouse import Warehouse, build_warehouse, shared_folder
+from ledgerloom.plans.warehouse import Warehouse, build_warehouse, shared_folder, written
 from ledgerloom.sources import sinks
-from ledgerloom.sources.derived import DERIVED_SPEC, panel_from_orders
+from ledgerloom.sources.derived import DERIVED_SPEC, entities_from_orders, panel_from_orders
 from ledgerloom.sources.panel import schema_profile
 from ledgerloom.spec import INGEST_PHASE, QUALITY_PHASE, PanelSpec
 
@@ -50,9 +50,8 @@ class Context:
 
     def __init__(self, spark: SparkSession, folder: str):
         path = shared_folder(spark)
-        panel = panel_from_orders(spark, folder)
-        panel.write.parquet(f"{path}/panel")
-        panel = spark.read.schema(panel.schema).parquet(f"{path}/panel")
+        entities = written(entities_from_orders(spark, folder), f"{path}/entities")
+        panel = written(panel_from_orders(spark, folder, entities), f"{path}/panel")
         self.warehouse: Warehouse = build_warehouse(panel, DERIVED_SPEC, path)
         self.store = ReportStore(self.warehouse, f"{path}/reports")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ledgerloom.operators import commentary, loss, migration, portfolio, provision, quality, vintage
-from ledgerloom.plans.warehouse import Warehouse
+from ledgerloom.plans.warehouse import Warehouse, written
 from ledgerloom.sources import sinks
 
 # Every report, in the order in which they are published.
@@ -135,8 +135,5 @@ class ReportStore:
 
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
-            path = f"{self.path}/{name}"
-            table = build()
-            table.write.mode("overwrite").parquet(path)
-            self._written[name] = table.sparkSession.read.schema(table.schema).parquet(path)
+            self._written[name] = written(build(), f"{self.path}/{name}")
         return self._written[name]

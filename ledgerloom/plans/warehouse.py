@@ -57,24 +57,25 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     decide how the fact is built.
     """
     spark = panel.sparkSession
-    macro = _written(prepare.macro_rows(panel), f"{path}/dim_period_macro")
+    macro = written(prepare.macro_rows(panel), f"{path}/dim_period_macro")
     rows, first, last = macro.agg(F.count("*"), F.min("period"), F.max("period")).first()
     span = last - first + 1 if rows else 0
     split = span > spec.entity_window_periods
     small_macro = rows <= spec.broadcast_period_rows
-    dim = _written(
+    dim = written(
         prepare.dim_rows(prepare.entity_attributes(panel, spec), spec), f"{path}/dim_loan"
     )
     linked = prepare.linked_rows(prepare.dedupe(panel, spec), spec, split)
-    fact = _written(
+    fact = written(
         prepare.fact_rows(linked, dim, macro, spec, split, small_macro), f"{path}/fact_loan_quarter"
     )
-    event = _written(prepare.event_rows(fact), f"{path}/fact_credit_event")
-    periods = _written(prepare.period_rows(fact, spec), f"{path}/dim_date")
+    event = written(prepare.event_rows(fact), f"{path}/fact_credit_event")
+    periods = written(prepare.period_rows(fact, spec), f"{path}/dim_date")
     return Warehouse(spec, panel, dim, fact, event, periods, macro)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a parquet table at ``path``."""
     df.write.mode("overwrite").parquet(path)
     # The schema is known, so reading back needs no footer inference job.
     return df.sparkSession.read.schema(df.schema).parquet(path)

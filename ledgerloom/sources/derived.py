@@ -22,17 +22,48 @@ DERIVED_SPEC = PanelSpec(
 )
 
 
-def panel_from_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Source panel over ``lineitem``, ``orders`` and ``customer`` in ``folder``.
+def panel_from_orders(spark: SparkSession, folder: str, entities: DataFrame) -> DataFrame:
+    """Source panel over ``lineitem`` and ``orders``, given ``entities``.
 
-    No broadcast hints: every one of these tables grows with the data, so the
-    planner decides by size, and adaptive execution splits skewed join keys.
+    ``entities`` should be a written table. Read from storage, it is shuffled
+    for the join like the rows are, and only then can adaptive execution split
+    the rows of an entity that holds much of the panel.
+    """
+    quarter_rows = _rows(spark, folder)
+    inside = F.col("time").between(F.col("mn"), F.col("mx"))
+    return quarter_rows.join(entities, "id").where(inside).select(_panel_columns())
+
+
+def entities_from_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with their first and last period, one row each.
+
+    Entities shrink to their distinct quarters before they are shuffled by
+    entity, however many rows they have.
+    """
+    customer = spark.read.parquet(f"{folder}/customer.parquet")
+    quarters = _rows(spark, folder).select("id", "time").distinct()
+    entry = F.min("time").over(Window.partitionBy("id"))
+    presence = (
+        quarters.withColumn("mn", entry)
+        .where(F.col("time") <= F.col("mn") + 4 + F.col("id") % 20)
+        .groupBy("id", "mn")
+        .agg(F.max("time").alias("mx"))
+    )
+    return presence.join(customer, F.col("id") == F.col("c_custkey")).select(
+        "id", "mn", "mx", "c_nationkey", "c_mktsegment"
+    )
+
+
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Shipped lines by customer and quarter, from each customer's entry on.
+
+    No broadcast hints: both tables grow with the data, so the planner decides
+    by size.
     """
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
     orders = spark.read.parquet(f"{folder}/orders.parquet")
-    customer = spark.read.parquet(f"{folder}/customer.parquet")
     quarter = (F.year("l_shipdate") - FIRST_YEAR) * 4 + F.quarter("l_shipdate")
-    rows = (
+    return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("o_custkey").alias("id"),
@@ -44,27 +75,6 @@ def panel_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         )
         .where(F.col("time") >= 1 + F.col("id") % 12)
     )
-    # Customer attributes and presence meet at one row per entity, so the rows
-    # themselves are shuffled by entity once.
-    entities = _presence(rows).join(customer, F.col("id") == F.col("c_custkey"))
-    inside = F.col("time").between(F.col("mn"), F.col("mx"))
-    return rows.join(entities, "id").where(inside).select(_panel_columns())
-
-
-def _presence(rows: DataFrame) -> DataFrame:
-    """First and last period of each entity.
-
-    Entities shrink to their distinct quarters before they are shuffled by
-    entity, however many rows they have.
-    """
-    quarters = rows.select("id", "time").distinct()
-    entry = F.min("time").over(Window.partitionBy("id"))
-    return (
-        quarters.withColumn("mn", entry)
-        .where(F.col("time") <= F.col("mn") + 4 + F.col("id") % 20)
-        .groupBy("id", "mn")
-        .agg(F.max("time").alias("mx"))
-    )
 
 
 def _panel_columns() -> list:

@@ -111,3 +111,53 @@ def test_one_entity_with_a_third_of_all_rows(spark, make_panel):
         (t, float(min(i % 1000 + 1 for i in range(0, 60_000, 3) if i % 5 == t))) for t in range(5)
     ]
     assert kept.count() == 40_000 + 5
+
+
+def test_hot_customer_is_split_in_the_panel_join(spark, tmp_path):
+    """One customer with a third of the rows: adaptive execution splits its join."""
+    from ledgerloom.plans.warehouse import written
+    from ledgerloom.sources.derived import entities_from_orders, panel_from_orders
+
+    n = 60_000
+    owner = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5_000).cast("long")
+    keys = spark.range(n)
+    keys.select(F.col("id").alias("o_orderkey"), owner.alias("o_custkey")).write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    keys.select(
+        F.col("id").alias("l_orderkey"),
+        F.lit(1).alias("l_linenumber"),
+        (F.rand(3) * 90_000 + 900).alias("l_extendedprice"),
+        F.lit(0.05).alias("l_discount"),
+        F.lit(0.02).alias("l_tax"),
+        F.expr("timestamp_ntz'1995-01-15' + make_dt_interval(cast(id % 2500 as int))").alias(
+            "l_shipdate"
+        ),
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(5_000).select(
+        F.col("id").alias("c_custkey"),
+        (F.col("id") % 25).cast("int").alias("c_nationkey"),
+        F.lit("BUILDING").alias("c_mktsegment"),
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    small_scale = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in small_scale}
+    for key, value in small_scale.items():
+        spark.conf.set(key, value)
+    try:
+        folder = str(tmp_path)
+        entities = written(entities_from_orders(spark, folder), f"{folder}/entities")
+        panel = panel_from_orders(spark, folder, entities)
+        rows = panel.collect()
+        assert sum(r["id"] == 7 for r in rows) > 1_000
+        assert "skew=true" in plan(panel)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

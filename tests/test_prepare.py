@@ -135,6 +135,16 @@ def test_gap_fill_repeats_the_last_report_and_flags_it(make_warehouse):
     assert w.fact.where("loan_id = 2").count() == 1
 
 
+def test_rows_without_a_key_leave_the_panel(make_warehouse):
+    w = make_warehouse(
+        {"time": 1, "balance_time": None},
+        {"time": None, "balance_time": 5.0},
+        {"id": None, "time": 1},
+    )
+    got = [(r["loan_id"], r["period"], r["current_balance"]) for r in w.fact.collect()]
+    assert got == [(1, 1, None)]
+
+
 def test_link_columns_follow_fact_rows(make_warehouse):
     w = make_warehouse(
         {"time": 1, "balance_time": 100.0},
