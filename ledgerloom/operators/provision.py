@@ -109,10 +109,11 @@ def provision_movement(provisions: DataFrame, spec: PanelSpec) -> DataFrame:
             )
         )
     )
+    added = F.aggregate(
+        in_cell_order, F.lit(0.0), lambda total, cell: total + cell["provision"]
+    )
     by_period = provisions.groupBy("period").agg(
-        F.aggregate(
-            in_cell_order, F.lit(0.0), lambda total, cell: total + cell["provision"]
-        ).alias("closing_provision"),
+        F.when(F.count("provision") > 0, added).alias("closing_provision"),
         _exposure_sum(F.col("exposure"), spec).cast("double").alias("exposure"),
     )
     opening = F.coalesce(F.lag("closing_provision").over(Window.orderBy("period")), F.lit(0.0))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+from dataclasses import replace
 
 import pytest
 
@@ -10,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from ledgerloom.operators import prepare  # noqa: E402
 from ledgerloom.plans.warehouse import lazy_warehouse  # noqa: E402
 from ledgerloom.spec import PANEL_SCHEMA, PanelSpec  # noqa: E402
 
@@ -49,7 +51,8 @@ def spark():
         .appName("ledgerloom-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Plan tests read scans in full.
@@ -76,7 +79,16 @@ def make_panel(spark):
 @pytest.fixture(scope="session")
 def make_warehouse(make_panel):
     def make(*rows: dict, spec: PanelSpec = PanelSpec(), split: bool = False):
-        return lazy_warehouse(make_panel(*rows), spec, split)
+        lazy = lazy_warehouse(make_panel(*rows), spec, split)
+        # Cached, since reports read these few rows again and again.
+        dim, fact = lazy.dim.cache(), lazy.fact.cache()
+        return replace(
+            lazy,
+            dim=dim,
+            fact=fact,
+            event=prepare.event_rows(fact),
+            periods=prepare.period_rows(fact, spec),
+        )
 
     return make
 

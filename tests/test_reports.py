@@ -194,6 +194,16 @@ def test_movement_splits_charge_and_release(spark):
     assert all(r["reconciliation_error"] == 0 for r in rows)
 
 
+def test_band_without_active_rows_has_no_horizon_probability(make_warehouse):
+    w = make_warehouse({"time": 1, "status_time": 2})
+    (cell,) = report(w, "vw_provision")
+    assert cell["ifrs9_stage"] == "Stage 1"
+    assert cell["probability_of_default"] is None and cell["provision"] is None
+    (row,) = report(w, "vw_provision_movement")
+    assert row["closing_provision"] is None and row["opening_provision"] == 0.0
+    assert (row["increase"], row["decrease"]) == (0.0, 0.0)
+
+
 # --- invariants over the derived panel -------------------------------------
 
 
@@ -257,7 +267,7 @@ def test_results_do_not_depend_on_partitions(spark, small):
                 for df in (movement, segments)
             ]
         finally:
-            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.set("spark.sql.shuffle.partitions", 2)
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
     assert digest(1) == digest(4) == digest(23)
