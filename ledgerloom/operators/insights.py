@@ -45,6 +45,8 @@ def period_continuity(periods: DataFrame) -> DataFrame:
         F.max("period").alias("last_period"),
         F.count("*").alias("present"),
         (F.max("period") - F.min("period") + 1).alias("expected"),
+        F.min_by("reporting_quarter", "period").alias("first_quarter"),
+        F.max_by("reporting_quarter", "period").alias("last_quarter"),
     )
 
 

@@ -186,7 +186,7 @@ def entity_attributes(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
     def earliest(attribute: str) -> Column:
-        candidate = F.struct("seen", attribute)
+        candidate = F.struct("seen.time", "seen.unstated", "seen.balance_time", attribute)
         return F.min(F.when(F.col(attribute).isNotNull(), candidate))[attribute].alias(attribute)
 
     differs = F.lit(False)

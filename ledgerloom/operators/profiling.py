@@ -80,26 +80,32 @@ def final_status(panel: DataFrame) -> DataFrame:
     )
 
 
-def macro_peaks(panel: DataFrame) -> DataFrame:
-    """Mean covariates per period, and the first period of each one's peak."""
-    measures = {
-        "uer_time": "unemployment_rate",
-        "hpi_time": "house_price_index",
-        "gdp_time": "gdp_growth",
-    }
+MACRO_MEASURES = {
+    "uer_time": "unemployment_rate",
+    "hpi_time": "house_price_index",
+    "gdp_time": "gdp_growth",
+}
+
+
+def macro_means(panel: DataFrame) -> DataFrame:
+    """Mean covariates per period, to two places."""
 
     def mean(column: str):
         total = F.sum(F.col(column).cast("decimal(18,6)"))
         return rounded(ratio(total, F.count(column)), 2)
 
-    by_period = panel.groupBy(F.col("time").alias("period")).agg(
-        *[mean(column).alias(name) for column, name in measures.items()]
+    return panel.groupBy(F.col("time").alias("period")).agg(
+        *[mean(column).alias(name) for column, name in MACRO_MEASURES.items()]
     )
-    names = list(measures.values())
-    series = by_period.unpivot(["period"], names, "measure", "value").where(
-        F.col("value").isNotNull()
+
+
+def macro_peaks(panel: DataFrame) -> DataFrame:
+    """Highest mean of each covariate and the first period that has it."""
+    series = (
+        macro_means(panel)
+        .unpivot(["period"], list(MACRO_MEASURES.values()), "measure", "value")
+        .where(F.col("value").isNotNull())
     )
-    # Highest value first, then the earliest period.
     peak = F.max(F.struct("value", (-F.col("period")).alias("earliest")))
     return series.groupBy("measure").agg(peak.alias("peak")).select(
         "measure",

@@ -266,9 +266,16 @@ def latest_run(register: DataFrame, phase: str | None = None) -> DataFrame:
     return rows.where(F.col("run_timestamp") == newest)
 
 
+def latest_rules(register: DataFrame) -> DataFrame:
+    """Outcome of every rule in the newest quality run."""
+    return latest_run(register, QUALITY_PHASE).select(
+        "rule_name", "severity", "status", "affected_rows"
+    )
+
+
 def failing_rules(register: DataFrame) -> DataFrame:
     return (
-        latest_run(register, QUALITY_PHASE)
+        latest_rules(register)
         .where(F.col("status") == FAIL)
         .select("rule_name", "severity", "affected_rows")
     )

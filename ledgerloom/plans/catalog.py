@@ -171,8 +171,9 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     # quality
     "dq_rules": lambda c: c.store.rules(),
     "dq_reconciliation": lambda c: c.store.reconciliation_by_dimension(),
-    "dq_score": lambda c: quality.quality_score(quality.latest_run(c.register, QUALITY_PHASE)),
+    "dq_score": lambda c: quality.quality_score(quality.latest_rules(c.register)),
     "dq_history": lambda c: quality.register_history(c.register),
+    "dq_latest_run": lambda c: quality.latest_rules(c.register),
     "dq_latest": lambda c: quality.failing_rules(c.register),
     # commentary
     "movement_facts": lambda c: c.store.movement_facts(),
@@ -197,6 +198,7 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "profile_term": lambda c: profiling.common_terms(c.warehouse.panel),
     "profile_status": lambda c: profiling.status_counts(c.warehouse.panel),
     "profile_final_status": lambda c: profiling.final_status(c.warehouse.panel),
+    "profile_macro_means": lambda c: profiling.macro_means(c.warehouse.panel),
     "profile_macro_peaks": lambda c: profiling.macro_peaks(c.warehouse.panel),
     "profile_vintage_default": lambda c: profiling.default_by_vintage(
         c.warehouse.panel, COHORT_MIN_ENTITIES

@@ -565,7 +565,9 @@ BODIES = {
     "fact_event": """SELECT * REPLACE (CAST(original_balance AS DOUBLE) AS original_balance,
   CAST(exposure_at_default AS DOUBLE) AS exposure_at_default) FROM event""",
     "period_continuity": """SELECT min(period) AS first_period, max(period) AS last_period,
-  count(*) AS present, max(period) - min(period) + 1 AS expected FROM dates""",
+  count(*) AS present, max(period) - min(period) + 1 AS expected,
+  first(reporting_quarter ORDER BY period) AS first_quarter,
+  last(reporting_quarter ORDER BY period) AS last_quarter FROM dates""",
     "focus_cohort_summary": f"""SELECT focus_cohort, origination_vintage, count(*) AS loans,
   {_round("CAST(sum(credit_score) AS DOUBLE) / count(credit_score)", 0)} AS avg_score,
   {_round("CAST(sum(CAST(original_ltv AS DECIMAL(18,4))) AS DOUBLE) / count(original_ltv)", 1)}
@@ -602,6 +604,8 @@ BODIES = {
   FROM (SELECT *, if(severity = 'HIGH', 3, if(severity = 'MEDIUM', 2, 1)) AS w FROM rules)""",
     "dq_history": """SELECT phase, status, count(*) AS rules,
   CAST(sum(affected_rows) AS BIGINT) AS affected_rows FROM register GROUP BY ALL""",
+    "dq_latest_run": """SELECT rule_name, severity, status, affected_rows FROM register
+  WHERE phase = '4-quality' AND run_timestamp = TIMESTAMP '2024-04-30 06:30:00'""",
     "dq_latest": "SELECT * FROM failing",
     "movement_facts": "SELECT * FROM facts",
     "top_mover_growth": "SELECT * FROM growers",
@@ -669,6 +673,16 @@ BODIES = {
     "profile_final_status": f"""SELECT final_status, count(*) AS entities,
   {_round(_pct("count(*)", "(SELECT count(DISTINCT id) FROM panel)"), 1)} AS pct_of_entities
   FROM {_ENDS} GROUP BY final_status""",
+    "profile_macro_means": 'SELECT "time" AS period, '
+    + ", ".join(
+        _round(f"CAST(sum(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / count({c})", 2) + f" AS {name}"
+        for c, name in (
+            ("uer_time", "unemployment_rate"),
+            ("hpi_time", "house_price_index"),
+            ("gdp_time", "gdp_growth"),
+        )
+    )
+    + ' FROM panel GROUP BY "time"',
     "profile_macro_peaks": " UNION ALL ".join(
         f"""SELECT '{name}' AS measure,
   first(period ORDER BY v DESC, period) AS peak_period, max(v) AS peak_value

@@ -59,7 +59,7 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     spark = panel.sparkSession
     macro = written(prepare.macro_rows(panel), f"{path}/dim_period_macro")
     rows, first, last = macro.agg(F.count("*"), F.min("period"), F.max("period")).first()
-    span = last - first + 1 if rows else 0
+    span = 0 if first is None else last - first + 1
     split = span > spec.entity_window_periods
     small_macro = rows <= spec.broadcast_period_rows
     dim = written(

@@ -94,3 +94,13 @@ def test_text_formats_equal_printf(values):
 
 def test_grouped(values):
     assert values(c.grouped, [0, 999, 1000, 1234567], "long") == ["0", "999", "1,000", "1,234,567"]
+
+
+def test_status_labels(values):
+    assert values(c.status_bucket, [0, 1, 2, 7, None], "long") == [
+        "1. Active",
+        "2. Default",
+        "3. Payoff",
+        "9. Unknown",
+        "9. Unknown",
+    ]
