@@ -1,9 +1,9 @@
 """Panel preparation: one entity table, one gap-filled fact, one event table.
 
-The raw panel is never shuffled by entity alone. Copies of an entity-period are
-cut to one row, and attribute rows to their distinct variants, on the map side;
-after that an entity holds at most one row per period. All per-entity work on
-the fact (carry-forward, neighbours, first default) shares one hash layout.
+Attribute rows are cut to their distinct variants on the map side, and so are
+copies of an entity-period unless every entity is known to be small; after that
+an entity holds at most one row per period. All per-entity work on the fact
+(carry-forward, neighbours, first default) shares one hash layout.
 """
 
 from __future__ import annotations
@@ -151,16 +151,22 @@ def _money(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def dedupe(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+def dedupe(panel: DataFrame, spec: PanelSpec, by_entity: bool = False) -> DataFrame:
     """One row per entity-period: the lowest balance, NULL balances last.
 
     Ties are broken by the remaining measures, so rows that still tie are equal.
     Spark cuts each group to one row per task before the shuffle
     (``WindowGroupLimit``), so a heavily copied key does not pile up.
+
+    ``by_entity`` states that no entity has many source rows. Rows are then
+    hashed by entity at once, and the windows that follow need neither another
+    shuffle nor another sort.
     """
     rows = _money(panel, spec).select(
         F.col("id").alias("loan_id"), F.col("time").alias("period"), *MEASURES
     )
+    if by_entity:
+        rows = rows.repartition("loan_id")
     copies = Window.partitionBy("loan_id", "period").orderBy(
         *[F.col(c).asc_nulls_last() for c in MEASURES]
     )
@@ -182,7 +188,8 @@ def entity_attributes(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     variants = rows.groupBy("id", *ATTRIBUTES).agg(
         F.min(
             F.struct("time", F.col("balance_time").isNull().alias("unstated"), "balance_time")
-        ).alias("seen")
+        ).alias("seen"),
+        F.count("*").alias("rows"),
     )
 
     def earliest(attribute: str) -> Column:
@@ -193,12 +200,14 @@ def entity_attributes(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     for attribute in CHECKED_ATTRIBUTES:
         differs = differs | F.coalesce(F.min(attribute) != F.max(attribute), F.lit(False))
     return variants.groupBy("id").agg(
-        *[earliest(a) for a in ATTRIBUTES], differs.alias("is_inconsistent")
+        *[earliest(a) for a in ATTRIBUTES],
+        differs.alias("is_inconsistent"),
+        F.sum("rows").alias("source_rows"),
     )
 
 
 def dim_rows(attributes: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Decoded entity table (``DIM_COLUMNS`` plus ``is_inconsistent``)."""
+    """Decoded entity table (``DIM_COLUMNS`` and what is known of its source)."""
     origination = F.col("orig_time")
     return attributes.select(
         F.col("id").alias("loan_id"),
@@ -230,6 +239,7 @@ def dim_rows(attributes: DataFrame, spec: PanelSpec) -> DataFrame:
             F.lit(None).cast("string"),
         ).alias("focus_cohort"),
         "is_inconsistent",
+        "source_rows",
     )
 
 

@@ -53,8 +53,8 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     """Write the tables under ``path``, each from the ones written before it.
 
     Written tables cut the lineage: a lost executor repeats a task of one step,
-    not the chain. The period table is written first because its size and span
-    decide how the fact is built.
+    not the chain. Period and entity tables come first, because the span of
+    periods and the size of the largest entity decide how the fact is built.
     """
     spark = panel.sparkSession
     macro = written(prepare.macro_rows(panel), f"{path}/dim_period_macro")
@@ -65,7 +65,9 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     dim = written(
         prepare.dim_rows(prepare.entity_attributes(panel, spec), spec), f"{path}/dim_loan"
     )
-    linked = prepare.linked_rows(prepare.dedupe(panel, spec), spec, split)
+    heaviest = dim.agg(F.max("source_rows")).first()[0] or 0
+    kept = prepare.dedupe(panel, spec, by_entity=heaviest <= spec.entity_group_rows)
+    linked = prepare.linked_rows(kept, spec, split)
     fact = written(
         prepare.fact_rows(linked, dim, macro, spec, split, small_macro), f"{path}/fact_loan_quarter"
     )

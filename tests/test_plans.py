@@ -37,11 +37,16 @@ def test_copies_are_cut_before_the_shuffle(small):
     assert len(limits) == 2 and limits[0] < exchange < limits[1]
 
 
-def test_entity_work_on_the_fact_shares_one_shuffle(small):
-    linked = prepare.linked_rows(prepare.dedupe(small.warehouse.panel, SPEC), SPEC)
-    partitionings = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(linked))
-    keys = [re.sub(r"#\d+L?|, \d+$", "", p) for p in partitionings]
-    assert keys == ["loan_id", "loan_id, period"]
+@pytest.mark.parametrize(
+    ("by_entity", "shuffles"), [(False, ["loan_id", "loan_id, period"]), (True, ["loan_id"])]
+)
+def test_entity_work_on_the_fact_shares_one_shuffle(small, by_entity, shuffles):
+    kept = prepare.dedupe(small.warehouse.panel, SPEC, by_entity)
+    text = plan(prepare.linked_rows(kept, SPEC))
+    partitionings = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert [re.sub(r"#\d+L?|, \d+$", "", p) for p in partitionings] == shuffles
+    # Sorts: one per shuffle, and one below the map-side cut.
+    assert text.count("+- Sort [") == (1 if by_entity else 3)
 
 
 def test_reports_on_the_fact_scan_it_once(small):

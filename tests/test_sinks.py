@@ -70,6 +70,7 @@ def test_written_and_lazy_warehouse_agree(spark, make_panel, tmp_path):
     lazy = lazy_warehouse(panel, PanelSpec())
     for name, spec in (
         ("plain", PanelSpec()),
+        ("heavy", PanelSpec(entity_group_rows=1)),
         ("split", PanelSpec(entity_window_periods=2)),
         ("wide", PanelSpec(broadcast_period_rows=1)),
     ):
