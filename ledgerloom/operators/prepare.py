@@ -145,12 +145,6 @@ def published(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _money(panel: DataFrame, spec: PanelSpec) -> DataFrame:
-    return panel.withColumns(
-        {c: F.col(c).cast(spec.money_type) for c in ("balance_time", "balance_orig_time")}
-    )
-
-
 def dedupe(panel: DataFrame, spec: PanelSpec, by_entity: bool = False) -> DataFrame:
     """One row per entity-period: the lowest balance, NULL balances last.
 
@@ -162,9 +156,7 @@ def dedupe(panel: DataFrame, spec: PanelSpec, by_entity: bool = False) -> DataFr
     hashed by entity at once, and the windows that follow need neither another
     shuffle nor another sort.
     """
-    rows = _money(panel, spec).select(
-        F.col("id").alias("loan_id"), F.col("time").alias("period"), *MEASURES
-    )
+    rows = panel.select(F.col("id").alias("loan_id"), F.col("time").alias("period"), *MEASURES)
     if by_entity:
         rows = rows.repartition("loan_id")
     copies = Window.partitionBy("loan_id", "period").orderBy(
@@ -174,18 +166,18 @@ def dedupe(panel: DataFrame, spec: PanelSpec, by_entity: bool = False) -> DataFr
         rows.withColumn("copy", F.row_number().over(copies))
         .where(F.col("copy") == 1)
         .drop("copy")
+        .withColumn("balance_time", F.col("balance_time").cast(spec.money_type))
     )
 
 
-def entity_attributes(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+def entity_attributes(panel: DataFrame) -> DataFrame:
     """Earliest non-NULL value of each origination attribute, per entity.
 
     Attributes are nearly constant, so the first aggregation leaves about one
     row per entity in every task. Earliest means lowest (period, balance), the
     same order that ``dedupe`` keeps; a tie goes to the smaller value.
     """
-    rows = _money(panel, spec)
-    variants = rows.groupBy("id", *ATTRIBUTES).agg(
+    variants = panel.groupBy("id", *ATTRIBUTES).agg(
         F.min(
             F.struct("time", F.col("balance_time").isNull().alias("unstated"), "balance_time")
         ).alias("seen"),
@@ -218,7 +210,7 @@ def dim_rows(attributes: DataFrame, spec: PanelSpec) -> DataFrame:
         calendar_label(origination, spec).alias("origination_vintage"),
         F.col("FICO_orig_time").alias("credit_score"),
         F.col("LTV_orig_time").alias("original_ltv"),
-        F.col("balance_orig_time").alias("original_balance"),
+        F.col("balance_orig_time").cast(spec.money_type).alias("original_balance"),
         F.col("Interest_Rate_orig_time").alias("original_interest_rate"),
         labelled(
             (

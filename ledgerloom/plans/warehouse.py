@@ -40,7 +40,7 @@ class Warehouse:
 
 def lazy_warehouse(panel: DataFrame, spec: PanelSpec, split: bool = False) -> Warehouse:
     """All tables as one lazy plan. Small panels and tests; nothing is written."""
-    dim = prepare.dim_rows(prepare.entity_attributes(panel, spec), spec)
+    dim = prepare.dim_rows(prepare.entity_attributes(panel), spec)
     macro = prepare.macro_rows(panel)
     linked = prepare.linked_rows(prepare.dedupe(panel, spec), spec, split)
     fact = prepare.fact_rows(linked, dim, macro, spec, split)
@@ -63,7 +63,7 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     split = span > spec.entity_window_periods
     small_macro = rows <= spec.broadcast_period_rows
     dim = written(
-        prepare.dim_rows(prepare.entity_attributes(panel, spec), spec), f"{path}/dim_loan"
+        prepare.dim_rows(prepare.entity_attributes(panel), spec), f"{path}/dim_loan"
     )
     heaviest = dim.agg(F.max("source_rows")).first()[0] or 0
     kept = prepare.dedupe(panel, spec, by_entity=heaviest <= spec.entity_group_rows)

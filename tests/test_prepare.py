@@ -71,8 +71,7 @@ def test_attributes_take_the_earliest_value_and_skip_nulls(make_panel):
             {"id": 2, "time": 1, "orig_time": 7, "balance_time": 50.0},
             {"id": 2, "time": 1, "orig_time": 6, "balance_time": 40.0},
             {"id": 3, "FICO_orig_time": None},
-        ),
-        SPEC,
+        )
     )
     got = {
         r["id"]: (r["orig_time"], r["FICO_orig_time"], r["is_inconsistent"])
