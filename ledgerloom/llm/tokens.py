@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from array import array
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -33,12 +34,13 @@ class WordEncoder:
     stays bounded; that changes the time, never the ids.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.tokenize = self.tokenizer.model.tokenize
         self.limit = limit
         # The model sees bytes as letters; the tokenizer itself says which.
         before = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -47,7 +49,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {"": []}
+        self.pieces: dict[str, bytes] = {}
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
@@ -59,29 +61,34 @@ class WordEncoder:
         if fresh:
             # The library encodes a list of words one by one.
             encoding = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            self.pieces.update((w, []) for w in fresh)
+            ids: list[list[int]] = [[] for _ in fresh]
             for i, of in zip(encoding.ids, encoding.word_ids, strict=True):
-                self.pieces[fresh[of]].append(i)
+                ids[of].append(i)
+            self.pieces.update(zip(fresh, map(_as_bytes, ids), strict=True))
+
+    def _encode_plain(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.translate(self.letters)
+        ids = self.pieces[piece] = _as_bytes([t.id for t in self.tokenize(letters)])
+        return ids
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > self.limit:
-            self._forget()
-        pieces, letters, tokenize = self.pieces, self.letters, self.tokenizer.model.tokenize
+        pieces, encode = self.pieces, self._encode_plain
         texts = b" ".join(words).decode().split(" ")
         matches = list(map(_PLAIN.fullmatch, texts))
         self._encode_others([t for t, m in zip(texts, matches, strict=True) if not m])
-        ids: list[int] = []
-        lengths: list[int] = []
+        parts: list[bytes] = []
         for text, match in zip(texts, matches, strict=True):
-            before = len(ids)
-            for piece in match.groups() if match else (text,):
-                if match:
-                    piece = piece.lower()
-                known = pieces.get(piece)
-                if known is None:
-                    known = pieces[piece] = [t.id for t in tokenize(piece.translate(letters))]
-                ids += known
-            lengths.append(len(ids) - before)
+            if match:
+                stem, marks = match.groups()
+                stem = stem.lower()
+                ids = pieces.get(stem) or encode(stem)
+                if marks:
+                    ids += pieces.get(marks) or encode(marks)
+            else:
+                ids = pieces[text]
+            parts.append(ids)
+        ids = np.frombuffer(b"".join(parts), np.uint32)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first, last = len(self.words), len(self.words) + len(words)
         for name, need in (("starts", last), ("lengths", last), ("flat", self.used + len(ids))):
             old = getattr(self, name)
@@ -95,16 +102,17 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``; and where each text starts."""
+        if len(self.words) > self.limit:
+            self._forget()
         lists = [(t or b"").split() for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         words = list(chain.from_iterable(lists))
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if new:
-            before = len(self.words)
-            self._learn(new)
-            if len(self.words) < before + len(new):  # it forgot the others
-                self._learn([w for w in dict.fromkeys(words) if w not in self.words])
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            at[new] = np.fromiter(map(self.words.__getitem__, missing), np.int64, len(new))
         sizes = self.lengths[at]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.starts[at] - total[:-1], sizes)]
@@ -118,6 +126,11 @@ class WordEncoder:
         return out, bounds
 
 
+def _as_bytes(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers; unlike lists, bytes do not burden the garbage collector."""
+    return array("I", ids).tobytes()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
