@@ -30,11 +30,11 @@ def vocabulary_path(path: str | None = None) -> str:
 class WordEncoder:
     """Ids by a tokenizers file whose tokens never contain or cross white space.
 
-    Words are remembered up to ``limit`` of them, then forgotten all at once, so memory
-    stays bounded; that changes the time, never the ids.
+    Words are remembered up to ``limit`` of them; then all but the most used ones are
+    forgotten, so memory stays bounded. That changes the time, never the ids.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,9 +52,24 @@ class WordEncoder:
         self.pieces: dict[str, bytes] = {}
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
+    def _keep_common(self) -> None:
+        """Forgets all but the words used most, half of the limit at most."""
+        words, n = list(self.words), len(self.words)
+        least = max(2, int(np.partition(self.uses[:n], -(self.limit // 2))[-(self.limit // 2)]) + 1)
+        kept = np.flatnonzero(self.uses[:n] >= least)
+        lengths, starts, uses = self.lengths[kept], self.starts[kept], self.uses[kept]
+        ends = np.cumsum(lengths)
+        at = np.arange(lengths.sum()) + np.repeat(starts - (ends - lengths), lengths)
+        flat = self.flat[at]
+        self._forget()
+        self.words = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.starts, self.lengths, self.uses = ends - lengths, lengths, uses
+        self.flat, self.used = flat, len(flat)
+
     def _encode_others(self, words: list[str]) -> None:
         """Words that are not plain, by the whole tokenizer, each by itself."""
         fresh = list(dict.fromkeys(w for w in words if w not in self.pieces))
@@ -90,10 +105,12 @@ class WordEncoder:
         ids = np.frombuffer(b"".join(parts), np.uint32)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first, last = len(self.words), len(self.words) + len(words)
-        for name, need in (("starts", last), ("lengths", last), ("flat", self.used + len(ids))):
+        needs = {"starts": last, "lengths": last, "uses": last, "flat": self.used + len(ids)}
+        for name, need in needs.items():
             old = getattr(self, name)
             if need > len(old):
-                setattr(self, name, np.concatenate((old, np.zeros(max(need, len(old)), old.dtype))))
+                more = max(need - len(old), len(old) // 2)
+                setattr(self, name, np.concatenate((old, np.zeros(more, old.dtype))))
         self.starts[first:last] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first:last] = lengths
         self.flat[self.used : self.used + len(ids)] = ids
@@ -103,7 +120,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``; and where each text starts."""
         if len(self.words) > self.limit:
-            self._forget()
+            self._keep_common()
         lists = [(t or b"").split() for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         words = list(chain.from_iterable(lists))
@@ -113,6 +130,7 @@ class WordEncoder:
             missing = [words[i] for i in new.tolist()]
             self._learn(list(dict.fromkeys(missing)))
             at[new] = np.fromiter(map(self.words.__getitem__, missing), np.int64, len(new))
+        self.uses[: len(self.words)] += np.bincount(at, minlength=len(self.words))
         sizes = self.lengths[at]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.starts[at] - total[:-1], sizes)]
