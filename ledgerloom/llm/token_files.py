@@ -143,7 +143,8 @@ def digest(blocks: DataFrame) -> DataFrame:
 
 
 def _read(blocks: DataFrame, column: str, of_ids, kind: pa.DataType) -> DataFrame:
-    placed = blocks.join(parts(blocks), "part").select(
+    # One row per range partition, so the number of shuffle partitions bounds it.
+    placed = blocks.join(F.broadcast(parts(blocks)), "part").select(
         (F.col("start") + F.col("first")).alias("start"), "doc_ids", "doc_offsets", "bits", "payload"
     )
 
