@@ -37,7 +37,7 @@ from ledgerloom.llm import (
     token_files,
 )
 from ledgerloom.llm import quality as rules
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import shared_root, stored
 
 OPERATORS = {
     "pii": pii.digest,
@@ -427,11 +427,7 @@ def test_sql_agrees_on_awkward_rows(documents):
         assert table(found) == expected, name
 
 
-def test_stored_tables_lie_in_the_shared_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = stored(spark.range(3).toDF("x"), "few")
-        assert out.count() == 3 and str(tmp_path) in out.inputFiles()[0]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_stored_tables_lie_in_the_shared_folder(spark):
+    out = stored(spark.range(3).toDF("x"), "few")
+    assert out.count() == 3
+    assert shared_root(spark).removeprefix("file:") in out.inputFiles()[0]
