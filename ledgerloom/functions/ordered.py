@@ -1,10 +1,7 @@
 """Per-key ordered columns: carry-forward, neighbours, lowest value.
 
-Each function has two exact forms. With ``piece=None`` a key is one window
-group, right when a key's rows are known to be few. Otherwise a key's order
-range is cut into pieces of that many order values; windows run inside pieces,
-one summary row per piece carries values across them, and no task ever holds a
-whole key. The order column must be integral, and unique within a key.
+A key is one window group, which streams or spills; after copies are removed a
+key has at most one row per order value.
 """
 
 from __future__ import annotations
@@ -14,40 +11,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PIECE = "_piece"
 
-
-def _with_piece(df: DataFrame, order: str, piece: int) -> DataFrame:
-    return df.withColumn(_PIECE, F.floor(F.col(order) / piece).cast("long"))
-
-
-def carry_forward(
-    df: DataFrame, key: str, order: str, columns: Sequence[str], piece: int | None = None
-) -> DataFrame:
+def carry_forward(df: DataFrame, key: str, order: str, columns: Sequence[str]) -> DataFrame:
     """Replace each column by its last non-NULL value at or before the row."""
-    groups = [key] if piece is None else [key, _PIECE]
-    so_far = (
-        Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = {c: F.last(c, ignorenulls=True).over(so_far) for c in columns}
-    if piece is None:
-        return df.withColumns(local)
-    pieces = _with_piece(df, order, piece)
-    latest = pieces.groupBy(*groups).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
-    )
-    earlier = (
-        Window.partitionBy(key).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = latest.select(
-        *groups, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in columns]
-    )
-    return (
-        pieces.withColumns(local)
-        .join(carried, groups, "left")
-        .withColumns({c: F.coalesce(F.col(c), F.col(f"_in_{c}")) for c in columns})
-        .drop(_PIECE, *[f"_in_{c}" for c in columns])
-    )
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
 
 
 def neighbours(
@@ -56,58 +24,19 @@ def neighbours(
     order: str,
     previous: Mapping[str, str],
     following: Mapping[str, str],
-    piece: int | None = None,
 ) -> DataFrame:
     """Add ``{new name: column}`` of the preceding and of the following row."""
-    groups = [key] if piece is None else [key, _PIECE]
-    in_order = Window.partitionBy(*groups).orderBy(order)
-    local = {new: F.lag(c).over(in_order) for new, c in previous.items()}
-    local |= {new: F.lead(c).over(in_order) for new, c in following.items()}
-    if piece is None:
-        return df.withColumns(local)
-    pieces = _with_piece(df, order, piece)
-    edges = pieces.groupBy(*groups).agg(
-        F.min(order).alias("_first"),
-        F.max(order).alias("_last"),
-        *[F.max_by(c, order).alias(f"_out_{new}") for new, c in previous.items()],
-        *[F.min_by(c, order).alias(f"_out_{new}") for new, c in following.items()],
-    )
-    across = Window.partitionBy(key).orderBy(_PIECE)
-    edges = edges.select(
-        *groups,
-        "_first",
-        "_last",
-        *[F.lag(f"_out_{new}").over(across).alias(f"_in_{new}") for new in previous],
-        *[F.lead(f"_out_{new}").over(across).alias(f"_in_{new}") for new in following],
-    )
-
-    def joined(new: str, edge: str) -> Column:
-        at_edge = F.col(order) == F.col(edge)
-        return F.when(at_edge, F.col(f"_in_{new}")).otherwise(F.col(new))
-
-    return (
-        pieces.withColumns(local)
-        .join(edges, groups, "left")
-        .withColumns(
-            {new: joined(new, "_first") for new in previous}
-            | {new: joined(new, "_last") for new in following}
-        )
-        .drop(_PIECE, "_first", "_last", *[f"_in_{new}" for new in [*previous, *following]])
-    )
+    in_order = Window.partitionBy(key).orderBy(order)
+    columns = {new: F.lag(c).over(in_order) for new, c in previous.items()}
+    columns |= {new: F.lead(c).over(in_order) for new, c in following.items()}
+    return df.withColumns(columns)
 
 
-def lowest(
-    df: DataFrame, key: str, order: str, name: str, value: Column, piece: int | None = None
-) -> DataFrame:
+def lowest(df: DataFrame, key: str, order: str, name: str, value: Column) -> DataFrame:
     """Add the key's lowest ``value`` to each of its rows."""
-    if piece is None:
-        whole_key = (
-            Window.partitionBy(key)
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        )
-        return df.withColumn(name, F.min(value).over(whole_key))
-    pieces = _with_piece(df, order, piece)
-    per_piece = pieces.groupBy(key, _PIECE).agg(F.min(value).alias(name))
-    per_key = per_piece.withColumn(name, F.min(name).over(Window.partitionBy(key)))
-    return pieces.join(per_key, [key, _PIECE], "left").drop(_PIECE)
+    whole_key = (
+        Window.partitionBy(key)
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+    return df.withColumn(name, F.min(value).over(whole_key))

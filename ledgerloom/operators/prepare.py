@@ -145,20 +145,18 @@ def published(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     )
 
 
-def dedupe(panel: DataFrame, spec: PanelSpec, by_entity: bool = False) -> DataFrame:
+def dedupe(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     """One row per entity-period: the lowest balance, NULL balances last.
 
     Ties are broken by the remaining measures, so rows that still tie are equal.
     Spark cuts each group to one row per task before the shuffle
     (``WindowGroupLimit``), so a heavily copied key does not pile up.
-
-    ``by_entity`` states that no entity has many source rows. Rows are then
-    hashed by entity at once, and the windows that follow need neither another
-    shuffle nor another sort.
+    Rows without an entity or a period have no place in the panel and drop out first,
+    so they form no group.
     """
-    rows = panel.select(F.col("id").alias("loan_id"), F.col("time").alias("period"), *MEASURES)
-    if by_entity:
-        rows = rows.repartition("loan_id")
+    rows = panel.where("id IS NOT NULL AND time IS NOT NULL").select(
+        F.col("id").alias("loan_id"), F.col("time").alias("period"), *MEASURES
+    )
     copies = Window.partitionBy("loan_id", "period").orderBy(
         *[F.col(c).asc_nulls_last() for c in MEASURES]
     )
@@ -244,32 +242,27 @@ def macro_rows(panel: DataFrame) -> DataFrame:
     )
 
 
-def linked_rows(kept: DataFrame, spec: PanelSpec, split: bool = False) -> DataFrame:
+def linked_rows(kept: DataFrame) -> DataFrame:
     """Carry measures forward and attach each row's neighbours.
 
     Every measure takes its last non-NULL value at or before the row. On top of
     that: ``next_period`` and ``next_status`` of the following report,
     ``prior_balance`` and ``prior_status`` of the preceding one, and the
-    entity's ``default_period``. ``split`` selects the form for entities with
-    more periods than one window group should hold; results are the same.
-    Rows without an entity or a period have no place in the panel and drop out.
+    entity's ``default_period``.
     """
-    piece = spec.entity_window_periods if split else None
-    placed = kept.where(F.col("loan_id").isNotNull() & F.col("period").isNotNull())
-    carried = ordered.carry_forward(placed, "loan_id", "period", MEASURES, piece)
+    carried = ordered.carry_forward(kept, "loan_id", "period", MEASURES)
     linked = ordered.neighbours(
         carried,
         "loan_id",
         "period",
         previous={"prior_balance": "balance_time", "prior_status": "status_time"},
         following={"next_period": "period", "next_status": "status_time"},
-        piece=piece,
     )
     first_default = F.when(F.col("status_time") == DEFAULT, F.col("period"))
-    return ordered.lowest(linked, "loan_id", "period", "default_period", first_default, piece)
+    return ordered.lowest(linked, "loan_id", "period", "default_period", first_default)
 
 
-def gap_filled(linked: DataFrame, spec: PanelSpec, split: bool = False) -> DataFrame:
+def gap_filled(linked: DataFrame) -> DataFrame:
     """Repeat each report over the missing periods that follow it, flagged.
 
     Replaces a spine of all periods joined to the reports: each report knows
@@ -277,13 +270,6 @@ def gap_filled(linked: DataFrame, spec: PanelSpec, split: bool = False) -> DataF
     """
     last = F.coalesce(F.col("next_period") - 1, F.col("period"))
     rows = linked.withColumn("reported_period", F.col("period"))
-    if split:
-        # Two steps, so that one very long gap is not one very long array.
-        step = F.lit(spec.entity_window_periods).cast("long")
-        rows = rows.withColumn("gap_end", last).withColumn(
-            "period", F.explode(F.sequence(F.col("period"), F.col("gap_end"), step))
-        )
-        last = F.least(F.col("gap_end"), F.col("period") + step - 1)
     filled = rows.withColumn("period", F.explode(F.sequence(F.col("period"), last)))
     is_filled = F.col("period") != F.col("reported_period")
     # The row before a filled row is its own copy, and a filled row is never
@@ -300,21 +286,14 @@ def gap_filled(linked: DataFrame, spec: PanelSpec, split: bool = False) -> DataF
             "moves_next": ~is_filled
             & F.coalesce(F.col("next_period") == F.col("period") + 1, F.lit(False)),
         }
-    ).drop("reported_period", "gap_end", "next_period")
+    ).drop("reported_period", "next_period")
 
 
-def fact_rows(
-    linked: DataFrame,
-    dim: DataFrame,
-    macro: DataFrame,
-    spec: PanelSpec,
-    split: bool = False,
-    small_macro: bool = False,
-) -> DataFrame:
+def fact_rows(linked: DataFrame, dim: DataFrame, macro: DataFrame, spec: PanelSpec) -> DataFrame:
     """The panel fact: ``FACT_COLUMNS`` plus ``LINK_COLUMNS``.
 
     The entity join runs before gaps are filled, on the window's hash layout.
-    ``small_macro`` states that the period table was counted and is small.
+    The planner decides by size whether the period table is broadcast.
     """
     attributes = dim.select(
         "loan_id",
@@ -329,10 +308,7 @@ def fact_rows(
         "credit_score",
         "original_balance",
     )
-    periods = F.broadcast(macro) if small_macro else macro
-    rows = gap_filled(linked.join(attributes, "loan_id"), spec, split).join(
-        periods, "period", "left"
-    )
+    rows = gap_filled(linked.join(attributes, "loan_id")).join(macro, "period", "left")
     period, ltv, status = F.col("period"), F.col("LTV_time"), F.col("status_time")
     return rows.withColumns(
         {

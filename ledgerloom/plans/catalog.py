@@ -27,7 +27,12 @@ from ledgerloom.operators import (
 from ledgerloom.plans.reporting import REPORTS, ReportStore
 from ledgerloom.plans.warehouse import Warehouse, build_warehouse, shared_folder, written
 from ledgerloom.sources import sinks
-from ledgerloom.sources.derived import DERIVED_SPEC, entities_from_orders, panel_from_orders
+from ledgerloom.sources.derived import (
+    DERIVED_SPEC,
+    entities_from_rows,
+    panel_from_rows,
+    shipped_rows,
+)
 from ledgerloom.sources.panel import schema_profile
 from ledgerloom.spec import INGEST_PHASE, QUALITY_PHASE, PanelSpec
 
@@ -50,8 +55,10 @@ class Context:
 
     def __init__(self, spark: SparkSession, folder: str):
         path = shared_folder(spark)
-        entities = written(entities_from_orders(spark, folder), f"{path}/entities")
-        panel = written(panel_from_orders(spark, folder, entities), f"{path}/panel")
+        rows = written(shipped_rows(spark, folder), f"{path}/rows")
+        customer = spark.read.parquet(f"{folder}/customer.parquet")
+        entities = written(entities_from_rows(rows, customer), f"{path}/entities")
+        panel = written(panel_from_rows(rows, entities), f"{path}/panel")
         self.warehouse: Warehouse = build_warehouse(panel, DERIVED_SPEC, path)
         self.store = ReportStore(self.warehouse, f"{path}/reports")
 

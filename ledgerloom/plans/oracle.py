@@ -45,21 +45,19 @@ def _money(value: str) -> str:
 
 BASE = {
     "shipped": """
-  SELECT o_custkey AS id,
-         CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) AS BIGINT) AS t,
-         l_linenumber, l_extendedprice, l_discount, l_tax, c_nationkey, c_mktsegment
-  FROM lineitem, orders, customer
-  WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey
-    AND (year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) >= 1 + o_custkey % 12""",
-    "entry": "SELECT id, min(t) AS mn FROM shipped GROUP BY id",
-    "presence": """
-  SELECT id, any_value(mn) AS mn, max(t) AS mx
-  FROM shipped JOIN entry USING (id) WHERE t <= mn + 4 + id % 20 GROUP BY id""",
+  SELECT customer * 64 + CASE WHEN t < 1 + customer % 12 THEN 0
+           ELSE 1 + (t - 1 - customer % 12) // (5 + customer % 20) END AS id,
+         t, l_linenumber, l_extendedprice, l_discount, l_tax, c_nationkey, c_mktsegment
+  FROM (SELECT *, o_custkey AS customer,
+               CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) AS BIGINT) AS t
+        FROM lineitem, orders, customer
+        WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey)""",
+    "presence": "SELECT id, min(t) AS mn, max(t) AS mx FROM shipped GROUP BY id",
     "placed": """
   SELECT *, mn - id % 5 AS start_t, 4e1 + (id * 37 % 800) / 1e1 AS ltv0,
          3e0 + (id % 40) / 1e1 AS rate0,
          CASE WHEN t < mx OR id % 10 >= 7 THEN 0 WHEN id % 10 < 3 THEN 1 ELSE 2 END AS st
-  FROM shipped JOIN presence USING (id) WHERE t BETWEEN mn AND mx""",
+  FROM shipped JOIN presence USING (id)""",
     "panel": """
   SELECT id, t AS "time",
          start_t + CASE WHEN id % 50 = 0 AND l_linenumber >= 4 THEN 1 ELSE 0 END AS orig_time,

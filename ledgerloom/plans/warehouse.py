@@ -7,7 +7,6 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.operators import prepare
 from ledgerloom.spec import PanelSpec
@@ -38,12 +37,12 @@ class Warehouse:
         return prepare.published(self.event, prepare.EVENT_COLUMNS)
 
 
-def lazy_warehouse(panel: DataFrame, spec: PanelSpec, split: bool = False) -> Warehouse:
+def lazy_warehouse(panel: DataFrame, spec: PanelSpec) -> Warehouse:
     """All tables as one lazy plan. Small panels and tests; nothing is written."""
     dim = prepare.dim_rows(prepare.entity_attributes(panel), spec)
     macro = prepare.macro_rows(panel)
-    linked = prepare.linked_rows(prepare.dedupe(panel, spec), spec, split)
-    fact = prepare.fact_rows(linked, dim, macro, spec, split)
+    linked = prepare.linked_rows(prepare.dedupe(panel, spec))
+    fact = prepare.fact_rows(linked, dim, macro, spec)
     return Warehouse(
         spec, panel, dim, fact, prepare.event_rows(fact), prepare.period_rows(fact, spec), macro
     )
@@ -53,24 +52,14 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     """Write the tables under ``path``, each from the ones written before it.
 
     Written tables cut the lineage: a lost executor repeats a task of one step,
-    not the chain. Period and entity tables come first, because the span of
-    periods and the size of the largest entity decide how the fact is built.
+    not the chain. The plan is the same for every panel.
     """
-    spark = panel.sparkSession
     macro = written(prepare.macro_rows(panel), f"{path}/dim_period_macro")
-    rows, first, last = macro.agg(F.count("*"), F.min("period"), F.max("period")).first()
-    span = 0 if first is None else last - first + 1
-    split = span > spec.entity_window_periods
-    small_macro = rows <= spec.broadcast_period_rows
     dim = written(
         prepare.dim_rows(prepare.entity_attributes(panel), spec), f"{path}/dim_loan"
     )
-    heaviest = dim.agg(F.max("source_rows")).first()[0] or 0
-    kept = prepare.dedupe(panel, spec, by_entity=heaviest <= spec.entity_group_rows)
-    linked = prepare.linked_rows(kept, spec, split)
-    fact = written(
-        prepare.fact_rows(linked, dim, macro, spec, split, small_macro), f"{path}/fact_loan_quarter"
-    )
+    linked = prepare.linked_rows(prepare.dedupe(panel, spec))
+    fact = written(prepare.fact_rows(linked, dim, macro, spec), f"{path}/fact_loan_quarter")
     event = written(prepare.event_rows(fact), f"{path}/fact_credit_event")
     periods = written(prepare.period_rows(fact, spec), f"{path}/dim_date")
     return Warehouse(spec, panel, dim, fact, event, periods, macro)

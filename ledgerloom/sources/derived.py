@@ -1,13 +1,14 @@
 """A credit panel derived from order tables.
 
-Customers play the loans and shipping quarters play the reporting periods, so
-the panel has natural duplicates and gaps and grows with ``lineitem``. Entry,
-exit, outcome and origination attributes are functions of the customer key.
+Spells of customers play the loans and shipping quarters play the reporting
+periods, so the panel has natural duplicates and gaps, and a row for every line
+that has an order and a customer. Outcome and origination attributes are
+functions of the entity id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.spec import PANEL_SCHEMA, PanelSpec
@@ -22,61 +23,55 @@ DERIVED_SPEC = PanelSpec(
 )
 
 
-def panel_from_orders(spark: SparkSession, folder: str, entities: DataFrame) -> DataFrame:
-    """Source panel over ``lineitem`` and ``orders``, given ``entities``.
-
-    ``entities`` should be a written table. Read from storage, it is shuffled
-    for the join like the rows are, and only then can adaptive execution split
-    the rows of an entity that holds much of the panel.
-    """
-    quarter_rows = _rows(spark, folder)
-    inside = F.col("time").between(F.col("mn"), F.col("mx"))
-    return quarter_rows.join(entities, "id").where(inside).select(_panel_columns())
-
-
-def entities_from_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with their first and last period, one row each.
-
-    Entities shrink to their distinct quarters before they are shuffled by
-    entity, however many rows they have.
-    """
-    customer = spark.read.parquet(f"{folder}/customer.parquet")
-    quarters = _rows(spark, folder).select("id", "time").distinct()
-    entry = F.min("time").over(Window.partitionBy("id"))
-    presence = (
-        quarters.withColumn("mn", entry)
-        .where(F.col("time") <= F.col("mn") + 4 + F.col("id") % 20)
-        .groupBy("id", "mn")
-        .agg(F.max("time").alias("mx"))
-    )
-    return presence.join(customer, F.col("id") == F.col("c_custkey")).select(
-        "id", "mn", "mx", "c_nationkey", "c_mktsegment"
-    )
+# Spells of one customer: one before the customer's first regular quarter, then one
+# after another. Ids leave room for this many.
+SPELLS = 64
 
 
-def _rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Shipped lines by customer and quarter, from each customer's entry on.
+def shipped_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Shipped lines by entity and quarter: ``lineitem`` and ``orders``, joined once.
 
-    No broadcast hints: both tables grow with the data, so the planner decides
-    by size.
+    An entity is a spell of a customer, so every line has one and none is left out.
+    No broadcast hints: both tables grow with the data, so the planner decides by size.
     """
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     quarter = (F.year("l_shipdate") - FIRST_YEAR) * 4 + F.quarter("l_shipdate")
+    regular = F.expr("1 + customer % 12")
+    spell = F.when(F.col("time") < regular, 0).otherwise(
+        F.expr("1 + (time - 1 - customer % 12) div (5 + customer % 20)")
+    )
     return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
-            F.col("o_custkey").alias("id"),
+            F.col("o_custkey").alias("customer"),
             quarter.cast("long").alias("time"),
             "l_linenumber",
             "l_extendedprice",
             "l_discount",
             "l_tax",
         )
-        .where(F.col("time") >= 1 + F.col("id") % 12)
+        .withColumn("id", F.col("customer") * SPELLS + spell)
+        .drop("customer")
     )
 
 
+def entities_from_rows(rows: DataFrame, customer: DataFrame) -> DataFrame:
+    """Entities with their first and last period and their customer's attributes."""
+    presence = rows.groupBy("id").agg(F.min("time").alias("mn"), F.max("time").alias("mx"))
+    owner = F.expr(f"id div {SPELLS}") == F.col("c_custkey")
+    return presence.join(customer, owner).select("id", "mn", "mx", "c_nationkey", "c_mktsegment")
+
+
+def panel_from_rows(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Source panel over written ``rows`` and ``entities``.
+
+    Read from storage, both sides are shuffled for the join, and only then can adaptive
+    execution split the rows of an entity that holds much of the panel.
+    """
+    return rows.join(entities, "id").select(_panel_columns())
+
+
 def _panel_columns() -> list:
     entity, time = F.col("id"), F.col("time")
     outcome = entity % 10

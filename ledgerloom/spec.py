@@ -139,14 +139,6 @@ class PanelSpec:
     money_scale: int = 2
     # Scale at which averaged measures (loan-to-value, rates) are summed.
     measure_scale: int = 4
-    # When no entity has more source rows than this, copies are removed on the
-    # entity layout itself and the panel is shuffled once instead of twice.
-    entity_group_rows: int = 1_000_000
-    # Beyond this span of periods an entity is split into pieces of this many
-    # periods, instead of being one window group.
-    entity_window_periods: int = 100_000
-    # The per-period table is broadcast only when counted at or below this.
-    broadcast_period_rows: int = 100_000
 
     @property
     def money_type(self) -> T.DecimalType:

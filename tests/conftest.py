@@ -78,8 +78,8 @@ def make_panel(spark):
 
 @pytest.fixture(scope="session")
 def make_warehouse(make_panel):
-    def make(*rows: dict, spec: PanelSpec = PanelSpec(), split: bool = False):
-        lazy = lazy_warehouse(make_panel(*rows), spec, split)
+    def make(*rows: dict, spec: PanelSpec = PanelSpec()):
+        lazy = lazy_warehouse(make_panel(*rows), spec)
         # Cached, since reports read these few rows again and again.
         dim, fact = lazy.dim.cache(), lazy.fact.cache()
         return replace(

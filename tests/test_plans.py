@@ -37,16 +37,38 @@ def test_copies_are_cut_before_the_shuffle(small):
     assert len(limits) == 2 and limits[0] < exchange < limits[1]
 
 
-@pytest.mark.parametrize(
-    ("by_entity", "shuffles"), [(False, ["loan_id", "loan_id, period"]), (True, ["loan_id"])]
-)
-def test_entity_work_on_the_fact_shares_one_shuffle(small, by_entity, shuffles):
-    kept = prepare.dedupe(small.warehouse.panel, SPEC, by_entity)
-    text = plan(prepare.linked_rows(kept, SPEC))
+def test_entity_work_on_the_fact_shares_one_shuffle(small):
+    text = plan(prepare.linked_rows(prepare.dedupe(small.warehouse.panel, SPEC)))
     partitionings = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
-    assert [re.sub(r"#\d+L?|, \d+$", "", p) for p in partitionings] == shuffles
+    assert [re.sub(r"#\d+L?|, \d+$", "", p) for p in partitionings] == ["loan_id", "loan_id, period"]
     # Sorts: one per shuffle, and one below the map-side cut.
-    assert text.count("+- Sort [") == (1 if by_entity else 3)
+    assert text.count("+- Sort [") == 3
+
+
+def test_odd_rows_do_not_change_the_plan(make_panel):
+    """A stray period, or many rows without an entity, and the plan stays as it is."""
+    usual = [{"id": i, "time": t} for i in (1, 2) for t in (1, 2)]
+    odd = [*usual, {"id": 1, "time": 500_000}, *[{"id": None, "time": 1}] * 50]
+    texts = [
+        re.sub(r"#\d+L?|ExistingRDD.*|\[plan_id=\d+\]|Scan.*", "", plan(
+            prepare.linked_rows(prepare.dedupe(make_panel(*rows), SPEC))
+        ))
+        for rows in (usual, odd)
+    ]
+    assert texts[0] == texts[1]
+
+
+def test_panel_keeps_every_shipped_line(spark, small):
+    tables = {
+        t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        for t in ("lineitem", "orders", "customer")
+    }
+    joined = (
+        tables["lineitem"]
+        .join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    )
+    assert small.warehouse.panel.count() == joined.count()
 
 
 def test_reports_on_the_fact_scan_it_once(small):
@@ -121,10 +143,10 @@ def test_one_entity_with_a_third_of_all_rows(spark, make_panel):
 def test_hot_customer_is_split_in_the_panel_join(spark, tmp_path):
     """One customer with a third of the rows: adaptive execution splits its join."""
     from ledgerloom.plans.warehouse import written
-    from ledgerloom.sources.derived import entities_from_orders, panel_from_orders
+    from ledgerloom.sources.derived import entities_from_rows, panel_from_rows, shipped_rows
 
     n = 60_000
-    owner = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5_000).cast("long")
+    owner = F.when(F.col("id") % 3 == 0, F.lit(19)).otherwise(F.col("id") % 5_000).cast("long")
     keys = spark.range(n)
     keys.select(F.col("id").alias("o_orderkey"), owner.alias("o_custkey")).write.parquet(
         f"{tmp_path}/orders.parquet"
@@ -158,10 +180,13 @@ def test_hot_customer_is_split_in_the_panel_join(spark, tmp_path):
         spark.conf.set(key, value)
     try:
         folder = str(tmp_path)
-        entities = written(entities_from_orders(spark, folder), f"{folder}/entities")
-        panel = panel_from_orders(spark, folder, entities)
-        rows = panel.collect()
-        assert sum(r["id"] == 7 for r in rows) > 1_000
+        rows = written(shipped_rows(spark, folder), f"{folder}/rows")
+        customer = spark.read.parquet(f"{folder}/customer.parquet")
+        entities = written(entities_from_rows(rows, customer), f"{folder}/entities")
+        panel = panel_from_rows(rows, entities)
+        assert panel.count() == n
+        assert panel.groupBy("id").count().agg(F.max("count")).first()[0] > 10_000
+        panel.collect()
         assert "skew=true" in plan(panel)
     finally:
         for key, value in before.items():

@@ -208,22 +208,6 @@ def _random_rows(seed: int) -> list[dict]:
     return rows
 
 
-@pytest.mark.parametrize(("seed", "pieces"), [(1, (1, 7)), (2, (3,))])
-def test_split_entities_give_the_same_fact(make_panel, seed, pieces):
-    """Entities cut into pieces equal one window group per entity."""
-    panel = make_panel(*_random_rows(seed)).cache()
-
-    def fact(piece: int | None):
-        spec = PanelSpec(entity_window_periods=piece or 100)
-        rows = lazy_warehouse(panel, spec, split=piece is not None).fact
-        return sorted(map(str, rows_of(rows.select(sorted(rows.columns)))))
-
-    expected = fact(None)
-    assert len(expected) > 100
-    for piece in pieces:
-        assert fact(piece) == expected
-
-
 @pytest.mark.parametrize("seed", [4, 5])
 def test_fact_equals_brute_force(make_warehouse, seed):
     """Gap fill and links against a plain loop over each entity's periods."""
