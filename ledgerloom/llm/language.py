@@ -29,6 +29,7 @@ UNKNOWN = "und"
 # Part of a centroid's own sample that lies beyond its radius.
 REJECT = 0.005
 PORTION = 1 << 20
+_PLACES = 1 << 30
 
 _letters: np.ndarray | None = None
 
@@ -158,9 +159,19 @@ def fit(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     importable(documents.sparkSession)
     learning = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     idf = inverse_frequencies(learning)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    # Only about four samples a language go to the window, however many tasks there are.
+    # The counts have one row per language.
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_PLACES))
+    enough = (
+        learning.groupBy(F.col("lang").alias("of"))
+        .agg(F.count("*").alias("n"))
+        .select("of", (F.lit(4.0 * sample * _PLACES) / F.col("n")).alias("below"))
+    )
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
     chosen = (
-        learning.select("doc_id", "lang", "text")
+        learning.select("doc_id", "lang", "text", place.alias("place"))
+        .join(F.broadcast(enough), F.col("lang") == F.col("of"))
+        .where("place < below")
         .withColumn("n", F.row_number().over(order))
         .where(F.col("n") <= sample)
         .select("lang", "text")
