@@ -26,13 +26,19 @@ def run_cycle(
     ``run_at`` starts a folder of its own for the run's tables, since written
     reports are inputs of later steps, and stamps its findings. The register is
     shared by all runs and only grows. Commentary is written for ``period``, the
-    latest one by default; reports and tables are exported as CSV.
+    latest one by default, and a period without data is an error; reports and tables
+    are exported as CSV.
     """
     spark: SparkSession = panel.sparkSession
     run = f"{folder}/run={run_at:%Y%m%dT%H%M%S}"
     register_path = f"{folder}/dq_results"
     warehouse = build_warehouse(panel, spec, f"{run}/warehouse")
     store = ReportStore(warehouse, f"{run}/reports")
+    summary = store.report("vw_portfolio_summary")
+    if period is None:
+        period = summary.agg(F.max("period")).first()[0]
+    elif summary.where(F.col("period") == period).isEmpty():
+        raise ValueError(f"no data for period {period}")
     # The rules come second and need a later stamp to be the newest run.
     for phase, findings, at in (
         (INGEST_PHASE, store.ingest_findings(), run_at),
@@ -40,8 +46,6 @@ def run_cycle(
     ):
         sinks.append_register(quality.register_rows(findings, phase, at), register_path)
     register = sinks.read_register(spark, register_path)
-    if period is None:
-        period = store.report("vw_portfolio_summary").agg(F.max("period")).first()[0]
     lines = store.commentary_lines(register, f"{run_at:%Y-%m-%d %H:%M}", period)
     sinks.write_commentary(lines, f"{run}/commentary")
     sinks.export_csv(

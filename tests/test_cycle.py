@@ -4,6 +4,8 @@ import datetime
 import glob
 import os
 
+import pytest
+
 from ledgerloom.operators import quality
 from ledgerloom.plans import reporting
 from ledgerloom.plans.cycle import run_cycle
@@ -46,3 +48,11 @@ def test_two_cycles_from_csv(spark, make_panel, tmp_path):
     reporting.create_views(store.warehouse)
     query = "SELECT defaults FROM vw_portfolio_summary WHERE period = :period"
     assert spark.sql(query, args={"period": 3}).first()["defaults"] == 1
+
+
+def test_a_period_without_data_is_an_error(make_panel, tmp_path):
+    panel = make_panel({"id": 1, "time": 1}, {"id": 1, "time": 2})
+    run_at = datetime.datetime(2024, 1, 31)
+    with pytest.raises(ValueError, match="99"):
+        run_cycle(panel, PanelSpec(), str(tmp_path), run_at, period=99)
+    assert not os.path.exists(f"{tmp_path}/dq_results")
