@@ -32,11 +32,11 @@ def neighbours(
     return df.withColumns(columns)
 
 
-def lowest(df: DataFrame, key: str, order: str, name: str, value: Column) -> DataFrame:
-    """Add the key's lowest ``value`` to each of its rows."""
+def lowest(df: DataFrame, key: str, order: str, values: Mapping[str, Column]) -> DataFrame:
+    """Add ``{new name: value}``, the key's lowest, to each of its rows."""
     whole_key = (
         Window.partitionBy(key)
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    return df.withColumn(name, F.min(value).over(whole_key))
+    return df.withColumns({name: F.min(v).over(whole_key) for name, v in values.items()})

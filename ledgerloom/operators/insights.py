@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.columns import (
     calendar_year,
     exact_mean,
+    exact_sum,
     labelled,
     money_text,
     percent,
@@ -84,7 +85,7 @@ def _lifetime_default(cohorts: DataFrame, event: DataFrame, keys: list[str]) ->
 def focus_exposure(event: DataFrame, spec: PanelSpec) -> DataFrame:
     """Exposure at default of the focus vintages, in millions."""
     age = F.col("quarters_on_book_at_default")
-    exposure = F.sum("exposure_at_default").cast("double")
+    exposure = exact_sum(F.col("exposure_at_default"), spec.money_type).cast("double")
     return (
         event.where(F.col("focus_cohort").isNotNull())
         .groupBy("origination_vintage")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import exact_mean, percent, ratio
+from ledgerloom.functions.columns import exact_mean, exact_sum, percent, ratio
 from ledgerloom.operators.segments import long_segments
 from ledgerloom.spec import SEGMENT_DIMENSIONS, PanelSpec
 
@@ -26,7 +26,7 @@ def loss_exposure(event: DataFrame, spec: PanelSpec) -> DataFrame:
         SEGMENT_DIMENSIONS,
         total=True,
     )
-    exposure = F.sum("exposure_at_default")
+    exposure = exact_sum(F.col("exposure_at_default"), spec.money_type)
     age = F.col("quarters_on_book_at_default")
     return rows.groupBy("segment_type", "segment_value").agg(
         F.count("*").alias("defaults"),
@@ -37,6 +37,6 @@ def loss_exposure(event: DataFrame, spec: PanelSpec) -> DataFrame:
             "pct_underwater_at_default"
         ),
         ratio(F.sum(age), F.count(age)).alias("avg_quarters_on_book_at_default"),
-        percent(exposure, F.sum("original_balance")).alias("exposure_as_pct_of_original"),
+        percent(exposure, exact_sum(F.col("original_balance"), spec.money_type)).alias("exposure_as_pct_of_original"),
         F.lit(None).cast("double").alias("loss_severity_pct"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import calendar_label, percent, status_bucket
+from ledgerloom.functions.columns import calendar_label, exact_sum, percent, status_bucket
 from ledgerloom.spec import PanelSpec
 
 
@@ -43,7 +43,8 @@ def roll_rates_selfjoin(fact: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def _rates(moves: DataFrame, spec: PanelSpec) -> DataFrame:
     cells = moves.groupBy("from_period", "from_status", "to_status").agg(
-        F.count("*").alias("loans_moved"), F.sum("current_balance").alias("balance_moved")
+        F.count("*").alias("loans_moved"),
+        exact_sum(F.col("current_balance"), spec.money_type).alias("balance_moved"),
     )
     origin = Window.partitionBy("from_period", "from_status")
     return cells.select(

@@ -17,6 +17,11 @@ from ledgerloom.spec import (
 )
 
 
+def with_exact_balance(fact: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Balances as decimals: cast once a row, before rows are repeated per dimension."""
+    return fact.withColumn("current_balance", F.col("current_balance").cast(spec.money_type))
+
+
 def balance_where(code: int) -> Column:
     """Exact balance in one status; NULL when no row has it."""
     return F.sum(F.when(F.col("status_code") == code, F.col("current_balance")))
@@ -35,7 +40,7 @@ def portfolio_summary(fact: DataFrame, spec: PanelSpec) -> DataFrame:
 
     The ordered window runs after aggregation, over one row per period.
     """
-    by_period = fact.groupBy("period").agg(
+    by_period = with_exact_balance(fact, spec).groupBy("period").agg(
         balance_where(ACTIVE).cast("double").alias("active_balance"),
         loans_where(ACTIVE).alias("active_loans"),
         balance_where(DEFAULT).cast("double").alias("defaulted_balance"),
@@ -71,10 +76,12 @@ def portfolio_summary(fact: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def segment_cells(fact: DataFrame) -> DataFrame:
+def segment_cells(fact: DataFrame, spec: PanelSpec) -> DataFrame:
     """Exact totals per dimension value and period, money still decimal."""
     rows = long_segments(
-        fact, ["period", "status_code", "current_balance"], SEGMENT_DIMENSIONS
+        with_exact_balance(fact, spec),
+        ["period", "status_code", "current_balance"],
+        SEGMENT_DIMENSIONS,
     )
     return rows.groupBy("segment_type", "segment_value", "period").agg(
         balance_where(ACTIVE).alias("active_balance"),
@@ -91,7 +98,7 @@ def segment_performance(fact: DataFrame, spec: PanelSpec) -> DataFrame:
     active = F.col("active_balance")
     prior = F.lag("active_balance").over(in_order)
     return (
-        segment_cells(fact)
+        segment_cells(fact, spec)
         .withColumn("dimension_balance", F.sum("active_balance").over(whole_dimension))
         .withColumns(
             {
@@ -122,7 +129,10 @@ def segment_performance(fact: DataFrame, spec: PanelSpec) -> DataFrame:
 def status_mix(fact: DataFrame, spec: PanelSpec) -> DataFrame:
     """Loans and balance by status, with shares, per segment and period."""
     rows = long_segments(
-        fact, ["period", "status_bucket", "current_balance"], STATUS_DIMENSIONS, total=True
+        with_exact_balance(fact, spec),
+        ["period", "status_bucket", "current_balance"],
+        STATUS_DIMENSIONS,
+        total=True,
     )
     cells = rows.groupBy("segment_type", "segment_value", "period", "status_bucket").agg(
         F.count("*").alias("loans"), F.sum("current_balance").alias("balance")

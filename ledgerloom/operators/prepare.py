@@ -106,6 +106,7 @@ FACT_COLUMNS = (
 LINK_COLUMNS = (
     "prior_balance",
     "prior_status",
+    "opens_gap",
     "moves_next",
     "next_status",
     "default_period",
@@ -134,18 +135,11 @@ EVENT_COLUMNS = (
 
 
 def published(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Public columns, with exact money shown as double."""
-    return df.select(
-        [
-            F.col(c).cast("double").alias(c)
-            if df.schema[c].dataType.typeName() == "decimal"
-            else F.col(c)
-            for c in columns
-        ]
-    )
+    """Public columns of a working table."""
+    return df.select(*columns)
 
 
-def dedupe(panel: DataFrame, spec: PanelSpec) -> DataFrame:
+def dedupe(panel: DataFrame) -> DataFrame:
     """One row per entity-period: the lowest balance, NULL balances last.
 
     Ties are broken by the remaining measures, so rows that still tie are equal.
@@ -164,7 +158,6 @@ def dedupe(panel: DataFrame, spec: PanelSpec) -> DataFrame:
         rows.withColumn("copy", F.row_number().over(copies))
         .where(F.col("copy") == 1)
         .drop("copy")
-        .withColumn("balance_time", F.col("balance_time").cast(spec.money_type))
     )
 
 
@@ -208,7 +201,7 @@ def dim_rows(attributes: DataFrame, spec: PanelSpec) -> DataFrame:
         calendar_label(origination, spec).alias("origination_vintage"),
         F.col("FICO_orig_time").alias("credit_score"),
         F.col("LTV_orig_time").alias("original_ltv"),
-        F.col("balance_orig_time").cast(spec.money_type).alias("original_balance"),
+        F.col("balance_orig_time").alias("original_balance"),
         F.col("Interest_Rate_orig_time").alias("original_interest_rate"),
         labelled(
             (
@@ -247,8 +240,8 @@ def linked_rows(kept: DataFrame) -> DataFrame:
 
     Every measure takes its last non-NULL value at or before the row. On top of
     that: ``next_period`` and ``next_status`` of the following report,
-    ``prior_balance`` and ``prior_status`` of the preceding one, and the
-    entity's ``default_period``.
+    ``prior_balance`` and ``prior_status`` of the preceding one, the entity's
+    ``default_period``, and ``first_gap``, the report before its first gap.
     """
     carried = ordered.carry_forward(kept, "loan_id", "period", MEASURES)
     linked = ordered.neighbours(
@@ -259,7 +252,10 @@ def linked_rows(kept: DataFrame) -> DataFrame:
         following={"next_period": "period", "next_status": "status_time"},
     )
     first_default = F.when(F.col("status_time") == DEFAULT, F.col("period"))
-    return ordered.lowest(linked, "loan_id", "period", "default_period", first_default)
+    before_gap = F.when(F.col("next_period") > F.col("period") + 1, F.col("period"))
+    return ordered.lowest(
+        linked, "loan_id", "period", {"default_period": first_default, "first_gap": before_gap}
+    )
 
 
 def gap_filled(linked: DataFrame) -> DataFrame:
@@ -283,10 +279,13 @@ def gap_filled(linked: DataFrame) -> DataFrame:
             "prior_status": F.when(is_filled, F.col("status_time")).otherwise(
                 F.col("prior_status")
             ),
+            "opens_gap": F.coalesce(
+                is_filled & (F.col("period") == F.col("first_gap") + 1), F.lit(False)
+            ),
             "moves_next": ~is_filled
             & F.coalesce(F.col("next_period") == F.col("period") + 1, F.lit(False)),
         }
-    ).drop("reported_period", "next_period")
+    ).drop("reported_period", "next_period", "first_gap")
 
 
 def fact_rows(linked: DataFrame, dim: DataFrame, macro: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerloom.functions.columns import calendar_label, percent, ratio
+from ledgerloom.functions.columns import calendar_label, exact_sum, percent, ratio
 from ledgerloom.spec import ACTIVE, DEFAULT, STAGE_1, STAGE_2, STAGE_3, PanelSpec
 
 
@@ -22,13 +21,15 @@ def stage(spec: PanelSpec) -> Column:
 def stage_cells(fact: DataFrame, spec: PanelSpec) -> DataFrame:
     """Loans and exact exposure per period, stage and score band."""
     return fact.groupBy("period", stage(spec).alias("ifrs9_stage"), "credit_score_band").agg(
-        F.count("*").alias("loans"), F.sum("current_balance").alias("exposure")
+        F.count("*").alias("loans"),
+        exact_sum(F.col("current_balance"), spec.money_type).alias("exposure"),
     )
 
 
 def stage_distribution(fact: DataFrame, spec: PanelSpec) -> DataFrame:
     cells = fact.groupBy("period", stage(spec).alias("ifrs9_stage")).agg(
-        F.count("*").alias("loans"), F.sum("current_balance").cast("double").alias("exposure")
+        F.count("*").alias("loans"),
+        exact_sum(F.col("current_balance"), spec.money_type).cast("double").alias("exposure"),
     )
     return cells.withColumn("reporting_quarter", calendar_label(F.col("period"), spec))
 
@@ -114,7 +115,7 @@ def provision_movement(provisions: DataFrame, spec: PanelSpec) -> DataFrame:
     )
     by_period = provisions.groupBy("period").agg(
         F.when(F.count("provision") > 0, added).alias("closing_provision"),
-        _exposure_sum(F.col("exposure"), spec).cast("double").alias("exposure"),
+        exact_sum(F.col("exposure"), spec.money_type).cast("double").alias("exposure"),
     )
     opening = F.coalesce(F.lag("closing_provision").over(Window.orderBy("period")), F.lit(0.0))
     closing, start = F.col("closing_provision"), F.col("opening_provision")
@@ -139,11 +140,7 @@ def stage2_share(provisions: DataFrame, spec: PanelSpec) -> DataFrame:
     exposure = F.col("exposure")
     in_stage_2 = F.when(F.col("ifrs9_stage") == STAGE_2, exposure)
     return provisions.groupBy("period").agg(
-        percent(_exposure_sum(in_stage_2, spec), _exposure_sum(exposure, spec)).alias(
-            "stage2_share_pct"
-        )
+        percent(
+            exact_sum(in_stage_2, spec.money_type), exact_sum(exposure, spec.money_type)
+        ).alias("stage2_share_pct")
     )
-
-
-def _exposure_sum(exposure: Column, spec: PanelSpec) -> Column:
-    return F.sum(exposure.cast(T.DecimalType(28, spec.money_scale)))

@@ -72,37 +72,46 @@ def ingest_findings(panel: DataFrame, dim: DataFrame, fact: DataFrame) -> DataFr
     the reported fact rows, so no second grouping of the source is needed.
     """
     placed = panel.where(F.col("id").isNotNull() & F.col("time").isNotNull())
-    reported = F.count_if(~F.col("is_forward_filled"))
-    filled_loans = F.count_distinct(F.when(F.col("is_forward_filled"), F.col("loan_id")))
-    in_fact = fact.agg(
-        reported.alias("reported"),
-        F.count_if("is_forward_filled").alias("filled"),
-        filled_loans.alias("filled_loans"),
+    before, after = GAP_DETAIL.split("%d")
+    duplicate, gap = F.lit("duplicate_loan_period"), F.lit("panel_period_gap")
+    gap_detail = F.concat(F.lit(before), F.col("filled_loans").cast("string"), F.lit(after))
+    in_source = placed.agg(F.count("*").alias("affected_rows")).select(
+        duplicate.alias("rule_name"), "affected_rows", F.lit(DUPLICATE_DETAIL).alias("detail")
     )
-    dropped = (
-        placed.agg(F.count("*").alias("n"))
-        .union(in_fact.select(-F.col("reported")))
-        .agg(F.sum("n").alias("affected_rows"))
+    # One scan of the fact, whose single row of counts becomes a row per rule. A loan
+    # opens its first gap once, so marked rows count loans.
+    in_fact = (
+        fact.agg(
+            F.count_if(~F.col("is_forward_filled")).alias("reported"),
+            F.count_if("is_forward_filled").alias("filled"),
+            F.count_if("opens_gap").alias("filled_loans"),
+        )
         .select(
-            F.lit("duplicate_loan_period").alias("rule_name"),
-            "affected_rows",
-            F.lit(DUPLICATE_DETAIL).alias("detail"),
+            F.inline(
+                F.array(
+                    F.struct(
+                        duplicate.alias("rule_name"),
+                        (-F.col("reported")).alias("affected_rows"),
+                        F.lit(DUPLICATE_DETAIL).alias("detail"),
+                    ),
+                    F.struct(
+                        gap.alias("rule_name"),
+                        F.col("filled").alias("affected_rows"),
+                        gap_detail.alias("detail"),
+                    ),
+                )
+            )
         )
     )
+    from_rows = in_source.unionByName(in_fact).groupBy("rule_name", "detail").agg(
+        F.sum("affected_rows").alias("affected_rows")
+    )
     inconsistent = dim.agg(F.count_if("is_inconsistent").alias("affected_rows")).select(
         F.lit("inconsistent_origination_attributes").alias("rule_name"),
         "affected_rows",
         F.lit(INCONSISTENT_DETAIL).alias("detail"),
     )
-    before, after = GAP_DETAIL.split("%d")
-    gaps = in_fact.select(
-        F.lit("panel_period_gap").alias("rule_name"),
-        F.col("filled").alias("affected_rows"),
-        F.concat(F.lit(before), F.col("filled_loans").cast("string"), F.lit(after)).alias(
-            "detail"
-        ),
-    )
-    findings = dropped.unionByName(inconsistent).unionByName(gaps)
+    findings = from_rows.unionByName(inconsistent)
     return findings.select(
         "rule_name",
         _severity(INGEST_SEVERITY, F.col("rule_name")).alias("severity"),
@@ -130,7 +139,7 @@ def with_prior(fact: DataFrame) -> DataFrame:
 
 def balance_rise(spec: PanelSpec) -> Column:
     """An active row whose balance rose by more than the tolerance."""
-    rise = F.col("current_balance").cast("double") - F.col("prior_balance").cast("double")
+    rise = F.col("current_balance") - F.col("prior_balance")
     return (rise > spec.balance_rise_tolerance) & (F.col("status_code") == ACTIVE)
 
 
@@ -140,11 +149,11 @@ def reconciliation(segments: DataFrame, summary: DataFrame, spec: PanelSpec) ->
     Compares the two reports. Money is added as a decimal, so that agreement
     is exactly zero.
     """
-    money = T.DecimalType(28, spec.money_scale)
+    active = F.col("active_balance").cast(spec.money_type)
     totals = segments.groupBy("segment_type", "period").agg(
-        F.sum(F.col("active_balance").cast(money)).alias("segment_total")
+        F.sum(active).alias("segment_total")
     )
-    book = summary.select("period", F.col("active_balance").cast(money).alias("portfolio_total"))
+    book = summary.select("period", active.alias("portfolio_total"))
     return totals.join(book, "period").select(
         "segment_type",
         "period",

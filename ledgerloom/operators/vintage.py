@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import percent
+from ledgerloom.functions.columns import exact_sum, percent
+from ledgerloom.spec import PanelSpec
 
 
-def vintage_curves(dim: DataFrame, fact: DataFrame, event: DataFrame) -> DataFrame:
+def vintage_curves(
+    dim: DataFrame, fact: DataFrame, event: DataFrame, spec: PanelSpec
+) -> DataFrame:
     """Cumulative defaults of each origination cohort by quarters on book.
 
     Only cohorts observed from origination, and only ages from zero on. The
@@ -19,7 +22,7 @@ def vintage_curves(dim: DataFrame, fact: DataFrame, event: DataFrame) -> DataFra
         .groupBy("origination_vintage")
         .agg(
             F.count("*").alias("cohort_loans"),
-            F.sum("original_balance").alias("cohort_original_balance"),
+            exact_sum(F.col("original_balance"), spec.money_type).alias("cohort_original_balance"),
         )
     )
     # The fact is unique on entity and period, and age is the period less a
@@ -39,7 +42,7 @@ def vintage_curves(dim: DataFrame, fact: DataFrame, event: DataFrame) -> DataFra
         )
         .agg(
             F.count("*").alias("defaults_in_quarter"),
-            F.sum("original_balance").alias("defaulted_balance"),
+            exact_sum(F.col("original_balance"), spec.money_type).alias("defaulted_balance"),
         )
     )
     to_age = (

@@ -114,7 +114,7 @@ def _gapfill(c: Context) -> DataFrame:
         "loan_id",
         "period",
         "is_forward_filled",
-        F.col("current_balance").cast("double").alias("balance_time"),
+        F.col("current_balance").alias("balance_time"),
         F.col("current_ltv").alias("LTV_time"),
         F.col("current_interest_rate").alias("interest_rate_time"),
         F.col("status_code").alias("status_time"),
@@ -124,9 +124,7 @@ def _gapfill(c: Context) -> DataFrame:
 
 
 def _dedupe(c: Context) -> DataFrame:
-    return prepare.published(
-        prepare.dedupe(c.warehouse.panel, c.spec), ("loan_id", "period", *prepare.MEASURES)
-    )
+    return prepare.dedupe(c.warehouse.panel)
 
 
 SUMMARY = "vw_portfolio_summary"
@@ -165,7 +163,7 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "roll_rates": lambda c: migration.roll_rates(c.warehouse.fact, c.spec),
     "roll_rates_selfjoin": lambda c: migration.roll_rates_selfjoin(c.warehouse.fact, c.spec),
     "vintage_curves": lambda c: vintage.vintage_curves(
-        c.warehouse.dim, c.warehouse.fact, c.warehouse.event
+        c.warehouse.dim, c.warehouse.fact, c.warehouse.event, c.spec
     ),
     "loss_exposure": lambda c: loss.loss_exposure(c.warehouse.event, c.spec),
     "stage_distribution": lambda c: provision.stage_distribution(c.warehouse.fact, c.spec),

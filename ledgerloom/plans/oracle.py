@@ -1,7 +1,7 @@
 """The registered queries as DuckDB SQL, for checking results.
 
 Written apart from the Spark operators and, where there is a choice, by another
-route: gaps are filled with a spine and an as-of join, transitions come from a
+route: gaps are filled column by column over a spine, transitions come from a
 self-join, segments from grouping sets, probabilities from entity joins.
 """
 
@@ -56,15 +56,21 @@ BASE = {
     "placed": """
   SELECT *, mn - id % 5 AS start_t, 4e1 + (id * 37 % 800) / 1e1 AS ltv0,
          3e0 + (id % 40) / 1e1 AS rate0,
-         CASE WHEN t < mx OR id % 10 >= 7 THEN 0 WHEN id % 10 < 3 THEN 1 ELSE 2 END AS st
+         CASE WHEN (id + t * 5) % 103 = 0 THEN NULL
+              WHEN (id + t * 11) % 307 = 0 THEN 7
+              WHEN id % 41 = 0 AND t = mn + 1 THEN 1
+              WHEN t < mx OR id % 10 >= 7 THEN 0 WHEN id % 10 < 3 THEN 1 ELSE 2 END AS st
   FROM shipped JOIN presence USING (id)""",
     "panel": """
   SELECT id, t AS "time",
          start_t + CASE WHEN id % 50 = 0 AND l_linenumber >= 4 THEN 1 ELSE 0 END AS orig_time,
          mn AS first_time, start_t + 120 AS mat_time,
-         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS balance_time,
-         CAST(CAST(ltv0 * (7e-1 + l_discount * 6e0) AS DECIMAL(18,4)) AS DOUBLE) AS LTV_time,
-         CAST(CAST(rate0 + l_tax * 1e1 AS DECIMAL(18,4)) AS DOUBLE) AS interest_rate_time,
+         CASE WHEN (id + t) % 97 = 0 THEN NULL WHEN (id * 7 + t) % 211 = 0 THEN -4e-3
+              WHEN id % 25 = 0 THEN 5e4 + id % 1000
+              ELSE l_extendedprice + l_linenumber / 1e3 END AS balance_time,
+         CASE WHEN (id + t * 2) % 89 <> 0
+              THEN ltv0 * (7e-1 + l_discount * 6e0) + (id % 7) / 1e5 END AS LTV_time,
+         CASE WHEN (id + t * 3) % 101 <> 0 THEN rate0 + l_tax * 1e1 END AS interest_rate_time,
          1e2 + 3e0 * t - 1e-1 * t * t AS hpi_time,
          2e0 - (t % 5) * 3e-1 AS gdp_time,
          4e0 + (t % 7) * 5e-1 AS uer_time,
@@ -72,17 +78,19 @@ BASE = {
          CAST(c_mktsegment = 'HOUSEHOLD' AS BIGINT) AS REtype_PU_orig_time,
          CAST(c_mktsegment = 'BUILDING' AS BIGINT) AS REtype_SF_orig_time,
          CAST(c_nationkey % 5 = 0 AS BIGINT) AS investor_orig_time,
-         CAST(100000 + id * 7919 % 400000 AS DOUBLE) AS balance_orig_time,
-         500 + id * 53 % 350 AS FICO_orig_time,
-         CAST(CAST(ltv0 AS DECIMAL(18,4)) AS DOUBLE) AS LTV_orig_time,
-         CAST(CAST(rate0 AS DECIMAL(18,4)) AS DOUBLE) AS Interest_Rate_orig_time,
+         CASE WHEN t <= mn OR id % 5 <> 0 OR l_linenumber <> 3
+              THEN CAST(100000 + id * 7919 % 400000 AS DOUBLE) END AS balance_orig_time,
+         CASE WHEN id % 29 = 0 OR id % 23 = 0 AND l_linenumber = 1 THEN NULL
+              WHEN id % 61 = 0 THEN 950 ELSE 500 + id * 53 % 350 END AS FICO_orig_time,
+         CASE WHEN id % 31 <> 0 THEN ltv0 END AS LTV_orig_time,
+         CASE WHEN id % 37 <> 0 OR l_linenumber <> 2 THEN rate0 END AS Interest_Rate_orig_time,
          1e2 + 3e0 * start_t - 1e-1 * start_t * start_t AS hpi_orig_time,
          CAST(st = 1 AS BIGINT) AS default_time, CAST(st = 2 AS BIGINT) AS payoff_time,
          CAST(st AS BIGINT) AS status_time
   FROM placed""",
     "kept": """
   SELECT DISTINCT ON (id, "time") id AS loan_id, "time" AS period,
-         CAST(balance_time AS DECIMAL(18,2)) AS balance, LTV_time AS ltv,
+         balance_time AS balance, LTV_time AS ltv,
          interest_rate_time AS rate, status_time AS status, default_time, payoff_time
   FROM panel
   ORDER BY id, "time", balance_time NULLS LAST, LTV_time NULLS LAST,
@@ -116,7 +124,7 @@ BASE = {
          mat_time - orig_time AS original_term_quarters,
          {_quarter("orig_time")} AS origination_vintage,
          FICO_orig_time AS credit_score, LTV_orig_time AS original_ltv,
-         CAST(balance_orig_time AS DECIMAL(18,2)) AS original_balance,
+         balance_orig_time AS original_balance,
          Interest_Rate_orig_time AS original_interest_rate,
          if(REtype_SF_orig_time = 1, 'Single family',
             if(REtype_PU_orig_time = 1, 'Planned urban',
@@ -137,10 +145,14 @@ BASE = {
   SELECT loan_id, unnest(range(min(period), max(period) + 1)) AS period
   FROM kept GROUP BY loan_id""",
     "filled": """
-  SELECT spine.loan_id, spine.period, kept.period <> spine.period AS is_forward_filled,
-         balance, ltv, rate, status, default_time, payoff_time
-  FROM spine ASOF JOIN kept
-    ON spine.loan_id = kept.loan_id AND spine.period >= kept.period""",
+  SELECT spine.loan_id, spine.period, kept.period IS NULL AS is_forward_filled, """
+    + ", ".join(
+        f"last_value({c} IGNORE NULLS) OVER w AS {c}"
+        for c in ("balance", "ltv", "rate", "status", "default_time", "payoff_time")
+    )
+    + """
+  FROM spine LEFT JOIN kept ON spine.loan_id = kept.loan_id AND spine.period = kept.period
+  WINDOW w AS (PARTITION BY spine.loan_id ORDER BY spine.period ROWS UNBOUNDED PRECEDING)""",
     "fact": f"""
   SELECT loan_id, period, {_quarter("period")} AS reporting_quarter,
          period - orig_time AS quarters_on_book, balance AS current_balance,
@@ -170,13 +182,13 @@ BASE = {
     # --- reports ---
     "sized": """
   SELECT period, reporting_quarter,
-         CAST(sum(CASE WHEN status_code = 0 THEN current_balance END) AS DOUBLE) AS active_balance,
+         CAST(sum(CASE WHEN status_code = 0 THEN current_balance::DECIMAL(28,4) END) AS DOUBLE) AS active_balance,
          count(CASE WHEN status_code = 0 THEN 1 END) AS active_loans,
          count(CASE WHEN status_code = 1 THEN 1 END) AS defaults,
-         CAST(sum(CASE WHEN status_code = 1 THEN current_balance END) AS DOUBLE)
+         CAST(sum(CASE WHEN status_code = 1 THEN current_balance::DECIMAL(28,4) END) AS DOUBLE)
            AS defaulted_balance,
          count(CASE WHEN status_code = 2 THEN 1 END) AS payoffs,
-         CAST(sum(CASE WHEN status_code = 2 THEN current_balance END) AS DOUBLE)
+         CAST(sum(CASE WHEN status_code = 2 THEN current_balance::DECIMAL(28,4) END) AS DOUBLE)
            AS paid_off_balance,
          count(CASE WHEN is_forward_filled THEN 1 END) AS forward_filled_rows,
          max(unemployment_rate) AS unemployment_rate, max(house_price_index) AS house_price_index
@@ -202,10 +214,10 @@ BASE = {
          coalesce(credit_score_band, ltv_band, property_type, occupancy, origination_vintage)
            AS segment_value,
          period, reporting_quarter,
-         sum(CASE WHEN status_code = 0 THEN current_balance END) AS active_exact,
+         sum(CASE WHEN status_code = 0 THEN current_balance::DECIMAL(28,4) END) AS active_exact,
          count(CASE WHEN status_code = 0 THEN 1 END) AS active_loans,
          count(CASE WHEN status_code = 1 THEN 1 END) AS defaults,
-         CAST(sum(CASE WHEN status_code = 1 THEN current_balance END) AS DOUBLE)
+         CAST(sum(CASE WHEN status_code = 1 THEN current_balance::DECIMAL(28,4) END) AS DOUBLE)
            AS defaulted_balance
   FROM fact
   GROUP BY GROUPING SETS ((period, reporting_quarter, credit_score_band),
@@ -231,7 +243,7 @@ BASE = {
               ELSE 'Portfolio' END AS segment_type,
          coalesce(credit_score_band, ltv_band, origination_vintage, 'Total') AS segment_value,
          period, reporting_quarter, status_bucket, count(*) AS loans,
-         sum(current_balance) AS exact
+         sum(current_balance::DECIMAL(28,4)) AS exact
   FROM fact
   GROUP BY GROUPING SETS ((period, reporting_quarter, status_bucket),
     (period, reporting_quarter, status_bucket, credit_score_band),
@@ -246,7 +258,7 @@ BASE = {
     "moves": """
   SELECT a.period AS from_period, a.reporting_quarter AS from_quarter,
          a.status_bucket AS from_status, b.status_bucket AS to_status,
-         count(*) AS loans_moved, sum(a.current_balance) AS exact
+         count(*) AS loans_moved, sum(a.current_balance::DECIMAL(28,4)) AS exact
   FROM fact a JOIN fact b ON a.loan_id = b.loan_id AND b.period - a.period = 1
   WHERE NOT (a.is_forward_filled OR b.is_forward_filled) GROUP BY ALL""",
     "rolls": f"""
@@ -256,12 +268,12 @@ BASE = {
          {_pct("exact", "sum(exact) OVER w")} AS roll_rate_pct_by_balance
   FROM moves WINDOW w AS (PARTITION BY from_period, from_status)""",
     "cohort": """
-  SELECT origination_vintage, count(*) AS cohort_loans, sum(original_balance) AS lent
+  SELECT origination_vintage, count(*) AS cohort_loans, sum(original_balance::DECIMAL(28,4)) AS lent
   FROM loan WHERE observed_from_origination GROUP BY ALL""",
     "aged": """
   SELECT origination_vintage, f.quarters_on_book, count(DISTINCT f.loan_id) AS loans_observed,
          count(DISTINCT CASE WHEN f.period = e.default_period THEN f.loan_id END) AS failed,
-         sum(CASE WHEN f.period = e.default_period THEN e.original_balance ELSE 0 END) AS lost
+         sum(CASE WHEN f.period = e.default_period THEN e.original_balance::DECIMAL(28,4) ELSE 0 END) AS lost
   FROM fact f LEFT JOIN (SELECT loan_id, default_period, original_balance FROM event) e
     USING (loan_id)
   WHERE observed_from_origination AND f.quarters_on_book >= 0 GROUP BY ALL""",
@@ -286,16 +298,16 @@ BASE = {
          coalesce(credit_score_band, ltv_band, property_type, occupancy, origination_vintage,
                   'Total') AS segment_value,
          count(*) AS defaults,
-         CAST(sum(exposure_at_default) AS DOUBLE) AS total_exposure_at_default,
-         CAST(sum(exposure_at_default) AS DOUBLE) / count(exposure_at_default)
+         CAST(sum(exposure_at_default::DECIMAL(28,4)) AS DOUBLE) AS total_exposure_at_default,
+         CAST(sum(exposure_at_default::DECIMAL(28,4)) AS DOUBLE) / count(exposure_at_default)
            AS avg_exposure_at_default,
-         CAST(sum(CAST(ltv_at_default AS DECIMAL(18,4))) AS DOUBLE) / count(ltv_at_default)
+         CAST(sum(CAST(ltv_at_default AS DECIMAL(28,6))) AS DOUBLE) / count(ltv_at_default)
            AS avg_ltv_at_default,
          {_pct("count(CASE WHEN ltv_at_default > 100 THEN 1 END)", "count(*)")}
            AS pct_underwater_at_default,
          CAST(sum(quarters_on_book_at_default) AS DOUBLE) / count(quarters_on_book_at_default)
            AS avg_quarters_on_book_at_default,
-         {_pct("sum(exposure_at_default)", "sum(original_balance)")} AS exposure_as_pct_of_original,
+         {_pct("sum(exposure_at_default::DECIMAL(28,4))", "sum(original_balance::DECIMAL(28,4))")} AS exposure_as_pct_of_original,
          CAST(NULL AS DOUBLE) AS loss_severity_pct
   FROM event
   GROUP BY GROUPING SETS ((), (credit_score_band), (ltv_band), (property_type), (occupancy),
@@ -317,7 +329,7 @@ BASE = {
   WHERE f.status_code = 0 GROUP BY ALL""",
     "stage_cells": """
   SELECT period, reporting_quarter, ifrs9_stage, credit_score_band, count(*) AS loans,
-         sum(current_balance) AS exact
+         sum(current_balance::DECIMAL(28,4)) AS exact
   FROM staged GROUP BY ALL""",
     "provisions": f"""
   SELECT period, reporting_quarter, ifrs9_stage, credit_score_band, loans, exact,
@@ -331,7 +343,8 @@ BASE = {
     LEFT JOIN year_ahead USING (credit_score_band)""",
     "closings": """
   SELECT period, reporting_quarter, CAST(sum(exact) AS DOUBLE) AS exposure,
-         list_reduce(list(provision ORDER BY ifrs9_stage, credit_score_band),
+         list_reduce(list(provision ORDER BY ifrs9_stage, credit_score_band)
+                       FILTER (WHERE provision IS NOT NULL),
                      lambda x, y: x + y) AS closing_provision
   FROM provisions GROUP BY ALL""",
     "openings": """
@@ -355,7 +368,7 @@ BASE = {
     "differences": """
   SELECT segment_type, c.period, CAST(sum(active_exact) - any_value(total) AS DOUBLE) AS d
   FROM cells c
-  JOIN (SELECT period, sum(current_balance) AS total FROM fact WHERE status_code = 0
+  JOIN (SELECT period, sum(current_balance::DECIMAL(28,4)) AS total FROM fact WHERE status_code = 0
         GROUP BY period) p ON p.period = c.period
   GROUP BY ALL""",
     "counted": """
@@ -512,11 +525,11 @@ BASE = {
     LEFT JOIN worst w ON w.period = f.period LEFT JOIN stage2 s2 ON s2.period = f.period""",
 }
 
-_MONEY_DIM = "* REPLACE (CAST(original_balance AS DOUBLE) AS original_balance)"
-_VALUES = """loan_id, period, CAST(balance AS DOUBLE) AS balance_time, ltv AS LTV_time,
+_VALUES = """loan_id, period, balance AS balance_time, ltv AS LTV_time,
   rate AS interest_rate_time, status AS status_time, default_time, payoff_time"""
 _ENDS = """(SELECT id, first(orig_time ORDER BY "time", orig_time) AS orig_time,
-  last(status_time ORDER BY "time", status_time) AS final_status FROM panel GROUP BY id)"""
+  last(status_time ORDER BY "time", status_time) FILTER (WHERE status_time IS NOT NULL)
+    AS final_status FROM panel GROUP BY id)"""
 _BY_AGE = """max(CASE WHEN origination_vintage = '{}'
   THEN cumulative_default_rate_by_balance_pct END)"""
 _BENIGN, _STRESSED = _BY_AGE.format("1995Q2"), _BY_AGE.format("1996Q4")
@@ -550,7 +563,7 @@ BODIES = {
     ),
     "panel_dedupe": f"SELECT {_VALUES} FROM kept",
     "ingest_findings": "SELECT * FROM findings",
-    "dim_entity": f"SELECT {_MONEY_DIM.replace('*', '* EXCLUDE (is_inconsistent)', 1)} FROM loan",
+    "dim_entity": "SELECT * EXCLUDE (is_inconsistent) FROM loan",
     "band_distribution": """SELECT 'credit_score_band' AS band_type, credit_score_band AS band,
   count(*) AS rows FROM loan GROUP BY ALL
   UNION ALL SELECT 'ltv_band', ltv_band, count(*) FROM loan GROUP BY ALL
@@ -558,24 +571,22 @@ BODIES = {
     "dim_period": "SELECT * FROM dates",
     "dim_period_macro": "SELECT * FROM macro",
     "panel_gapfill": f"SELECT {_VALUES}, is_forward_filled FROM filled",
-    "fact_panel": """SELECT * REPLACE (CAST(current_balance AS DOUBLE) AS current_balance)
-  FROM fact""",
-    "fact_event": """SELECT * REPLACE (CAST(original_balance AS DOUBLE) AS original_balance,
-  CAST(exposure_at_default AS DOUBLE) AS exposure_at_default) FROM event""",
+    "fact_panel": "SELECT * FROM fact",
+    "fact_event": "SELECT * FROM event",
     "period_continuity": """SELECT min(period) AS first_period, max(period) AS last_period,
   count(*) AS present, max(period) - min(period) + 1 AS expected,
   first(reporting_quarter ORDER BY period) AS first_quarter,
   last(reporting_quarter ORDER BY period) AS last_quarter FROM dates""",
     "focus_cohort_summary": f"""SELECT focus_cohort, origination_vintage, count(*) AS loans,
   {_round("CAST(sum(credit_score) AS DOUBLE) / count(credit_score)", 0)} AS avg_score,
-  {_round("CAST(sum(CAST(original_ltv AS DECIMAL(18,4))) AS DOUBLE) / count(original_ltv)", 1)}
+  {_round("CAST(sum(CAST(original_ltv AS DECIMAL(28,6))) AS DOUBLE) / count(original_ltv)", 1)}
     AS avg_ltv,
   {_round(_pct("count(e.loan_id)", "count(*)"), 1)} AS lifetime_default_pct
   FROM loan LEFT JOIN (SELECT loan_id FROM event) e USING (loan_id)
   WHERE focus_cohort IS NOT NULL GROUP BY ALL""",
     "focus_exposure": f"""SELECT origination_vintage, count(*) AS defaults,
-  {_round("CAST(sum(exposure_at_default) AS DOUBLE) / 1e6", 1)} AS exposure_at_default_m,
-  {_round("CAST(sum(CAST(ltv_at_default AS DECIMAL(18,4))) AS DOUBLE) / count(ltv_at_default)", 1)}
+  {_round("CAST(sum(exposure_at_default::DECIMAL(28,4)) AS DOUBLE) / 1e6", 1)} AS exposure_at_default_m,
+  {_round("CAST(sum(CAST(ltv_at_default AS DECIMAL(28,6))) AS DOUBLE) / count(ltv_at_default)", 1)}
     AS avg_ltv_at_default,
   {_round("CAST(sum(quarters_on_book_at_default) AS DOUBLE) / count(*)", 1)} AS avg_qob_at_default
   FROM event WHERE focus_cohort IS NOT NULL GROUP BY ALL""",
@@ -588,7 +599,7 @@ BODIES = {
     "vintage_curves": "SELECT * FROM curves",
     "loss_exposure": "SELECT * FROM losses",
     "stage_distribution": """SELECT period, reporting_quarter, ifrs9_stage, count(*) AS loans,
-  CAST(sum(current_balance) AS DOUBLE) AS exposure FROM staged GROUP BY ALL""",
+  CAST(sum(current_balance::DECIMAL(28,4)) AS DOUBLE) AS exposure FROM staged GROUP BY ALL""",
     "pd_lifetime": "SELECT * FROM life",
     "pd_horizon": "SELECT * FROM year_ahead",
     "provision": "SELECT * EXCLUDE (exact) FROM provisions",
@@ -667,10 +678,10 @@ BODIES = {
   GROUP BY ALL ORDER BY rows DESC, term LIMIT 8""",
     "profile_status": """SELECT status_time, count(*) AS rows,
   CASE status_time WHEN 0 THEN '1. Active' WHEN 1 THEN '2. Default' WHEN 2 THEN '3. Payoff' END
-    AS label FROM panel GROUP BY ALL""",
+    AS label FROM panel WHERE status_time IS NOT NULL GROUP BY ALL""",
     "profile_final_status": f"""SELECT final_status, count(*) AS entities,
-  {_round(_pct("count(*)", "(SELECT count(DISTINCT id) FROM panel)"), 1)} AS pct_of_entities
-  FROM {_ENDS} GROUP BY final_status""",
+  {_round(_pct("count(*)", "sum(count(*)) OVER ()"), 1)} AS pct_of_entities
+  FROM {_ENDS} WHERE final_status IS NOT NULL GROUP BY final_status""",
     "profile_macro_means": 'SELECT "time" AS period, '
     + ", ".join(
         _round(f"CAST(sum(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) / count({c})", 2) + f" AS {name}"

@@ -17,7 +17,7 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "vw_segment_performance": lambda w: portfolio.segment_performance(w.fact, w.spec),
     "vw_delinquency": lambda w: portfolio.status_mix(w.fact, w.spec),
     "vw_roll_rates": lambda w: migration.roll_rates(w.fact, w.spec),
-    "vw_vintage_performance": lambda w: vintage.vintage_curves(w.dim, w.fact, w.event),
+    "vw_vintage_performance": lambda w: vintage.vintage_curves(w.dim, w.fact, w.event, w.spec),
     "vw_loss_recovery": lambda w: loss.loss_exposure(w.event, w.spec),
     "vw_provision": lambda w: provision.provision(w.dim, w.fact, w.event, w.spec),
     "vw_provision_movement": lambda w: provision.provision_movement(

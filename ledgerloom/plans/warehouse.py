@@ -41,7 +41,7 @@ def lazy_warehouse(panel: DataFrame, spec: PanelSpec) -> Warehouse:
     """All tables as one lazy plan. Small panels and tests; nothing is written."""
     dim = prepare.dim_rows(prepare.entity_attributes(panel), spec)
     macro = prepare.macro_rows(panel)
-    linked = prepare.linked_rows(prepare.dedupe(panel, spec))
+    linked = prepare.linked_rows(prepare.dedupe(panel))
     fact = prepare.fact_rows(linked, dim, macro, spec)
     return Warehouse(
         spec, panel, dim, fact, prepare.event_rows(fact), prepare.period_rows(fact, spec), macro
@@ -58,7 +58,7 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     dim = written(
         prepare.dim_rows(prepare.entity_attributes(panel), spec), f"{path}/dim_loan"
     )
-    linked = prepare.linked_rows(prepare.dedupe(panel, spec))
+    linked = prepare.linked_rows(prepare.dedupe(panel))
     fact = written(prepare.fact_rows(linked, dim, macro, spec), f"{path}/fact_loan_quarter")
     event = written(prepare.event_rows(fact), f"{path}/fact_credit_event")
     periods = written(prepare.period_rows(fact, spec), f"{path}/dim_date")

@@ -3,7 +3,8 @@
 Spells of customers play the loans and shipping quarters play the reporting
 periods, so the panel has natural duplicates and gaps, and a row for every line
 that has an order and a customer. Outcome and origination attributes are
-functions of the entity id.
+functions of the entity id. Some values are missing or wrong on purpose, so that
+every rule on rows and every NULL case has something to find.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ BENIGN_VINTAGE, STRESSED_VINTAGE = 2, 8
 DERIVED_SPEC = PanelSpec(
     calendar_anchor=(FIRST_YEAR, 1),
     focus_cohorts=((BENIGN_VINTAGE, "Benign cohort"), (STRESSED_VINTAGE, "Stressed cohort")),
+    # Balances of the derived panel have three places, loan-to-value has five.
+    money_scale=4,
+    measure_scale=6,
 )
 
 
@@ -75,8 +79,21 @@ def panel_from_rows(rows: DataFrame, entities: DataFrame) -> DataFrame:
 def _panel_columns() -> list:
     entity, time = F.col("id"), F.col("time")
     outcome = entity % 10
+    # Some reports lack a status, have one without a label, or leave a default again.
     status = (
-        F.when((time < F.col("mx")) | (outcome >= 7), 0).when(outcome < 3, 1).otherwise(2)
+        F.when((entity + time * 5) % 103 == 0, None)
+        .when((entity + time * 11) % 307 == 0, 7)
+        .when((entity % 41 == 0) & (time == F.col("mn") + 1), 1)
+        .when((time < F.col("mx")) | (outcome >= 7), 0)
+        .when(outcome < 3, 1)
+        .otherwise(2)
+    )
+    # Missing, negative and tied balances; the others have a third place.
+    balance = (
+        F.when((entity + time) % 97 == 0, None)
+        .when((entity * 7 + time) % 211 == 0, -0.004)
+        .when(entity % 25 == 0, F.lit(50000.0) + entity % 1000)
+        .otherwise(F.col("l_extendedprice") + F.col("l_linenumber") / F.lit(1000.0))
     )
     # 2% of entities report a second origination period on some rows.
     restated = ((entity % 50 == 0) & (F.col("l_linenumber") >= 4)).cast("long")
@@ -84,18 +101,20 @@ def _panel_columns() -> list:
     original_rate = F.lit(3.0) + (entity % 40) / F.lit(10.0)
     house_prices = F.lit(100.0) + F.lit(3.0) * time - F.lit(0.1) * time * time
     start = F.col("mn") - entity % 5
+    current_ltv = original_ltv * (F.lit(0.7) + F.col("l_discount") * F.lit(6.0))
+    later = time > F.col("mn")
     values = {
         "id": entity,
         "time": time,
         "orig_time": start + restated,
         "first_time": F.col("mn"),
         "mat_time": start + 120,
-        "balance_time": F.col("l_extendedprice").cast("decimal(18,2)"),
-        "LTV_time": (original_ltv * (F.lit(0.7) + F.col("l_discount") * F.lit(6.0))).cast(
-            "decimal(18,4)"
+        "balance_time": balance,
+        "LTV_time": F.when(
+            (entity + time * 2) % 89 != 0, current_ltv + (entity % 7) / F.lit(100000.0)
         ),
-        "interest_rate_time": (original_rate + F.col("l_tax") * F.lit(10.0)).cast(
-            "decimal(18,4)"
+        "interest_rate_time": F.when(
+            (entity + time * 3) % 101 != 0, original_rate + F.col("l_tax") * F.lit(10.0)
         ),
         "hpi_time": house_prices,
         "gdp_time": F.lit(2.0) - (time % 5) * F.lit(0.3),
@@ -104,10 +123,18 @@ def _panel_columns() -> list:
         "REtype_PU_orig_time": F.col("c_mktsegment") == "HOUSEHOLD",
         "REtype_SF_orig_time": F.col("c_mktsegment") == "BUILDING",
         "investor_orig_time": F.col("c_nationkey") % 5 == 0,
-        "balance_orig_time": 100000 + entity * 7919 % 400000,
-        "FICO_orig_time": 500 + entity * 53 % 350,
-        "LTV_orig_time": original_ltv.cast("decimal(18,4)"),
-        "Interest_Rate_orig_time": original_rate.cast("decimal(18,4)"),
+        "balance_orig_time": F.when(
+            ~(later & (entity % 5 == 0) & (F.col("l_linenumber") == 3)),
+            100000 + entity * 7919 % 400000,
+        ),
+        "FICO_orig_time": F.when(entity % 29 == 0, None)
+        .when((entity % 23 == 0) & (F.col("l_linenumber") == 1), None)
+        .when(entity % 61 == 0, 950)
+        .otherwise(500 + entity * 53 % 350),
+        "LTV_orig_time": F.when(entity % 31 != 0, original_ltv),
+        "Interest_Rate_orig_time": F.when(
+            (entity % 37 != 0) | (F.col("l_linenumber") != 2), original_rate
+        ),
         "hpi_orig_time": F.lit(100.0) + F.lit(3.0) * start - F.lit(0.1) * start * start,
         "default_time": status == 1,
         "payoff_time": status == 2,

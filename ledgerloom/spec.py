@@ -134,16 +134,16 @@ class PanelSpec:
     mover_min_active: int = 50
     balance_rise_tolerance: float = 1.0
     reconciliation_tolerance: float = 0.01
-    # Money is summed as an exact decimal, so totals do not depend on row order.
-    # Widen the scale if the source has more than cents: the cast rounds.
-    money_scale: int = 2
-    # Scale at which averaged measures (loan-to-value, rates) are summed.
-    measure_scale: int = 4
+    # Rows keep the source's doubles. Only sums are decimal, so that totals do not
+    # depend on row order; a value too large for the type is an error.
+    money_scale: int = 8
+    # The same for averaged measures (loan-to-value).
+    measure_scale: int = 8
 
     @property
     def money_type(self) -> T.DecimalType:
-        return T.DecimalType(18, self.money_scale)
+        return T.DecimalType(28, self.money_scale)
 
     @property
     def measure_type(self) -> T.DecimalType:
-        return T.DecimalType(18, self.measure_scale)
+        return T.DecimalType(28, self.measure_scale)

@@ -23,8 +23,8 @@ def test_every_query_has_a_statement():
 
 @pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_query_equals_oracle(spark, oracle, name):
-    ours = entry_module.queries()[name](spark, SMALL).toPandas()
-    assert difference(ours, oracle.execute(STATEMENTS[name]).df()) is None
+    ours = entry_module.queries()[name](spark, SMALL).toArrow()
+    assert difference(ours, oracle.sql(STATEMENTS[name]).to_arrow_table()) is None
 
 
 def test_entry_runs(spark):

@@ -31,14 +31,14 @@ def test_no_python_and_no_cross_join(small, name):
 
 
 def test_copies_are_cut_before_the_shuffle(small):
-    text = plan(prepare.dedupe(small.warehouse.panel, SPEC))
+    text = plan(prepare.dedupe(small.warehouse.panel))
     limits = [m.start() for m in re.finditer("WindowGroupLimit", text)]
     exchange = text.index("Exchange")
     assert len(limits) == 2 and limits[0] < exchange < limits[1]
 
 
 def test_entity_work_on_the_fact_shares_one_shuffle(small):
-    text = plan(prepare.linked_rows(prepare.dedupe(small.warehouse.panel, SPEC)))
+    text = plan(prepare.linked_rows(prepare.dedupe(small.warehouse.panel)))
     partitionings = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
     assert [re.sub(r"#\d+L?|, \d+$", "", p) for p in partitionings] == ["loan_id", "loan_id, period"]
     # Sorts: one per shuffle, and one below the map-side cut.
@@ -51,7 +51,7 @@ def test_odd_rows_do_not_change_the_plan(make_panel):
     odd = [*usual, {"id": 1, "time": 500_000}, *[{"id": None, "time": 1}] * 50]
     texts = [
         re.sub(r"#\d+L?|ExistingRDD.*|\[plan_id=\d+\]|Scan.*", "", plan(
-            prepare.linked_rows(prepare.dedupe(make_panel(*rows), SPEC))
+            prepare.linked_rows(prepare.dedupe(make_panel(*rows)))
         ))
         for rows in (usual, odd)
     ]
@@ -132,7 +132,7 @@ def test_one_entity_with_a_third_of_all_rows(spark, make_panel):
     panel = rows.select(
         "*", *[F.lit(v).cast(base.schema[c].dataType).alias(c) for c, v in values.items()]
     )
-    kept = prepare.dedupe(panel, SPEC)
+    kept = prepare.dedupe(panel)
     hot = kept.where("loan_id = 0").orderBy("period").collect()
     assert [(r["period"], float(r["balance_time"])) for r in hot] == [
         (t, float(min(i % 1000 + 1 for i in range(0, 60_000, 3) if i % 5 == t))) for t in range(5)

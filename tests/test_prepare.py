@@ -50,8 +50,7 @@ def test_dedupe_keeps_lowest_balance_with_nulls_last(make_panel):
             {"time": 3, "balance_time": 60.0, "LTV_time": 9.0},
             {"time": 3, "balance_time": 60.0, "LTV_time": 8.0},
             {"time": 4, "balance_time": None},
-        ),
-        SPEC,
+        )
     )
     got = [(r["period"], r["balance_time"], r["LTV_time"]) for r in rows_of(kept, "period")]
     assert [(p, None if b is None else float(b), v) for p, b, v in got] == [
