@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import quality
-from ledgerloom.plans.reporting import REPORTS, ReportStore
+from ledgerloom.plans.reporting import REPORTS, SORT_KEYS, ReportStore
 from ledgerloom.plans.warehouse import build_warehouse
 from ledgerloom.sources import sinks
+from ledgerloom.sources.panel import schema_profile
 from ledgerloom.spec import INGEST_PHASE, QUALITY_PHASE, PanelSpec
 
 
@@ -25,9 +26,10 @@ def run_cycle(
 
     ``run_at`` starts a folder of its own for the run's tables, since written
     reports are inputs of later steps, and stamps its findings. The register is
-    shared by all runs and only grows. Commentary is written for ``period``, the
-    latest one by default, and a period without data is an error; reports and tables
-    are exported as CSV.
+    shared by all runs and only grows; a run repeated with its stamp replaces itself.
+    Commentary is written for ``period``, the latest one by default, and a period
+    without data is an error. Reports and tables are exported as CSV in the order of
+    their keys, with the profile of the source, row counts and the quality score.
     """
     spark: SparkSession = panel.sparkSession
     run = f"{folder}/run={run_at:%Y%m%dT%H%M%S}"
@@ -48,14 +50,17 @@ def run_cycle(
     register = sinks.read_register(spark, register_path)
     lines = store.commentary_lines(register, f"{run_at:%Y-%m-%d %H:%M}", period)
     sinks.write_commentary(lines, f"{run}/commentary")
-    sinks.export_csv(
-        {
-            **{name: store.report(name) for name in REPORTS},
-            "dim_loan": warehouse.dim_loan,
-            "dim_date": warehouse.periods,
-            "fact_credit_event": warehouse.fact_credit_event,
-            "dq_results": register,
-        },
-        f"{run}/export",
-    )
+    exported = {
+        **{name: store.report(name) for name in REPORTS},
+        "dim_loan": warehouse.dim_loan,
+        "dim_date": warehouse.periods,
+        "fact_credit_event": warehouse.fact_credit_event,
+        "dq_results": register,
+    }
+    checks = {
+        "source_profile": schema_profile(panel),
+        "manifest": sinks.manifest({**exported, "fact_loan_quarter": warehouse.fact}),
+        "dq_score": quality.quality_score(quality.latest_rules(register)),
+    }
+    sinks.export_csv({**exported, **checks}, f"{run}/export", SORT_KEYS)
     return store

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.spec import PANEL_SCHEMA, STATUS_LABELS, VALID_SCORE
 
@@ -19,9 +20,30 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conform(raw: DataFrame) -> DataFrame:
-    """Required columns in their declared types; extra columns are dropped."""
+    """Required columns in their declared types; extra columns are dropped.
+
+    A whole number may be written with a point (``3.0``) or an exponent. Text that is no
+    number, or has a fraction where a whole number belongs, is an error.
+    """
     verify_columns(raw)
-    return raw.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in PANEL_SCHEMA])
+    return raw.select(
+        [
+            (
+                _whole_number(f.name)
+                if f.dataType == T.LongType() and raw.schema[f.name].dataType == T.StringType()
+                else F.col(f.name).cast(f.dataType)
+            ).alias(f.name)
+            for f in PANEL_SCHEMA
+        ]
+    )
+
+
+def _whole_number(name: str) -> Column:
+    number = F.trim(F.col(name)).cast("decimal(38,9)")
+    whole = number.cast("long")
+    return F.when(number != whole, F.raise_error(F.concat(
+        F.lit(f"{name} is not a whole number: "), F.col(name)
+    )).cast("long")).otherwise(whole)
 
 
 def verify_columns(raw: DataFrame) -> None:

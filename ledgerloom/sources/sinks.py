@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,23 +10,41 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.quality import REGISTER_SCHEMA
 
+REGISTER_KEYS = ("phase", "run_timestamp")
+
 
 def append_register(rows: DataFrame, path: str) -> None:
-    """Add the findings of one run. Earlier runs are never rewritten.
+    """Add the findings of a run, a partition per phase and run stamp.
 
-    A run has one row per rule, so one file per run is enough.
+    Other runs are never rewritten. The same run written again, for instance by a
+    retry, replaces its own partition, so it does not count twice. A run has one row
+    per rule, so one file is enough.
     """
-    rows.coalesce(1).write.mode("append").parquet(path)
+    (
+        rows.coalesce(1)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*REGISTER_KEYS)
+        .parquet(path)
+    )
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REGISTER_SCHEMA).parquet(path)
+    return spark.read.schema(REGISTER_SCHEMA).parquet(path).select(*REGISTER_SCHEMA.names)
 
 
-def export_csv(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """One CSV folder with header per table, written by all tasks of the table."""
+def export_csv(
+    tables: Mapping[str, DataFrame], folder: str, order: Mapping[str, Sequence[str]] | None = None
+) -> None:
+    """One CSV folder with header per table, written by all tasks of the table.
+
+    A table named in ``order`` is sorted by those columns, across its files too: it is
+    split into ranges, so no task sees the whole of it.
+    """
     for name, table in tables.items():
-        table.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        keys = (order or {}).get(name)
+        ordered = table.orderBy(*keys) if keys else table
+        ordered.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
 def write_commentary(lines: DataFrame, folder: str) -> None:

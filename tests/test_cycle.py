@@ -42,14 +42,43 @@ def test_two_cycles_from_csv(spark, make_panel, tmp_path):
         assert "Generated         : 2024-01-31 06:00" in f.read()
     exported = sorted(os.listdir(f"{out}/{runs[1]}/export"))
     assert exported == sorted(
-        [*reporting.REPORTS, "dim_loan", "dim_date", "fact_credit_event", "dq_results"]
+        [
+            *reporting.REPORTS,
+            "dim_loan",
+            "dim_date",
+            "fact_credit_event",
+            "dq_results",
+            "source_profile",
+            "manifest",
+            "dq_score",
+        ]
     )
 
-    reporting.create_views(store.warehouse)
+    def lines(name):
+        paths = sorted(glob.glob(f"{out}/{runs[1]}/export/{name}/*.csv"))
+        return [line for path in paths for line in open(path) if not line.startswith("period,")]
+
+    periods = [int(line.split(",")[0]) for line in lines("vw_portfolio_summary")]
+    assert periods == [1, 2, 3, 4]
+    counts = dict(line.strip().split(",") for line in lines("manifest"))
+    assert counts["fact_loan_quarter"] == "19" and counts["dq_results"] == "13"
+
+    reporting.create_views(store)
     query = "SELECT defaults FROM vw_portfolio_summary WHERE period = :period"
     assert spark.sql(query, args={"period": 3}).first()["defaults"] == 1
 
 
+def test_a_repeated_run_counts_once(spark, make_panel, tmp_path):
+    panel = make_panel({"id": 1, "time": 1}, {"id": 1, "time": 2})
+    run_at = datetime.datetime(2024, 1, 31, 6, 0)
+    for _ in range(2):
+        run_cycle(panel, PanelSpec(), str(tmp_path), run_at)
+    register = sinks.read_register(spark, f"{tmp_path}/dq_results")
+    assert register.count() == 13
+    assert quality.quality_score(quality.latest_rules(register)).first()["rules"] == 10
+    assert register.agg({"run_timestamp": "min"}).first()[0] == run_at
+
+
 def test_a_period_without_data_is_an_error(make_panel, tmp_path):
     panel = make_panel({"id": 1, "time": 1}, {"id": 1, "time": 2})
     run_at = datetime.datetime(2024, 1, 31)

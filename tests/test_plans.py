@@ -120,6 +120,14 @@ def test_rules_scan_the_fact_twice(small):
     assert len(re.findall(r"FileScan parquet [^\n]*fact_loan_quarter", plan(counts))) == 2
 
 
+def test_ingest_findings_scan_the_fact_once(small):
+    w = small.warehouse
+    text = plan(quality.ingest_findings(w.panel, w.dim, w.fact))
+    assert len(re.findall(r"FileScan parquet [^\n]*fact_loan_quarter", text)) == 1
+    # Only partial counts are shuffled, no loans.
+    assert "hashpartitioning(loan_id" not in text
+
+
 def test_one_entity_with_a_third_of_all_rows(spark, make_panel):
     """A heavily copied key reaches the shuffle as one row per task."""
     base = make_panel({}).drop("id", "time", "balance_time")

@@ -7,6 +7,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import prepare
+from ledgerloom.plans.reporting import REPORTS
 from ledgerloom.plans.warehouse import lazy_warehouse
 from ledgerloom.sources.panel import conform, schema_profile, verify_columns
 from ledgerloom.spec import PanelSpec
@@ -245,3 +246,21 @@ def test_fact_equals_brute_force(make_warehouse, seed):
         "moves_next",
     )
     assert [tuple(r) for r in fact.orderBy("loan_id", "period").collect()] == expected
+
+
+def test_source_values_are_not_rounded(make_warehouse):
+    w = make_warehouse(
+        {"time": 1, "balance_time": -0.004, "LTV_time": 33.91009},
+        {"time": 2, "balance_time": 12.345, "balance_orig_time": 0.001},
+        {"time": 3, "balance_time": 12.345678901},
+    )
+    facts = rows_of(w.fact_loan_quarter, "period")
+    assert [r["current_balance"] for r in facts] == [-0.004, 12.345, 12.345678901]
+    assert facts[0]["current_ltv"] == 33.91009
+    assert rows_of(w.dim_loan)[0]["original_balance"] == 200.0
+
+
+def test_a_sum_that_does_not_fit_is_an_error(make_warehouse):
+    w = make_warehouse({"balance_time": 1e25})
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        REPORTS["vw_portfolio_summary"](w).collect()
