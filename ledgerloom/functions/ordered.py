@@ -7,6 +7,7 @@ key has at most one row per order value.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,13 @@ def neighbours(
     return df.withColumns(columns)
 
 
+def second_copy(key: str, order: str) -> Column:
+    """Whether a row is the second with its key and order value; further ones are not."""
+    in_order = Window.partitionBy(key).orderBy(order)
+    same = [F.coalesce(F.lag(order, n).over(in_order) == F.col(order), F.lit(False)) for n in (1, 2)]
+    return same[0] & ~same[1]
+
+
 def lowest(df: DataFrame, key: str, order: str, values: Mapping[str, Column]) -> DataFrame:
     """Add ``{new name: value}``, the key's lowest, to each of its rows."""
     whole_key = (
@@ -40,3 +48,38 @@ def lowest(df: DataFrame, key: str, order: str, values: Mapping[str, Column]) ->
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     return df.withColumns({name: F.min(v).over(whole_key) for name, v in values.items()})
+
+
+# Periods have ten digits at most in packed orders; beyond, they count as the limit.
+_PERIOD_LIMIT = 10**10 - 1
+_BALANCE_LIMIT = 1e15 - 1
+
+
+def _period(order: Column) -> Column:
+    # greatest() skips NULLs, so a NULL takes the lower limit.
+    within = F.least(F.greatest(order, F.lit(-_PERIOD_LIMIT)), F.lit(_PERIOD_LIMIT))
+    return within.cast("decimal(10,0)")
+
+
+def packed_report(order: Column, balance: Column) -> Column:
+    """(order, balance) as one decimal that sorts like them: NULL order first, NULL balance last.
+
+    A minimum of decimals is kept in a hash table, one of structs needs sorted rows.
+    Balances count to nine places and up to 10**15, NaN as the largest.
+    """
+    within = F.least(F.greatest(balance, F.lit(-_BALANCE_LIMIT)), F.lit(_BALANCE_LIMIT))
+    place = F.when(balance.isNull(), 2e15).otherwise(within).cast("decimal(25,9)")
+    return _period(order) * F.lit(Decimal(10**16)) + place
+
+
+def packed_value(order: Column, value: Column) -> Column:
+    """(order, value) as one decimal that sorts like them, for any whole number; NULL order first."""
+    # Shifted by 10**19, every long is positive and below 2 * 10**19.
+    shifted = value.cast("decimal(19,0)") + F.lit(Decimal(10**19))
+    return _period(order) * F.lit(Decimal(10**20)) + shifted
+
+
+def unpacked_value(packed: Column) -> Column:
+    """The value in ``packed_value``."""
+    shifted = F.pmod(packed, F.lit(Decimal(10**20)))
+    return (shifted - F.lit(Decimal(10**19))).cast("long")

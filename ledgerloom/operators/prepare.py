@@ -106,6 +106,7 @@ FACT_COLUMNS = (
 LINK_COLUMNS = (
     "prior_balance",
     "prior_status",
+    "repeats_period",
     "opens_gap",
     "moves_next",
     "next_status",
@@ -165,18 +166,17 @@ def entity_attributes(panel: DataFrame) -> DataFrame:
     """Earliest non-NULL value of each origination attribute, per entity.
 
     Attributes are nearly constant, so the first aggregation leaves about one
-    row per entity in every task. Earliest means lowest (period, balance), the
-    same order that ``dedupe`` keeps; a tie goes to the smaller value.
+    row per entity in every task, in a hash table: its only minimum is a decimal.
+    Earliest means lowest (period, balance), the same order that ``dedupe`` keeps; a
+    tie goes to the smaller value.
     """
     variants = panel.groupBy("id", *ATTRIBUTES).agg(
-        F.min(
-            F.struct("time", F.col("balance_time").isNull().alias("unstated"), "balance_time")
-        ).alias("seen"),
+        F.min(ordered.packed_report(F.col("time"), F.col("balance_time"))).alias("seen"),
         F.count("*").alias("rows"),
     )
 
     def earliest(attribute: str) -> Column:
-        candidate = F.struct("seen.time", "seen.unstated", "seen.balance_time", attribute)
+        candidate = F.struct("seen", attribute)
         return F.min(F.when(F.col(attribute).isNotNull(), candidate))[attribute].alias(attribute)
 
     differs = F.lit(False)
@@ -240,8 +240,8 @@ def linked_rows(kept: DataFrame) -> DataFrame:
 
     Every measure takes its last non-NULL value at or before the row. On top of
     that: ``next_period`` and ``next_status`` of the following report,
-    ``prior_balance`` and ``prior_status`` of the preceding one, the entity's
-    ``default_period``, and ``first_gap``, the report before its first gap.
+    ``prior_balance`` and ``prior_status`` of the preceding one, ``repeats_period`` if
+    that has the same period, the entity's ``default_period``, and ``first_gap``, the report before its first gap.
     """
     carried = ordered.carry_forward(kept, "loan_id", "period", MEASURES)
     linked = ordered.neighbours(
@@ -251,6 +251,7 @@ def linked_rows(kept: DataFrame) -> DataFrame:
         previous={"prior_balance": "balance_time", "prior_status": "status_time"},
         following={"next_period": "period", "next_status": "status_time"},
     )
+    linked = linked.withColumn("repeats_period", ordered.second_copy("loan_id", "period"))
     first_default = F.when(F.col("status_time") == DEFAULT, F.col("period"))
     before_gap = F.when(F.col("next_period") > F.col("period") + 1, F.col("period"))
     return ordered.lowest(
@@ -279,6 +280,7 @@ def gap_filled(linked: DataFrame) -> DataFrame:
             "prior_status": F.when(is_filled, F.col("status_time")).otherwise(
                 F.col("prior_status")
             ),
+            "repeats_period": ~is_filled & F.col("repeats_period"),
             "opens_gap": F.coalesce(
                 is_filled & (F.col("period") == F.col("first_gap") + 1), F.lit(False)
             ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import ordered
 from ledgerloom.functions.columns import percent, ratio, rounded
 from ledgerloom.spec import DEFAULT, PANEL_SCHEMA, STATUS_LABELS
 
@@ -52,14 +53,15 @@ def status_counts(panel: DataFrame) -> DataFrame:
 
 def _entity_ends(panel: DataFrame) -> DataFrame:
     """First origination period and last status of each entity, ignoring NULLs."""
-    time, origination, status = F.col("time"), F.col("orig_time"), F.col("status_time")
-    return panel.groupBy("id").agg(
-        F.min(F.when(origination.isNotNull(), F.struct(time, origination)))["orig_time"].alias(
-            "orig_time"
-        ),
-        F.max(F.when(status.isNotNull(), F.struct(time, status)))["status_time"].alias(
-            "final_status"
-        ),
+    time = F.col("time")
+    ends = panel.groupBy("id").agg(
+        F.min(ordered.packed_value(time, F.col("orig_time"))).alias("first"),
+        F.max(ordered.packed_value(time, F.col("status_time"))).alias("last"),
+    )
+    return ends.select(
+        "id",
+        ordered.unpacked_value(F.col("first")).alias("orig_time"),
+        ordered.unpacked_value(F.col("last")).alias("final_status"),
     )
 
 

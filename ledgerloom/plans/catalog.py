@@ -79,18 +79,35 @@ class Context:
         return self.store.register("dq_results_after_ingest", RUNS[:-1])
 
 
-_contexts: dict[tuple[str, str], Context] = {}
+SOURCES = ("lineitem", "orders", "customer")
+
+_contexts: dict[tuple[str, str], tuple[set, Context]] = {}
+
+
+def _files(spark: SparkSession, folder: str) -> set[tuple[str, int, int]]:
+    """Path, size and time of every source file, as its file system lists them."""
+    context = spark.sparkContext
+    found = set()
+    for name in SOURCES:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.add((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return found
 
 
 def context(spark: SparkSession, folder: str) -> Context:
+    """The tables of a folder, built on first use and again after its files changed."""
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))
-    if key not in _contexts:
-        _contexts[key] = Context(spark, key[1])
-    return _contexts[key]
+    files = _files(spark, key[1])
+    if key not in _contexts or _contexts[key][0] != files:
+        _contexts[key] = files, Context(spark, key[1])
+    return _contexts[key][1]
 
 
 def forget() -> None:
-    """Build again on next use, for instance after a source folder changed."""
+    """Build again on next use."""
     _contexts.clear()
 
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import migration, portfolio, prepare, provision, quality
+from ledgerloom.operators import migration, portfolio, prepare, profiling, provision, quality
 from ledgerloom.plans import catalog
 from ledgerloom.plans.reporting import REPORTS
 from ledgerloom.spec import PanelSpec
@@ -107,7 +107,7 @@ def test_scans_read_only_needed_columns(small):
     assert "PushedFilters: [IsNotNull(moves_next), EqualTo(moves_next,true)]" in text
 
 
-def test_rules_scan_the_fact_twice(small):
+def test_rules_scan_the_fact_once(small):
     w = small.warehouse
     counts = quality.rule_counts(
         w.dim,
@@ -117,7 +117,38 @@ def test_rules_scan_the_fact_twice(small):
         small.report("vw_portfolio_summary"),
         w.spec,
     )
-    assert len(re.findall(r"FileScan parquet [^\n]*fact_loan_quarter", plan(counts))) == 2
+    text = plan(counts)
+    assert len(re.findall(r"FileScan parquet [^\n]*fact_loan_quarter", text)) == 1
+    assert "hashpartitioning(loan_id" not in text
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        lambda p: prepare.entity_attributes(p),
+        lambda p: profiling.final_status(p),
+        lambda p: profiling.default_by_vintage(p),
+    ],
+)
+def test_panel_rows_are_not_sorted_for_minima(small, rows):
+    """Below the first exchange, entities are aggregated in a hash table."""
+    text = plan(rows(small.warehouse.panel))
+    below = text[text.rindex("Exchange") :]
+    assert "HashAggregate" in below and "Sort" not in below
+
+
+def test_changed_source_files_build_anew(spark, tmp_path):
+    for name in catalog.SOURCES:
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(
+            f"{tmp_path}/{name}.parquet"
+        )
+    first = catalog.context(spark, str(tmp_path))
+    assert catalog.context(spark, str(tmp_path)) is first
+    half = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_linenumber < 3")
+    half.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    again = catalog.context(spark, str(tmp_path))
+    assert again is not first
+    assert again.warehouse.panel.count() == half.count()
 
 
 def test_ingest_findings_scan_the_fact_once(small):
