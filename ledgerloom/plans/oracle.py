@@ -7,7 +7,10 @@ self-join, segments from grouping sets, probabilities from entity joins.
 
 from __future__ import annotations
 
-from ledgerloom.spec import INGEST_SEVERITY, LTV_BANDS, RULE_SEVERITY, SCORE_BANDS
+from ledgerloom.operators.prepare import ATTRIBUTES
+from ledgerloom.spec import INGEST_SEVERITY, LTV_BANDS, PANEL_SCHEMA, RULE_SEVERITY, SCORE_BANDS
+
+# Numbers such as 1e2 and 3e-1 are DOUBLE literals in DuckDB; 100.0 and 0.3 would be DECIMAL.
 
 
 def _band(value: str, bands) -> str:
@@ -100,19 +103,7 @@ BASE = {
     + ", ".join(
         f'first({c} ORDER BY "time", balance_time NULLS LAST, {c}) '
         f"FILTER (WHERE {c} IS NOT NULL) AS {c}"
-        for c in (
-            "orig_time",
-            "first_time",
-            "mat_time",
-            "FICO_orig_time",
-            "LTV_orig_time",
-            "balance_orig_time",
-            "Interest_Rate_orig_time",
-            "investor_orig_time",
-            "REtype_CO_orig_time",
-            "REtype_PU_orig_time",
-            "REtype_SF_orig_time",
-        )
+        for c in ATTRIBUTES
     )
     + """,
          count(DISTINCT orig_time) > 1 OR count(DISTINCT FICO_orig_time) > 1
@@ -656,23 +647,7 @@ BODIES = {
     "profile_nulls": " UNION ALL ".join(
         f"SELECT '{name}' AS column_name, '{kind}' AS data_type, "
         f'count(*) - count("{name}") AS missing FROM panel'
-        for name, kind in [
-            *[
-                (c, "bigint")
-                for c in (
-                    "id time orig_time first_time mat_time REtype_CO_orig_time "
-                    "REtype_PU_orig_time REtype_SF_orig_time investor_orig_time FICO_orig_time "
-                    "default_time payoff_time status_time"
-                ).split()
-            ],
-            *[
-                (c, "double")
-                for c in (
-                    "balance_time LTV_time interest_rate_time hpi_time gdp_time uer_time "
-                    "balance_orig_time LTV_orig_time Interest_Rate_orig_time hpi_orig_time"
-                ).split()
-            ],
-        ]
+        for name, kind in ((f.name, f.dataType.simpleString()) for f in PANEL_SCHEMA)
     ),
     "profile_term": """SELECT mat_time - orig_time AS term, count(*) AS rows FROM panel
   GROUP BY ALL ORDER BY rows DESC, term LIMIT 8""",
