@@ -5,8 +5,13 @@ A table hashes a vector by ``functions`` projections on Gaussian directions, eac
 into cells of a width. A query ranks the cells around its own by the estimated chance
 that a neighbour lies there (differences of projections of points at distance r are
 normal with deviation r) and visits them in that order until the chance of meeting a
-neighbour at the distance r in one of the tables reaches ``success``. The distance r is
-read off a bounded sample. Candidates of all tables are ranked by their exact score.
+neighbour at the distance r in one of the tables reaches ``success``. Candidates of all
+tables are ranked by their exact score.
+
+Distances differ between dense groups and the rest, so there are tables for several r,
+read off the distance to the ``top``-th neighbour among all vectors of a bounded sample
+of them. A query is done when its ``top`` nearest lie within r; others go on to the next
+r, and those left at the end, or few enough for one chunk, are compared with all vectors.
 
 Equal vectors are one class with its smallest ids, so copies cost nothing. A cell with
 more than ``chunk`` classes or queries is cut, so no task holds a cell.
@@ -15,6 +20,7 @@ more than ``chunk`` classes or queries is cut, so no task holds a cell.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import sqrt
 
 import numpy as np
@@ -28,6 +34,10 @@ from ledgerloom.llm.common import importable, mixed, stored
 TOP, QUERY_STEP = 20, 20
 TABLES, FUNCTIONS, WIDTH, REACH = 2, 4, 1.4, 2
 SUCCESS, SAMPLE, CHUNK, SEED = 0.985, 2048, 4096, 7
+# One r serves distances up to SPREAD times the least, and a scale with less than FEW of
+# the sample goes with the next; a last r, LAST times the greatest distance, serves those
+# that miss a neighbour at the border.
+SPREAD, FEW, LAST = 1.5, 0.1, 1.2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -140,11 +150,40 @@ class Index:
                 yield q, t, self._keys(base[q, t] + self.offsets[order[:enough]])
 
 
-def fit(found: DataFrame, top: int = TOP, sample: int = SAMPLE, **options) -> Index | None:
-    """The index for these classes; the neighbour distance comes from ``sample`` of them.
+def radii(distances: np.ndarray) -> list[float]:
+    """Ascending distances that together serve all of these, one for each scale."""
+    left, few = np.sort(distances), int(np.ceil(FEW * len(distances)))
+    out = []
+    while len(left):
+        least = left[min(few, len(left)) - 1]
+        served = int(np.searchsorted(left, SPREAD * least, "right"))
+        out.append(float(left[:served][-1]))
+        left = left[served:]
+    return [*out, LAST * out[-1]] if out else []
+
+
+def _closest(unit: np.ndarray, top: int):
+    """The ``top`` + 1 greatest scores of every row of ``unit`` in a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(unit), top + 1), -np.inf)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                scores = unit @ _matrix(batch.column("embedding").slice(lo, 1024)).T
+                best = np.partition(np.hstack((best, scores)), -top - 1, axis=1)[:, -top - 1 :]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(unit), dtype=np.int32)), pa.array(list(best))],
+            names=["s", "scores"],
+        )
+
+    return run
+
+
+def fit(found: DataFrame, top: int = TOP, sample: int = SAMPLE, **options) -> list[Index] | None:
+    """Indexes for these classes, by ascending r; none if all classes are neighbours.
 
-    The sample is the classes with the smallest hashes of their id; r is the distance
-    that a part top / count of all pairs stays below, the closest pairs left aside.
+    The sample is the classes with the smallest hashes of their id; the distance to
+    the ``top``-th neighbour of each is exact, over all classes.
     """
     facts = found.agg(
         F.count("*").alias("n"),
@@ -153,22 +192,21 @@ def fit(found: DataFrame, top: int = TOP, sample: int = SAMPLE, **options) -> In
     ).first()
     if not facts["n"]:
         return None
+    if facts["n"] <= top + 1:
+        return []
     rows = found.orderBy(F.xxhash64(F.lit(SEED), "rep"), "rep").limit(sample).select("embedding")
     x = np.array([r[0] for r in rows.collect()], float)
     norm = sqrt(facts["norm2"])
     unit = x * (norm / np.linalg.norm(x, axis=1, keepdims=True))
-    near = []
-    for lo in range(0, len(x), 256):
-        part = 2 * norm**2 - 2 * unit[lo : lo + 256] @ x.T
-        part[np.arange(len(part)), lo + np.arange(len(part))] = np.inf
-        near.append(part.ravel())
-    squares = np.sort(np.concatenate(near))[: len(x) * max(len(x) - 1, 0)]
-    if len(squares):
-        place = min(len(squares) - 1, int(len(squares) * min(1.0, top / facts["n"])))
-        distance = sqrt(max(squares[place], 0.0))
-    else:
-        distance = 0.0
-    return Index(facts["dimension"], norm, max(distance, 1e-6 * norm), **options)
+    closest = found.select("embedding").mapInArrow(_closest(unit, top), "s int, scores array<double>")
+    # A class is among its own neighbours.
+    last = F.sort_array(F.flatten(F.collect_list("scores")), asc=False)[top]
+    scores = [r["score"] for r in closest.groupBy("s").agg(last.alias("score")).collect()]
+    distances = np.sqrt(np.maximum(2 * norm**2 - 2 * np.array(scores), 0.0))
+    return [
+        Index(facts["dimension"], norm, distance, **options)
+        for distance in radii(np.maximum(distances, 1e-6 * norm))
+    ]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -237,31 +275,31 @@ def _ranked(top: int):
     return run
 
 
-def search(
-    vectors: DataFrame,
-    top: int = TOP,
-    query_step: int = QUERY_STEP,
-    chunk: int = CHUNK,
-    **options,
-) -> DataFrame:
-    """query_id, rank, vec_id and score: the ``top`` nearest of every ``query_step``-th id.
+def _compared(visits: DataFrame, members: DataFrame, top: int) -> DataFrame:
+    """query, rep and score of the best of each chunk of a cell, for each chunk of queries.
 
-    Nearness is the inner product in double precision; ties go to the smaller vec_id.
-    An id with several vectors is as many candidates, but never its own. See ``usable``
-    for vectors that take no part; other columns are ignored.
+    Both sides have the cell and in how many chunks its members (parts) and queries
+    (asks) are.
     """
-    spark = vectors.sparkSession
-    importable(spark)
-    rows = stored(usable(vectors), "vectors")
-    found = stored(classes(rows, top), "classes")
-    index = fit(found, top, **options)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = rows.where(F.col("vec_id") % query_step == 0).join(
-        found.select("embedding", "rep"), "embedding"
+    part = F.pmod(F.xxhash64("rep"), "parts").cast("int")
+    ask = F.pmod(F.xxhash64("query"), "asks").cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = ["t", "cell", "part", "ask"]
+    left = visits.withColumn("ask", ask).withColumn("part", each("parts"))
+    right = members.withColumn("part", part).withColumn("ask", each("asks"))
+    compared = (
+        left.select(*group, "query", "embedding")
+        .groupBy(*group)
+        .cogroup(right.select(*group, "rep", "embedding").groupBy(*group))
+        .applyInPandas(_ranked(top), "query long, reps array<long>, scores array<double>")
     )
-    asked = stored(asked.select(F.col("vec_id").alias("query_id"), "rep"), "asked")
-    queries = found.join(asked.select("rep").distinct(), "rep").select("rep", "embedding")
+    return compared.select("query", F.explode(F.arrays_zip("reps", "scores")).alias("p")).select(
+        "query", F.col("p.reps").alias("rep"), F.col("p.scores").alias("score")
+    )
+
+
+def _probed(found: DataFrame, queries: DataFrame, index: Index, top: int, chunk: int) -> DataFrame:
+    """Pairs of queries and the classes in the cells they visit."""
     members = stored(
         found.mapInArrow(_members(index), "t int, cell long, rep long, embedding array<double>"),
         "members",
@@ -276,36 +314,81 @@ def search(
     load = visits.groupBy("t", "cell").agg(F.count("*").alias("n"))
     load = load.select("t", "cell", F.ceil(F.col("n") / chunk).cast("int").alias("asks"))
     cells = stored(size.join(load, ["t", "cell"]), "cells")
-    part = F.pmod(F.xxhash64("rep"), "parts").cast("int")
-    ask = F.pmod(F.xxhash64("query"), "asks").cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    group = ["t", "cell", "part", "ask"]
-    left = visits.join(cells, ["t", "cell"]).withColumn("ask", ask).withColumn("part", each("parts"))
-    right = members.join(cells, ["t", "cell"]).withColumn("part", part).withColumn("ask", each("asks"))
-    compared = (
-        left.select(*group, "query", "embedding")
-        .groupBy(*group)
-        .cogroup(right.select(*group, "rep", "embedding").groupBy(*group))
-        .applyInPandas(_ranked(top), "query long, reps array<long>, scores array<double>")
-    )
-    pairs = compared.select("query", F.explode(F.arrays_zip("reps", "scores")).alias("p")).select(
-        "query", F.col("p.reps").alias("rep"), F.col("p.scores").alias("score")
+    return _compared(visits.join(cells, ["t", "cell"]), members.join(cells, ["t", "cell"]), top)
+
+
+def _scanned(found: DataFrame, queries: DataFrame, top: int, chunk: int) -> DataFrame:
+    """Pairs of queries and all classes, as one cell in chunks."""
+    parts, asks = (max(1, -(-d.count() // chunk)) for d in (found, queries))
+    one = {
+        "t": F.lit(0), "cell": F.lit(0).cast("long"), "parts": F.lit(parts), "asks": F.lit(asks)
+    }
+    return _compared(
+        queries.withColumnRenamed("rep", "query").withColumns(one), found.withColumns(one), top
     )
+
+
+def _nearest(pairs: DataFrame, found: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """query, its vector (asked), score and ids of the ``top`` + 1 best classes of a query."""
     nearest = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     # A class met in two tables has one score up to rounding: keep it once.
     once = pairs.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = once.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= top + 1)
-    exact = (
+    return (
         best.join(found, "rep")
         .join(queries.select(F.col("rep").alias("query"), F.col("embedding").alias("asked")), "query")
         .select(
             "query",
+            "asked",
             F.aggregate(
                 F.zip_with("embedding", "asked", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
             ).alias("score"),
             "ids",
         )
     )
+
+
+def search(
+    vectors: DataFrame,
+    top: int = TOP,
+    query_step: int = QUERY_STEP,
+    chunk: int = CHUNK,
+    **options,
+) -> DataFrame:
+    """query_id, rank, vec_id and score: the ``top`` nearest of every ``query_step``-th id.
+
+    Nearness is the inner product in double precision; ties go to the smaller vec_id.
+    An id with several vectors is as many candidates, but never its own. See ``usable``
+    for vectors that take no part; other columns are ignored.
+    """
+    spark = vectors.sparkSession
+    importable(spark)
+    rows = stored(usable(vectors), "vectors")
+    found = stored(classes(rows, top), "classes")
+    indexes = fit(found, top, **options)
+    if indexes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = rows.where(F.col("vec_id") % query_step == 0).join(
+        found.select("embedding", "rep"), "embedding"
+    )
+    asked = stored(asked.select(F.col("vec_id").alias("query_id"), "rep"), "asked")
+    queries = stored(
+        found.join(asked.select("rep").distinct(), "rep").select("rep", "embedding"), "queries"
+    )
+    left, results = queries, []
+    for n, index in enumerate(indexes):
+        if n and left.count() <= chunk:
+            break
+        best = stored(_nearest(_probed(found, left, index, top, chunk), found, left, top), "best")
+        # Nearest vectors within r, the query itself among them.
+        length = F.sqrt(F.aggregate("asked", F.lit(0.0), lambda a, x: a + x * x))
+        within = F.col("score") >= length * (index.norm - index.distance**2 / (2 * index.norm))
+        met = best.where(within).groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
+        done = stored(met.where(F.col("n") > top).select("query"), "done")
+        results.append(best.join(done, "query"))
+        left = stored(left.join(done.withColumnRenamed("query", "rep"), "rep", "left_anti"), "left")
+    results.append(_nearest(_scanned(found, left, top, chunk), found, left, top))
+    exact = reduce(DataFrame.unionByName, results).select("query", "score", "ids")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(exact.withColumnRenamed("query", "rep"), "rep")

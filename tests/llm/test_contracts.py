@@ -320,6 +320,37 @@ def test_neighbours(spark, chunk):
     assert {v for _, v, _ in found[60]} == set(range(50, 71)) - {60}
 
 
+def dense_vectors(n: int = 1500, dense: int = 500, dimension: int = 32) -> np.ndarray:
+    """Unit vectors, ``dense`` of them unequal near-copies of one."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((n, dimension))
+    x[:dense] = x[0] + 1e-3 * rng.standard_normal((dense, dimension))
+    return np.float32(x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
+
+
+@pytest.mark.parametrize("chunk", [neighbours.CHUNK, 16])
+def test_neighbours_outside_a_dense_group(spark, chunk):
+    x = dense_vectors()
+    frame = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"
+    )
+    found = defaultdict(set)
+    for r in neighbours.search(frame, chunk=chunk).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    outside = range(500, 1500, 20)
+    assert all(len(found[q]) == 20 for q in range(0, 1500, 20))
+    hits = 0
+    for q in outside:
+        order = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]
+        hits += len(found[q] & set(order))
+    assert hits / (20 * len(outside)) >= 0.95
+
+
+def test_neighbour_radii_serve_every_scale():
+    found = neighbours.radii(np.concatenate((np.full(600, 0.01), np.linspace(1, 1.4, 400))))
+    assert found[:2] == [0.01, 1.4] and len(found) == 3
+
+
 def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.search(none).count() == 0
