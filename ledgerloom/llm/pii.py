@@ -24,6 +24,8 @@ class Kind:
     whether the match is valid. ``required`` kinds stay whatever their score;
     others need ``score >= THRESHOLD``, where the score is ``prior``, plus 0.4 if
     ``checked`` (a checksum confirmed it), plus 0.3 if a context word is near.
+    If ``head`` is set, the pattern takes only so many characters and the match is its
+    first group, looked ahead: matches that fail do not hide others that start in them.
     """
 
     name: str
@@ -34,6 +36,7 @@ class Kind:
     checked: bool
     context: str
     required: bool = True
+    head: int = 0
 
 
 THRESHOLD = 0.6
@@ -72,6 +75,29 @@ def _whole_ssn(match: Column, before: Column, after: Column) -> Column:
     )
 
 
+# Account numbers by length, of the registry of ISO 13616.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Numbers of the length of their country, whatever follows; else of any length."""
+    forms = []
+    for length, countries in _IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(
+            f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}"
+        )
+    forms.append("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+    return rf"(?<![A-Za-z0-9])(?=((?:{'|'.join(forms)})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 # The patterns match what the plain forms in the comments match. Starts are anchored
 # where a longer match would begin, and repetitions do not backtrack, so that time
 # stays linear in texts that are one long run of such characters.
@@ -118,13 +144,14 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+        _iban(),
         "[A-Z]{2}[0-9]{2}",
-        lambda m, b, a: _apart(b, a, "A-Za-z0-9") & (_mod_97(m) == 1),
+        lambda m, b, a: _mod_97(m) == 1,
         0.4,
         True,
         "iban|bank|account|transfer",
         required=False,
+        head=4,
     ),
     Kind(
         "ssn",
@@ -143,16 +170,20 @@ BASE = tuple(k.name for k in KINDS if k.required)
 def _spans(kind: Kind, pieces: Column, matches: Column, before: Column, inside: Column) -> Column:
     """Valid spans of one kind from the pieces between matches and the matches.
 
-    ``before`` and ``inside`` are the lengths of pieces and of matches, so the sum up
-    to a match is its position. Positions are code points from 0, ends exclusive.
+    ``before`` and ``inside`` are the lengths of pieces and of what the pattern took
+    between them, so the sum up to a match is its position. Positions are code points from 0, ends exclusive.
     """
 
     def total(lengths: Column, n: Column) -> Column:
         return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda x, y: x + y)
 
     def span(match: Column, i: Column) -> Column:
-        start = total(before, i + 1) + total(inside, i)
         left, right = F.get(pieces, i), F.get(pieces, i + 1)
+        if kind.head:
+            right = F.substr(right, F.length(match) - kind.head + 1)
+        valid = kind.accept(match, left, right)
+        # Sums only for valid matches: a text can propose very many others.
+        start = F.when(valid, total(before, i + 1) + total(inside, i)).otherwise(F.lit(0))
         near = F.lower(
             F.concat(
                 F.right(left, F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(right, F.lit(CONTEXT_CHARS))
@@ -167,7 +198,7 @@ def _spans(kind: Kind, pieces: Column, matches: Column, before: Column, inside:
             (start + F.length(match)).alias("end"),
             match.alias("value"),
             F.least(score, F.lit(1.0)).alias("score"),
-            kind.accept(match, left, right).alias("valid"),
+            valid.alias("valid"),
         )
 
     found = F.transform(matches, span)
@@ -183,7 +214,7 @@ def find(documents: DataFrame) -> DataFrame:
     Sorted by kind in the order of ``KINDS``, then by start. A null text counts as
     empty. Rows stay as they are: repeated rows, null ids and columns of any name are
     kept, except that a column ``pii_spans`` is replaced. Spans of different kinds may
-    overlap.
+    overlap, and account numbers that start in one another.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     empty = F.array().cast("array<string>")
@@ -192,16 +223,18 @@ def find(documents: DataFrame) -> DataFrame:
         k = f"__{kind.name}"
         pattern = F.lit(kind.pattern)
         possible = text.rlike(kind.gate)
-        found[f"{k}_m"] = F.when(possible, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(empty)
+        matches = F.regexp_extract_all(text, pattern, F.lit(1 if kind.head else 0))
+        found[f"{k}_m"] = F.when(possible, matches).otherwise(empty)
         lengths[f"{k}_s"] = F.when(
             F.size(f"{k}_m") > 0, F.split(text, kind.pattern, -1)
         ).otherwise(empty)
+        took = F.lit(kind.head) if kind.head else None
         spans[kind.name] = _spans(
             kind,
             F.col(f"{k}_s"),
             F.col(f"{k}_m"),
             F.transform(F.col(f"{k}_s"), F.length),
-            F.transform(F.col(f"{k}_m"), F.length),
+            F.transform(F.col(f"{k}_m"), lambda m: F.length(m) if took is None else took),
         )
     kept = [c for c in documents.columns if c != "pii_spans"]
     out = documents.withColumns(found).withColumns(lengths)

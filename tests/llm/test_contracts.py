@@ -96,6 +96,27 @@ def test_redaction(documents):
     assert out[7]["text"] is None and out[0]["text"] == dict((r[0], r[1]) for r in rows())[0]
 
 
+def test_account_numbers_before_capitals_and_numbers(spark):
+    numbers = (
+        "ES91 2100 0418 4502 0005 1332",
+        "BE68539007547034",
+        "AT61 1904 3002 3457 3201",
+        "DE89 3704 0044 0532 0130 00",
+    )
+    after = ("", " BIC CAIXESBB", " 2024", " 2024 AND MORE CAPS", ".", " lower", " DE00 1234 5678")
+    texts = [f"pay {n}{a}" for n in numbers for a in after]
+    texts += [f"BE68 {numbers[3]}", f"XX12 ABCD {numbers[0]} BIC", "ES91 2100 0418 4502 0005 1333 BIC"]
+    found = defaultdict(list)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.spans(frame).where("kind = 'iban'").collect():
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["value"]
+        found[r["doc_id"]].append(r["value"])
+    expected = [[n] for n in numbers for _ in after] + [[numbers[3]], [numbers[0]], []]
+    assert [found[i] for i in range(len(texts))] == expected
+    out = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert out[1] == "pay <iban> BIC CAIXESBB"
+
+
 def test_substrings(documents):
     pairs = [(r[0], r[1]) for r in rows()]
     assert table(substrings.digest(documents)) == Counter(substrings.brute_force(pairs))
