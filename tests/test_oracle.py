@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
+from panel_rows import SMALL
 
 import __spark_entry__ as entry_module
 from check import difference, oracle_connection

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import rows_of
+from panel_rows import rows_of
 
 from ledgerloom.operators import insights, profiling
 from ledgerloom.spec import PanelSpec

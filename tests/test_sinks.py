@@ -5,7 +5,7 @@ import os
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import rows_of
+from panel_rows import rows_of
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import reporting
