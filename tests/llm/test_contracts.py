@@ -21,7 +21,7 @@ from brute import (
     targets,
     words,
 )
-from conftest import CLASHING, rows
+from document_rows import CLASHING, rows
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
@@ -435,7 +435,7 @@ def test_exchange_raises_the_likelihood():
 
 
 def test_language(spark):
-    from conftest import prose
+    from document_rows import prose
 
     kinds = {
         "x": ("ba", "bo", "bu", "bi"),

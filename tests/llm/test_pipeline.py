@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from brute import fingerprint, groups, ids, quality, words
-from conftest import SCHEMA, rows
+from document_rows import SCHEMA, rows
 
 from ledgerloom.llm import mixing, pii
 from ledgerloom.llm import quality as rules
