@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import (
     class_lm,
+    conversation_trie,
     language,
+    main_text,
+    merkle,
     mixing,
     neighbours,
     packing,
@@ -37,6 +40,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": _over("documents", class_lm.score_all),
     "op9_packing": _over("documents", packing.pack),
     "op10_language": _over("documents", language.identify),
+    "op11_main_text": _over("pages", main_text.digest),
+    "op12_conversation_trie": _over("conversations", conversation_trie.digest),
+    "op13_merkle": _over("documents", merkle.digest),
 }
 
 

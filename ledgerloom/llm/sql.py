@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm import sql_trees
 from ledgerloom.llm.mixing import BLOCK, LIMIT, SEED, SHARE, WEIGHTS
 from ledgerloom.llm.pii import CONTEXT_CHARS, THRESHOLD
 from ledgerloom.llm.substrings import LENGTH
@@ -135,4 +136,6 @@ def statements() -> dict[str, str]:
         "op1_pii": _pii(),
         "op2_substring_dedup": _SUBSTRINGS,
         "op4_mixing": _mixing(),
+        "op12_conversation_trie": sql_trees.trie(),
+        "op13_merkle": sql_trees.manifest(),
     }
