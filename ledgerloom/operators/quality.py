@@ -7,8 +7,9 @@ same table are one aggregation. Nothing here corrects anything.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,8 +113,11 @@ def ingest_findings(panel: DataFrame, dim: DataFrame, fact: DataFrame) -> DataFr
         "affected_rows",
         F.lit(INCONSISTENT_DETAIL).alias("detail"),
     )
-    findings = from_rows.unionByName(inconsistent)
-    return findings.select(
+    return _ingest_rows(from_rows.unionByName(inconsistent))
+
+
+def _ingest_rows(counts: DataFrame) -> DataFrame:
+    return counts.select(
         "rule_name",
         _severity(INGEST_SEVERITY, F.col("rule_name")).alias("severity"),
         _outcome(F.col("affected_rows")).alias("status"),
@@ -122,6 +126,13 @@ def ingest_findings(panel: DataFrame, dim: DataFrame, fact: DataFrame) -> DataFr
     )
 
 
+def rejected_finding(spark: SparkSession, counts: Mapping[str, int], reasons: Sequence[str]) -> DataFrame:
+    """The finding of a landed source, from what was counted while it was written."""
+    listed = ", ".join(f"{counts[f'cells_{r.replace(" ", "_")}']} {r}" for r in reasons)
+    row = ("rejected_source_row", counts["rows_rejected"], f"Source rows left out: {listed}")
+    return _ingest_rows(spark.createDataFrame([row], "rule_name string, affected_rows long, detail string"))
+
+
 # --- warehouse rules --------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ from ledgerloom.sources.derived import (
     entities_from_rows,
     panel_from_rows,
     shipped_rows,
+    write_spoilt_csv,
 )
+from ledgerloom.sources.landing import REASONS, Landing, land_csv
 from ledgerloom.sources.panel import schema_profile
 from ledgerloom.spec import INGEST_PHASE, QUALITY_PHASE, PanelSpec
 
@@ -59,6 +62,7 @@ class Context:
         customer = spark.read.parquet(f"{folder}/customer.parquet")
         entities = written(entities_from_rows(rows, customer), f"{path}/entities")
         panel = written(panel_from_rows(rows, entities), f"{path}/panel")
+        self.path = path
         self.warehouse: Warehouse = build_warehouse(panel, DERIVED_SPEC, path)
         self.store = ReportStore(self.warehouse, f"{path}/reports")
 
@@ -69,6 +73,12 @@ class Context:
     def report(self, name: str) -> DataFrame:
         return self.store.report(name)
 
+    @cached_property
+    def landing(self) -> Landing:
+        """The panel through CSV with unreadable cells and records in it."""
+        write_spoilt_csv(self.warehouse.panel, f"{self.path}/csv")
+        return land_csv(self.warehouse.panel.sparkSession, f"{self.path}/csv", f"{self.path}/landed")
+
     @property
     def register(self) -> DataFrame:
         return self.store.register("dq_results", RUNS)
@@ -152,6 +162,11 @@ MOVEMENT = "vw_provision_movement"
 QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     # sources and sinks
     "src_panel": lambda c: c.warehouse.panel,
+    "src_landed": lambda c: c.landing.accepted,
+    "src_rejected": lambda c: c.landing.rejected.drop("file", "record"),
+    "dq_rejected": lambda c: quality.rejected_finding(
+        c.warehouse.panel.sparkSession, c.landing.counts, REASONS
+    ),
     "schema_profile": lambda c: schema_profile(c.warehouse.panel),
     "dq_register": lambda c: c.register,
     "manifest_counts": _manifest,

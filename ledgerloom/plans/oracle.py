@@ -91,6 +91,30 @@ BASE = {
          CAST(st = 1 AS BIGINT) AS default_time, CAST(st = 2 AS BIGINT) AS payoff_time,
          CAST(st AS BIGINT) AS status_time
   FROM placed""",
+    # --- the panel through CSV with unreadable cells ---
+    "spoilt": """
+  SELECT *, (id * 13 + "time") % 157 = 0 AS cut, (id + "time") % 131 = 0 AS no_balance,
+         (id * 3 + "time") % 137 = 0 AS no_score, (id * 5 + "time") % 139 = 0 AS half_period,
+         (id * 7 + "time") % 149 = 0 AS vast_ltv, (id * 11 + "time") % 151 = 0 AS vast_id
+  FROM panel""",
+    "judged": """
+  SELECT *, cut OR no_balance OR no_score OR half_period OR vast_ltv OR vast_id AS is_out,
+         if(vast_id, '9223372036854775808', id::VARCHAR) AS id_text,
+         "time" || if(half_period, '.5', '') AS time_text
+  FROM spoilt""",
+    "refused": """
+  SELECT id_text, time_text, NULL AS column_name, NULL AS value, 'malformed record' AS reason
+  FROM judged WHERE cut
+  UNION ALL SELECT id_text, time_text, 'balance_time', 'n/a', 'not a number'
+  FROM judged WHERE no_balance AND NOT cut
+  UNION ALL SELECT id_text, time_text, 'FICO_orig_time', '7oo', 'not a number'
+  FROM judged WHERE no_score AND NOT cut
+  UNION ALL SELECT id_text, time_text, 'time', time_text, 'not a whole number'
+  FROM judged WHERE half_period AND NOT cut
+  UNION ALL SELECT id_text, time_text, 'LTV_time', '1e999', 'out of range'
+  FROM judged WHERE vast_ltv AND NOT cut
+  UNION ALL SELECT id_text, time_text, 'id', id_text, 'out of range'
+  FROM judged WHERE vast_id AND NOT cut""",
     "kept": """
   SELECT DISTINCT ON (id, "time") id AS loan_id, "time" AS period,
          balance_time AS balance, LTV_time AS ltv,
@@ -542,6 +566,18 @@ _SUMMED = {
 
 BODIES = {
     "src_panel": "SELECT * FROM panel",
+    "src_landed": f"SELECT {', '.join(f'"{c}"' for c in PANEL_SCHEMA.names)} FROM judged WHERE NOT is_out",
+    "src_rejected": """SELECT id_text AS id, time_text AS "time", column_name, value, reason
+  FROM refused""",
+    "dq_rejected": """SELECT 'rejected_source_row' AS rule_name, 'HIGH' AS severity,
+  if(rows = 0, 'PASS', 'FAIL') AS status, rows AS affected_rows,
+  concat('Source rows left out: ', a, ' malformed record, ', b, ' not a number, ', c,
+         ' not a whole number, ', d, ' out of range') AS detail
+  FROM (SELECT count(*) AS rows FROM judged WHERE is_out),
+       (SELECT count(*) FILTER (reason = 'malformed record') AS a,
+               count(*) FILTER (reason = 'not a number') AS b,
+               count(*) FILTER (reason = 'not a whole number') AS c,
+               count(*) FILTER (reason = 'out of range') AS d FROM refused)""",
     "schema_profile": """SELECT count(*) AS rows, count(DISTINCT id) AS entities,
   min("time") AS first_period, max("time") AS last_period,
   count(CASE WHEN status_time < 0 OR status_time > 2 THEN 1 END) AS bad_status,

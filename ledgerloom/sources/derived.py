@@ -9,7 +9,7 @@ every rule on rows and every NULL case has something to find.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.spec import PANEL_SCHEMA, PanelSpec
@@ -141,3 +141,36 @@ def _panel_columns() -> list:
         "status_time": status,
     }
     return [values[f.name].cast(f.dataType).alias(f.name) for f in PANEL_SCHEMA]
+
+
+# Cells of the derived panel that its CSV spoils: multiplier of the id, modulus, column
+# and what the cell becomes (%s: with the good value in front).
+SPOILT_CELLS = (
+    (1, 131, "balance_time", "n/a"),
+    (3, 137, "FICO_orig_time", "7oo"),
+    (5, 139, "time", "%s.5"),
+    (7, 149, "LTV_time", "1e999"),
+    (11, 151, "id", "9223372036854775808"),
+)
+# Rows cut short: multiplier, modulus and the cells that are left.
+SHORT_RECORDS = (13, 157, 20)
+
+
+def write_spoilt_csv(panel: DataFrame, folder: str) -> None:
+    """The panel as CSV with a header, with cells and records that cannot be read.
+
+    A record is written as one value without quotes, since no writer makes short ones.
+    """
+
+    def hit(times: int, modulus: int) -> Column:
+        return (F.col("id") * times + F.col("time")) % modulus == 0
+
+    cells = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in panel.columns}
+    for times, modulus, name, text in SPOILT_CELLS:
+        spoilt = F.concat(cells[name], F.lit(text[2:])) if text.startswith("%s") else F.lit(text)
+        cells[name] = F.when(hit(times, modulus), spoilt).otherwise(cells[name])
+    times, modulus, left = SHORT_RECORDS
+    record = F.array(*cells.values())
+    record = F.when(hit(times, modulus), F.slice(record, 1, left)).otherwise(record)
+    lines = panel.select(F.array_join(record, ",").alias(",".join(panel.columns)))
+    lines.write.options(header=True, sep="\u0001", quote="\u0002").csv(folder)

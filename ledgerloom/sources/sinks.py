@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.quality import REGISTER_SCHEMA
@@ -13,6 +13,27 @@ from ledgerloom.operators.quality import REGISTER_SCHEMA
 REGISTER_KEYS = ("phase", "run_timestamp")
 
 
+def counted(
+    df: DataFrame, path: str, measures: Mapping[str, Column] | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` as a parquet table at ``path``, and its measures, ``rows`` among them.
+
+    The measures are sums that the writing tasks keep beside their rows, so nothing is
+    read again. They are taken directly below the writer, in the last stage of the job:
+    a task that fails and is repeated there counts once, as its attempt that succeeded,
+    and tasks of earlier stages can be repeated without being seen. Measures taken
+    below a shuffle would count repeated tasks twice.
+    """
+    wanted = {"rows": F.count("*"), **(measures or {})}
+    seen = Observation()
+    watched = df.observe(seen, *[column.alias(name) for name, column in wanted.items()])
+    watched.write.mode("overwrite").parquet(path)
+    # A plan that Spark knows to be empty runs without the observation.
+    found = {name: seen.get.get(name) or 0 for name in wanted}
+    # The schema is known, so reading back needs no footer inference job.
+    return df.sparkSession.read.schema(df.schema).parquet(path), found
+
+
 def append_register(rows: DataFrame, path: str) -> None:
     """Add the findings of a run, a partition per phase and run stamp.
 

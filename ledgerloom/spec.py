@@ -108,6 +108,7 @@ INGEST_SEVERITY = {
     "duplicate_loan_period": "HIGH",
     "inconsistent_origination_attributes": "MEDIUM",
     "panel_period_gap": "MEDIUM",
+    "rejected_source_row": "HIGH",
 }
 SEVERITY_WEIGHT = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
