@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,40 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def bytes_in_parts(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[list[bytes | None]]:
+    """The texts of a column, about ``limit`` bytes of them at a time.
+
+    Only one part is in Python's memory, whatever a batch holds; the column itself stays
+    in the buffer that Arrow has for it.
+    """
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield as_bytes(column.slice(start, stop - start))
+        start = stop
+
+
+# How to empty what a module keeps between the tasks of one worker, by module.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def give_back(keep: str = "") -> None:
+    """Empty this worker's caches but those of module ``keep``, and return the memory.
+
+    Workers are reused, so what a stage has kept would add to what later stages need.
+    """
+    for name, clear in caches.items():
+        if name != keep:
+            clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def portions(texts: list[bytes | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``limit`` bytes of text each."""
     start = size = 0
@@ -102,10 +138,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
-
-
-def hashed(words: list[bytes], count: int | None = None) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+caches["words"] = _hashes.clear
 
 
 def hashed_lists(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:

@@ -258,40 +258,46 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: str = SEED)
     with that many first words of the text. Rows the mix does not take are left out.
     Of several equal rows, which one is taken more often does not matter.
     """
-    keys = {"__id": F.coalesce(F.col("doc_id"), F.lit(0)), "__key": F.col("key")}
-    taken = (
+    named = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("nameless")]
+    keys = ["id", "nameless", "key"]
+    counts = (
         mix(documents, block, seed)
         .where("taken > 0")
-        .withColumns(keys)
-        .groupBy("__id", "__key")
-        .agg(F.sort_array(F.collect_list(F.struct("taken", "size")), asc=False).alias("__all"))
+        .select(*named, "key", "taken", "size")
+        .groupBy(*keys, "taken", "size")
+        .agg(F.count("*").alias("n"))
     )
-    same = Window.partitionBy("__id", "__key").orderBy(F.lit(0))
+    # Equal rows are taken all once, all twice and so on, but for the one that is cut: a
+    # few outcomes, each for a stretch of their numbers, however many rows there are.
+    falling = Window.partitionBy(*keys).orderBy(F.desc("taken"), "size")
+    upto = F.sum("n").over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    outcomes = (
+        counts.withColumn("upto", upto)
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct((F.col("upto") - F.col("n")).alias("from"), "upto", "taken", "size")).alias("all"))
+    )
+    same = Window.partitionBy(*keys).orderBy(F.lit(0))
+    # A row is one value, so no column of its own can be mistaken for one of these.
     rows = (
-        documents.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(0)))
-        .withColumn("__key", _row_key())
-        .withColumn("__rn", F.row_number().over(same))
-        .join(taken, ["__id", "__key"])
-        .withColumn("__mine", F.get("__all", F.col("__rn") - 1))
-        .where("__mine IS NOT NULL")
-        .withColumn("__copies", F.expr("__mine.taken div __mine.size"))
-        .withColumn("__rest", F.expr("__mine.taken % __mine.size"))
+        documents.select(*named, _row_key().alias("key"), F.struct("*").alias("row"))
+        .withColumn("number", F.row_number().over(same))
+        .join(outcomes, keys)
         .withColumn(
-            "__copy",
-            F.explode(F.expr("sequence(1L, __copies + if(__rest > 0, 1L, 0L))")),
+            "mine",
+            F.get(F.filter("all", lambda x: (F.col("number") > x["from"]) & (F.col("number") <= x["upto"])), F.lit(0)),
         )
+        .where("mine IS NOT NULL")
+        .withColumn("copies", F.expr("mine.taken div mine.size"))
+        .withColumn("rest", F.expr("mine.taken % mine.size"))
+        .withColumn("copy", F.explode(F.expr("sequence(1L, copies + if(rest > 0, 1L, 0L))")))
     )
-    whole = F.col("__copy") <= F.col("__copies")
+    whole = F.col("copy") <= F.col("copies")
     leading = F.concat(
-        F.lit(rf"^(?:[{SPACE_CLASS}]*+[^{SPACE_CLASS}]++){{"), F.col("__rest").cast("string"), F.lit("}+")
+        F.lit(rf"^(?:[{SPACE_CLASS}]*+[^{SPACE_CLASS}]++){{"), F.col("rest").cast("string"), F.lit("}+")
     )
-    text = F.when(whole, F.col("text")).otherwise(F.regexp_substr("text", leading))
-    rows = rows.withColumn("__text", text)
-    changed = {"text": F.col("__text")}
+    text = F.when(whole, F.col("row.text")).otherwise(F.regexp_substr("row.text", leading))
+    rows = rows.withColumn("text", text)
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(
-            F.length("__text").cast("long")
-        )
-    return rows.select(
-        *[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns]
-    )
+        changed["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, importable, portions, stored, text_key
+from ledgerloom.llm.common import bytes_in_parts, give_back, importable, stored, text_key
 from ledgerloom.llm.tokens import encoder, vocabulary_path
 
 CAPACITY, END, SALTS = 2048, 0, 128
@@ -47,21 +47,23 @@ def pieces(
     path = vocabulary_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(keep="tokens")
         tokenizer = encoder(path)
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for lo, hi in portions(texts):
-                ids, bounds = tokenizer.encode(texts[lo:hi], end)
+            done = 0
+            for texts in bytes_in_parts(batch.column("text")):
+                ids, bounds = tokenizer.encode(texts, end)
                 data = memoryview(ids.astype("<u4").view(np.uint8))
                 sizes = np.diff(bounds)
                 count = -(-sizes // capacity)
-                row = np.repeat(np.arange(hi - lo), count)
+                row = np.repeat(np.arange(len(texts)), count)
                 piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 start = piece * capacity
                 length = np.minimum(capacity, sizes[row] - start)
                 at = (bounds[row] + start) * 4
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
-                rows = pa.array(row + lo)
+                rows = pa.array(row + done)
+                done += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(rows),

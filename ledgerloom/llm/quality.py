@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import FIRST, as_bytes, hashed_lists, importable, portions
+from ledgerloom.llm.common import FIRST, bytes_in_parts, give_back, hashed_lists, importable, portions
 
 # Bytes from which a band starts, and the smallest and largest ratio accepted in it.
 # Wide around prose: limits lie a tenth or more outside what labelled prose shows.
@@ -143,26 +143,38 @@ def scores(documents: DataFrame) -> DataFrame:
     importable(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            found = measure(as_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(found[c], t) for c, t in _TYPES.items()]],
-                names=["doc_id", *_TYPES],
-            )
+            done = 0
+            for texts in bytes_in_parts(batch.column("text")):
+                found = measure(texts)
+                ids = batch.column("doc_id").slice(done, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *[pa.array(found[c], t) for c, t in _TYPES.items()]],
+                    names=["doc_id", *_TYPES],
+                )
+                done += len(texts)
+        give_back()
 
     return documents.select("doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
 def accepted(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that the rules keep, with all their columns."""
+    """The rows of ``documents`` that the rules keep, with all their columns.
+
+    Only texts go to the workers, and one bit a row comes back.
+    """
     importable(documents.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for batch in batches:
-            kept = measure(as_bytes(batch.column(batch.schema.get_field_index("text"))))["kept"]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.array(
+                [v for texts in bytes_in_parts(batch) for v in measure(texts)["kept"]], pa.bool_()
+            )
+        give_back()
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.where(F.arrow_udf(verdicts, "boolean")("text"))
 
 
 def digest(documents: DataFrame) -> DataFrame:

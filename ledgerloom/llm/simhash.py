@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, importable, stored, text_key
+from ledgerloom.llm.common import bytes_in_parts, give_back, importable, stored, text_key
 from ledgerloom.llm.components import components
 
 SHINGLE, DISTANCE, BUCKET_ROWS = 3, 2, 48
@@ -50,8 +50,10 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     importable(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
-            prints = [fingerprint(t, shingle) for t in as_bytes(batch.column("text"))]
+            parts = bytes_in_parts(batch.column("text"))
+            prints = [fingerprint(t, shingle) for texts in parts for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -170,13 +172,16 @@ def representatives(
     """
     found = groups(documents, shingle, distance)
     best = found.where("doc_id <=> component_id").groupBy("root", "component_id").agg(
-        F.min("th").alias("__th")
+        F.min("th").alias("th")
     )
-    chosen = best.select(F.col("component_id").alias("__id"), "__th").distinct()
-    keyed = documents.withColumn("__th", text_key())
-    kept = keyed.join(
-        chosen.withColumnRenamed("__th", "__best"),
-        (F.col("__th") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id")),
-        "left_semi",
-    )
-    return kept.dropDuplicates(["doc_id", "__th"]).select(*documents.columns)
+    chosen = best.select(*_named("component_id"), "th").distinct()
+    # Equal rows meet first, in the tasks that read them and then by the key of the
+    # join, so texts are shuffled once. A row is one value: no column can be mistaken.
+    keyed = documents.select(*_named("doc_id"), text_key().alias("th"), F.struct("*").alias("row"))
+    one = keyed.groupBy("id", "nameless", "th").agg(F.first("row").alias("row"))
+    return one.join(chosen, ["id", "nameless", "th"], "left_semi").select("row.*")
+
+
+def _named(doc_id: str) -> list[Column]:
+    """A doc_id as two columns without nulls, which a join can compare."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("id"), F.isnull(doc_id).alias("nameless")]

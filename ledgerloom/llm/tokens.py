@@ -9,6 +9,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from ledgerloom.llm.common import caches
+
 # Tokenizers file that drops white space: words never share a token, so ids of a text
 # are the ids of its words one after another.
 VOCABULARY = "word_bpe_49k.json"
@@ -150,6 +152,7 @@ def _as_bytes(ids: list[int]) -> bytes:
 
 
 _encoders: dict[str, WordEncoder] = {}
+caches["tokens"] = _encoders.clear
 
 
 def encoder(path: str) -> WordEncoder:
