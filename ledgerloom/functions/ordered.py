@@ -50,36 +50,39 @@ def lowest(df: DataFrame, key: str, order: str, values: Mapping[str, Column]) ->
     return df.withColumns({name: F.min(v).over(whole_key) for name, v in values.items()})
 
 
-# Periods have ten digits at most in packed orders; beyond, they count as the limit.
-_PERIOD_LIMIT = 10**10 - 1
-_BALANCE_LIMIT = 1e15 - 1
+# Ranks of infinity and above, in the order of doubles, apart without the last bit too.
+_INFINITY = 2047 << 52
+_NAN, _MISSING = _INFINITY + 2, _INFINITY + 4
 
 
-def _period(order: Column) -> Column:
-    # greatest() skips NULLs, so a NULL takes the lower limit.
-    within = F.least(F.greatest(order, F.lit(-_PERIOD_LIMIT)), F.lit(_PERIOD_LIMIT))
-    return within.cast("decimal(10,0)")
+def double_rank(value: Column) -> Column:
+    """A long that sorts like the double: -inf, numbers, inf, NaN, NULL; both zeros are 0.
+
+    It counts the doubles between zero and the value, as its bits would. All steps are
+    exact: powers of two are, and so are products and quotients with them.
+    """
+    size = F.abs(value)
+    # The logarithm may miss the next power of two by rounding, then the quotient tells.
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022))
+    scaled = size / F.pow(F.lit(2.0), F.least(guess, F.lit(1023)))
+    step = F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)
+    exponent = F.least(guess, F.lit(1023)) + step
+    part = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled) - 1
+    ordinary = (exponent + 1023) * (1 << 52) + (part * float(1 << 52)).cast("long")
+    tiny = (size * 2.0**537 * 2.0**537).cast("long")
+    rank = F.when(size == float("inf"), _INFINITY).when(size < 2.0**-1022, tiny).otherwise(ordinary)
+    signed = F.when(value < 0, -rank).otherwise(rank)
+    return F.when(value.isNull(), _MISSING).when(F.isnan(value), _NAN).otherwise(signed).cast("long")
 
 
 def packed_report(order: Column, balance: Column) -> Column:
     """(order, balance) as one decimal that sorts like them: NULL order first, NULL balance last.
 
-    A minimum of decimals is kept in a hash table, one of structs needs sorted rows.
-    Balances count to nine places and up to 10**15, NaN as the largest.
+    A minimum of decimals is kept in a hash table, one of structs needs sorted rows. Any
+    long keeps its place; balances keep theirs but for the last bit: the 38 digits of a
+    decimal hold 64 bits of the order and 63 of the balance, so two balances that are
+    neighbours among doubles can tie.
     """
-    within = F.least(F.greatest(balance, F.lit(-_BALANCE_LIMIT)), F.lit(_BALANCE_LIMIT))
-    place = F.when(balance.isNull(), 2e15).otherwise(within).cast("decimal(25,9)")
-    return _period(order) * F.lit(Decimal(10**16)) + place
-
-
-def packed_value(order: Column, value: Column) -> Column:
-    """(order, value) as one decimal that sorts like them, for any whole number; NULL order first."""
-    # Shifted by 10**19, every long is positive and below 2 * 10**19.
-    shifted = value.cast("decimal(19,0)") + F.lit(Decimal(10**19))
-    return _period(order) * F.lit(Decimal(10**20)) + shifted
-
-
-def unpacked_value(packed: Column) -> Column:
-    """The value in ``packed_value``."""
-    shifted = F.pmod(packed, F.lit(Decimal(10**20)))
-    return (shifted - F.lit(Decimal(10**19))).cast("long")
+    rank = F.shiftright(double_rank(balance), 1).cast("decimal(19,0)")
+    place = order.cast("decimal(19,0)") * F.lit(Decimal(2**63))
+    return F.coalesce(place, F.lit(Decimal(-9 * 10**37))) + rank

@@ -108,6 +108,7 @@ LINK_COLUMNS = (
     "prior_status",
     "repeats_period",
     "opens_gap",
+    "gap_periods",
     "moves_next",
     "next_status",
     "default_period",
@@ -173,6 +174,7 @@ def entity_attributes(panel: DataFrame) -> DataFrame:
     variants = panel.groupBy("id", *ATTRIBUTES).agg(
         F.min(ordered.packed_report(F.col("time"), F.col("balance_time"))).alias("seen"),
         F.count("*").alias("rows"),
+        F.count("time").alias("placed"),
     )
 
     def earliest(attribute: str) -> Column:
@@ -186,6 +188,7 @@ def entity_attributes(panel: DataFrame) -> DataFrame:
         *[earliest(a) for a in ATTRIBUTES],
         differs.alias("is_inconsistent"),
         F.sum("rows").alias("source_rows"),
+        F.sum("placed").alias("placed_rows"),
     )
 
 
@@ -223,6 +226,7 @@ def dim_rows(attributes: DataFrame, spec: PanelSpec) -> DataFrame:
         ).alias("focus_cohort"),
         "is_inconsistent",
         "source_rows",
+        "placed_rows",
     )
 
 
@@ -259,15 +263,32 @@ def linked_rows(kept: DataFrame) -> DataFrame:
     )
 
 
+# Periods that are held at once while a gap is filled.
+STRETCH = 4096
+
+
 def gap_filled(linked: DataFrame) -> DataFrame:
     """Repeat each report over the missing periods that follow it, flagged.
 
     Replaces a spine of all periods joined to the reports: each report knows
-    the next one, so the rows in between need no join and no shuffle.
+    the next one, so the rows in between need no join and no shuffle. A gap is filled
+    stretch by stretch: a row holds the starts of its stretches, then the periods of
+    one, so a gap of n periods takes n / ``STRETCH`` + ``STRETCH`` numbers of memory.
+    ``gap_periods``, on reports, says how many periods were missing after them.
     """
-    last = F.coalesce(F.col("next_period") - 1, F.col("period"))
-    rows = linked.withColumn("reported_period", F.col("period"))
-    filled = rows.withColumn("period", F.explode(F.sequence(F.col("period"), last)))
+    last = F.col("last_period")
+    rows = linked.withColumns(
+        {
+            "reported_period": F.col("period"),
+            "last_period": F.coalesce(F.col("next_period") - 1, F.col("period")),
+        }
+    )
+    stretches = F.explode(F.sequence(F.col("period"), last, F.lit(STRETCH).cast("long")))
+    # Near the largest long a full stretch would not fit.
+    stop = F.when(last - F.col("first_period") < STRETCH, last).otherwise(F.col("first_period") + (STRETCH - 1))
+    filled = rows.withColumn("first_period", stretches).withColumn(
+        "period", F.explode(F.sequence(F.col("first_period"), stop))
+    )
     is_filled = F.col("period") != F.col("reported_period")
     # The row before a filled row is its own copy, and a filled row is never
     # one end of a reported transition.
@@ -284,10 +305,11 @@ def gap_filled(linked: DataFrame) -> DataFrame:
             "opens_gap": F.coalesce(
                 is_filled & (F.col("period") == F.col("first_gap") + 1), F.lit(False)
             ),
+            "gap_periods": F.when(~is_filled, last - F.col("reported_period")),
             "moves_next": ~is_filled
             & F.coalesce(F.col("next_period") == F.col("period") + 1, F.lit(False)),
         }
-    ).drop("reported_period", "next_period", "first_gap")
+    ).drop("reported_period", "last_period", "first_period", "next_period", "first_gap")
 
 
 def fact_rows(linked: DataFrame, dim: DataFrame, macro: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -52,16 +52,27 @@ def status_counts(panel: DataFrame) -> DataFrame:
 
 
 def _entity_ends(panel: DataFrame) -> DataFrame:
-    """First origination period and last status of each entity, ignoring NULLs."""
-    time = F.col("time")
-    ends = panel.groupBy("id").agg(
-        F.min(ordered.packed_value(time, F.col("orig_time"))).alias("first"),
-        F.max(ordered.packed_value(time, F.col("status_time"))).alias("last"),
+    """First origination period and last status of each entity, ignoring NULLs.
+
+    First and last are by period, a missing one before all others; in one period the
+    lowest origination and the highest status count. Reports are cut to one row a
+    period first, so that then a value belongs to its period alone; both steps keep
+    longs in hash tables.
+    """
+    reports = panel.groupBy("id", "time").agg(
+        F.min("orig_time").alias("orig_time"), F.max("status_time").alias("status_time")
     )
-    return ends.select(
-        "id",
-        ordered.unpacked_value(F.col("first")).alias("orig_time"),
-        ordered.unpacked_value(F.col("last")).alias("final_status"),
+    time = F.col("time")
+
+    def of(value: str, pick) -> Column:
+        return pick(value, F.when(F.col(value).isNotNull(), time))
+
+    def undated(value: str) -> Column:
+        return F.min(F.when(time.isNull(), F.col(value)))
+
+    return reports.groupBy("id").agg(
+        F.coalesce(undated("orig_time"), of("orig_time", F.min_by)).alias("orig_time"),
+        F.coalesce(of("status_time", F.max_by), undated("status_time")).alias("final_status"),
     )
 
 

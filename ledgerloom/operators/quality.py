@@ -116,6 +116,48 @@ def ingest_findings(panel: DataFrame, dim: DataFrame, fact: DataFrame) -> DataFr
     return _ingest_rows(from_rows.unionByName(inconsistent))
 
 
+def fact_measures(spec: PanelSpec) -> dict[str, Column]:
+    """What is counted while the fact is written, for the findings of the ingest.
+
+    A loan opens its first gap once, so marked rows count loans.
+    """
+    return {
+        "reported": F.count_if(~F.col("is_forward_filled")),
+        "filled": F.count_if("is_forward_filled"),
+        "filled_loans": F.count_if("opens_gap"),
+        "long_gaps": F.count_if(F.col("gap_periods") > spec.long_gap),
+    }
+
+
+def dim_measures() -> dict[str, Column]:
+    """The same while the entities are written; placed rows name an entity and a period."""
+    return {
+        "inconsistent": F.count_if("is_inconsistent"),
+        "placed": F.sum(F.when(F.col("loan_id").isNotNull(), F.col("placed_rows"))),
+    }
+
+
+def counted_findings(spark: SparkSession, dim: Mapping[str, int], fact: Mapping[str, int]) -> DataFrame:
+    """``ingest_findings`` from the measures of a build, without reading a table."""
+    rows = [
+        ("duplicate_loan_period", dim["placed"] - fact["reported"], DUPLICATE_DETAIL),
+        ("inconsistent_origination_attributes", dim["inconsistent"], INCONSISTENT_DETAIL),
+        ("panel_period_gap", fact["filled"], GAP_DETAIL % fact["filled_loans"]),
+    ]
+    return _ingest_rows(spark.createDataFrame(rows, "rule_name string, affected_rows long, detail string"))
+
+
+def long_gap_finding(fact: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Gaps so long that a wrong period is likelier than a loan that was not reported."""
+    return _ingest_rows(
+        fact.agg(fact_measures(spec)["long_gaps"].alias("affected_rows")).select(
+            F.lit("implausible_panel_gap").alias("rule_name"),
+            "affected_rows",
+            F.lit(f"Gaps of more than {spec.long_gap} periods; filled like any other").alias("detail"),
+        )
+    )
+
+
 def _ingest_rows(counts: DataFrame) -> DataFrame:
     return counts.select(
         "rule_name",
@@ -187,6 +229,12 @@ def reconciliation_by_dimension(
     )
 
 
+def duplicate_keys(fact: DataFrame) -> DataFrame:
+    """How many loan-periods a fact has more than once, whoever wrote it."""
+    keys = fact.groupBy("loan_id", "period").agg(F.count("*").alias("copies"))
+    return keys.agg(F.count_if(F.col("copies") > 1).alias("duplicate_loan_period"))
+
+
 def rule_counts(
     dim: DataFrame,
     fact: DataFrame,
@@ -194,11 +242,13 @@ def rule_counts(
     segments: DataFrame,
     summary: DataFrame,
     spec: PanelSpec,
+    published: DataFrame | None = None,
 ) -> DataFrame:
     """(rule_name, affected_rows) of the ten rules.
 
     One scan of the fact for all rules on rows, duplicate keys included: a key with
-    copies has one second row.
+    copies has one second row. Given the ``published`` fact, keys are counted there
+    instead, by a grouping of their own that does not rely on the build.
     """
     status = F.col("status_code")
     by_row = with_prior(fact).agg(
@@ -227,6 +277,10 @@ def rule_counts(
         F.when(contiguous, 0).otherwise(1).cast("long").alias("reporting_period_continuity")
     )
     findings = _as_rows(by_row)
+    if published is not None:
+        findings = findings.where(F.col("rule_name") != "duplicate_loan_period").unionByName(
+            _as_rows(duplicate_keys(published))
+        )
     for other in (by_loan, unreconciled, continuity):
         findings = findings.unionByName(_as_rows(other))
     return findings
@@ -239,8 +293,9 @@ def rule_findings(
     segments: DataFrame,
     summary: DataFrame,
     spec: PanelSpec,
+    published: DataFrame | None = None,
 ) -> DataFrame:
-    return rule_counts(dim, fact, periods, segments, summary, spec).select(
+    return rule_counts(dim, fact, periods, segments, summary, spec, published).select(
         "rule_name",
         _severity(RULE_SEVERITY, F.col("rule_name")).alias("severity"),
         _outcome(F.col("affected_rows")).alias("status"),

@@ -25,7 +25,10 @@ from ledgerloom.operators import (
     quality,
     vintage,
 )
-from ledgerloom.plans.reporting import REPORTS, ReportStore
+from ledgerloom.plans.bucketed import BucketedTables, copartitioned, save_tables
+from ledgerloom.plans.faults import Faulty, write_faulty
+from ledgerloom.plans.reporting import ReportStore
+from ledgerloom.plans.sqlapi import create_sql
 from ledgerloom.plans.warehouse import Warehouse, build_warehouse, shared_folder, written
 from ledgerloom.sources import sinks
 from ledgerloom.sources.derived import (
@@ -79,6 +82,20 @@ class Context:
         write_spoilt_csv(self.warehouse.panel, f"{self.path}/csv")
         return land_csv(self.warehouse.panel.sparkSession, f"{self.path}/csv", f"{self.path}/landed")
 
+    @cached_property
+    def bucketed(self) -> BucketedTables:
+        return save_tables(self.warehouse, f"{self.path}/bucketed")
+
+    @cached_property
+    def faulty(self) -> Faulty:
+        """The published tables with faults that the build itself never makes."""
+        return write_faulty(self.store, f"{self.path}/faulty")
+
+    def sql(self, statement: str) -> DataFrame:
+        """A statement over the views and SQL functions of this folder's tables."""
+        create_sql(self.store)
+        return self.warehouse.fact.sparkSession.sql(statement)
+
     @property
     def register(self) -> DataFrame:
         return self.store.register("dq_results", RUNS)
@@ -122,17 +139,8 @@ def forget() -> None:
 
 
 def _manifest(c: Context) -> DataFrame:
-    w = c.warehouse
-    return sinks.manifest(
-        {
-            **{name: c.report(name) for name in REPORTS},
-            "dim_loan": w.dim,
-            "fact_loan_quarter": w.fact,
-            "fact_credit_event": w.event,
-            "dim_date": w.periods,
-            "dq_results": c.register,
-        }
-    )
+    counted = c.store.manifest({"dq_results": c.register})
+    return counted.where(F.col("object") != "dim_period_macro")
 
 
 def _gapfill(c: Context) -> DataFrame:
@@ -154,6 +162,12 @@ def _dedupe(c: Context) -> DataFrame:
     return prepare.dedupe(c.warehouse.panel)
 
 
+def _bucketed_roll_rates(c: Context) -> DataFrame:
+    tables = c.bucketed
+    with copartitioned(c.warehouse.fact.sparkSession):
+        return written(tables.roll_rates(), f"{c.path}/bucketed/roll_rates")
+
+
 SUMMARY = "vw_portfolio_summary"
 SEGMENTS = "vw_segment_performance"
 CURVES = "vw_vintage_performance"
@@ -175,6 +189,7 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "ingest_findings": lambda c: quality.ingest_findings(
         c.warehouse.panel, c.warehouse.dim, c.warehouse.fact
     ),
+    "dq_long_gaps": lambda c: quality.long_gap_finding(c.warehouse.fact, c.spec),
     "dim_entity": lambda c: c.warehouse.dim_loan,
     "band_distribution": lambda c: insights.band_distribution(c.warehouse.dim, c.warehouse.fact),
     "dim_period": lambda c: c.warehouse.periods,
@@ -212,6 +227,29 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "dq_history": lambda c: quality.register_history(c.register),
     "dq_latest_run": lambda c: quality.latest_rules(c.register),
     "dq_latest": lambda c: quality.failing_rules(c.register),
+    # faults that only later writers can make
+    "faulty_rules": lambda c: quality.rule_findings(*c.faulty.inputs(), c.spec),
+    "faulty_keys": lambda c: c.faulty.duplicate_keys(),
+    "faulty_reconciliation": lambda c: quality.reconciliation_by_dimension(
+        c.faulty.segments, c.faulty.summary, c.spec
+    ),
+    # bucketed by loan
+    "bucketed_roll_rates": _bucketed_roll_rates,
+    "bucketed_duplicates": lambda c: c.bucketed.duplicate_keys(),
+    "bucketed_exposure": lambda c: c.bucketed.exposure_by_origination(),
+    # SQL functions
+    "sql_provision": lambda c: c.sql(
+        "SELECT * FROM provision() UNION ALL SELECT * FROM provision(0.45D, 90D, 8)"
+    ),
+    "sql_movement": lambda c: c.sql("SELECT * FROM provision_movement(lgd => 0.45D, stage2_ltv => 90D, horizon => 8)"),
+    "sql_stage2": lambda c: c.sql(
+        "SELECT ltv, period, stage2_share_pct FROM VALUES (80D), (100D) AS t(ltv), LATERAL stage2_share(ltv)"
+    ),
+    "sql_movers": lambda c: c.sql("SELECT * FROM top_mover_default(min_active => 10L)"),
+    "sql_segments": lambda c: c.sql(
+        "SELECT * FROM segments_of('Credit score band', array('1. <620', '6. 780+'))"
+    ),
+    "sql_vintages": lambda c: c.sql("SELECT * FROM vintage_curve(array('1995Q2', '1996Q4'), 50D)"),
     # commentary
     "movement_facts": lambda c: c.store.movement_facts(),
     "top_mover_growth": lambda c: commentary.top_mover_growth(

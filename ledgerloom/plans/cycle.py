@@ -45,13 +45,13 @@ def run_cycle(
         period = summary.agg(F.max("period")).first()[0]
     elif summary.where(F.col("period") == period).isEmpty():
         raise ValueError(f"no data for period {period}")
-    ingest = store.ingest_findings()
+    ingest = store.ingest_findings().unionByName(store.long_gap_finding())
     if landed:
         ingest = ingest.unionByName(quality.rejected_finding(spark, source.counts, REASONS))
     # The rules come second and need a later stamp to be the newest run.
     for phase, findings, at in (
         (INGEST_PHASE, ingest, run_at),
-        (QUALITY_PHASE, store.rule_findings(), run_at + datetime.timedelta(milliseconds=1)),
+        (QUALITY_PHASE, store.rules(verify=True), run_at + datetime.timedelta(milliseconds=1)),
     ):
         sinks.append_register(quality.register_rows(findings, phase, at), register_path)
     register = sinks.read_register(spark, register_path)
@@ -66,7 +66,7 @@ def run_cycle(
     }
     checks = {
         "source_profile": schema_profile(panel),
-        "manifest": sinks.manifest({**exported, "fact_loan_quarter": warehouse.fact}),
+        "manifest": store.manifest({"dq_results": register}),
         "dq_score": quality.quality_score(quality.latest_rules(register)),
     }
     if landed:

@@ -7,6 +7,8 @@ self-join, segments from grouping sets, probabilities from entity joins.
 
 from __future__ import annotations
 
+import re
+
 from ledgerloom.operators.prepare import ATTRIBUTES
 from ledgerloom.spec import INGEST_SEVERITY, LTV_BANDS, PANEL_SCHEMA, RULE_SEVERITY, SCORE_BANDS
 
@@ -404,6 +406,32 @@ BASE = {
     WHERE abs(d) > 0.01
   UNION ALL SELECT 'reporting_period_continuity',
     CAST(count(*) IS DISTINCT FROM max(period) - min(period) + 1 AS BIGINT) FROM dates""",
+    # --- the published tables with faults ---
+    "fact_bad": """
+  SELECT f.* FROM fact f, range(3) AS r(n)
+  WHERE period <> 12
+    AND n <= if((loan_id * 7 + period) % 113 = 0, 1, 0) + if((loan_id * 7 + period) % 226 = 0, 1, 0)""",
+    "stepped_bad": """
+  SELECT *, lag(current_balance) OVER w AS pb, lag(status_code) OVER w AS ps
+  FROM fact_bad WINDOW w AS (PARTITION BY loan_id ORDER BY period)""",
+    "differences_bad": """
+  SELECT segment_type, period, d + if(segment_type = 'Occupancy' AND period % 9 = 4,
+           1000 * (SELECT count(*) FROM cells c WHERE c.segment_type = 'Occupancy'
+                   AND c.period = differences.period AND c.active_exact IS NOT NULL), 0) AS d
+  FROM differences""",
+    "dates_bad": "SELECT * FROM dates WHERE period <> 12",
+    # --- other assumptions ---
+    "staged_other": """
+  SELECT period, reporting_quarter, credit_score_band, current_balance,
+         if(status_code = 1, 'Stage 3', if(coalesce(current_ltv, 0) > 90, 'Stage 2', 'Stage 1'))
+           AS ifrs9_stage
+  FROM fact""",
+    "year_ahead_other": """
+  SELECT f.credit_score_band,
+         CAST(sum(CASE WHEN e.default_period - f.period <= 8 THEN 1 ELSE 0 END) AS DOUBLE)
+           / nullif(count(*), 0) AS pd_12m
+  FROM fact f LEFT JOIN event e ON e.loan_id = f.loan_id
+  WHERE f.status_code = 0 GROUP BY ALL""",
     "rules": "SELECT rule_name, CASE rule_name "
     + " ".join(f"WHEN '{n}' THEN '{s}'" for n, s in RULE_SEVERITY.items())
     + """ END AS severity, if(affected_rows = 0, 'PASS', 'FAIL') AS status, affected_rows
@@ -540,6 +568,26 @@ BASE = {
     LEFT JOIN worst w ON w.period = f.period LEFT JOIN stage2 s2 ON s2.period = f.period""",
 }
 
+
+
+def _instead(body: str, *names: str, suffix: str) -> str:
+    """A body that reads other relations in the place of ``names``."""
+    return re.sub(rf"\b({'|'.join(names)})\b", rf"\1{suffix}", body)
+
+
+BASE |= {
+    "counted_bad": _instead(
+        BASE["counted"], "fact", "stepped", "differences", "dates", suffix="_bad"
+    ),
+    "stage_cells_other": _instead(BASE["stage_cells"], "staged", suffix="_other"),
+    "provisions_other": _instead(
+        BASE["provisions"], "stage_cells", "year_ahead", suffix="_other"
+    ).replace("3e-1", "45e-2"),
+    "closings_other": _instead(BASE["closings"], "provisions", suffix="_other"),
+    "openings_other": _instead(BASE["openings"], "closings", suffix="_other"),
+    "movement_other": _instead(BASE["movement"], "openings", suffix="_other"),
+}
+
 _VALUES = """loan_id, period, balance AS balance_time, ltv AS LTV_time,
   rate AS interest_rate_time, status AS status_time, default_time, payoff_time"""
 _ENDS = """(SELECT id, first(orig_time ORDER BY "time", orig_time) AS orig_time,
@@ -590,6 +638,12 @@ BODIES = {
     ),
     "panel_dedupe": f"SELECT {_VALUES} FROM kept",
     "ingest_findings": "SELECT * FROM findings",
+    "dq_long_gaps": """SELECT 'implausible_panel_gap' AS rule_name, 'MEDIUM' AS severity,
+  if(n = 0, 'PASS', 'FAIL') AS status, n AS affected_rows,
+  'Gaps of more than 6 periods; filled like any other' AS detail
+  FROM (SELECT count(*) AS n
+        FROM (SELECT lead(period) OVER (PARTITION BY loan_id ORDER BY period) - period - 1 AS missing
+              FROM kept) WHERE missing > 6)""",
     "dim_entity": "SELECT * EXCLUDE (is_inconsistent) FROM loan",
     "band_distribution": """SELECT 'credit_score_band' AS band_type, credit_score_band AS band,
   count(*) AS rows FROM loan GROUP BY ALL
@@ -643,6 +697,35 @@ BODIES = {
     "dq_latest_run": """SELECT rule_name, severity, status, affected_rows FROM register
   WHERE phase = '4-quality' AND run_timestamp = TIMESTAMP '2024-04-30 06:30:00'""",
     "dq_latest": "SELECT * FROM failing",
+    "faulty_rules": BASE["rules"].replace("FROM counted", "FROM counted_bad"),
+    "faulty_keys": """SELECT loan_id, period, count(*) AS copies FROM fact_bad
+  GROUP BY ALL HAVING count(*) > 1""",
+    "faulty_reconciliation": """SELECT segment_type, max(abs(d)) AS max_abs_difference
+  FROM differences_bad GROUP BY ALL""",
+    "bucketed_roll_rates": "SELECT * FROM rolls",
+    "bucketed_duplicates": """SELECT count(*) AS duplicate_loan_period
+  FROM (SELECT 1 FROM fact GROUP BY loan_id, period HAVING count(*) > 1)""",
+    "bucketed_exposure": """SELECT f.period, l.property_type, l.original_term_quarters, count(*) AS loans,
+  CAST(sum(current_balance::DECIMAL(28,4)) AS DOUBLE) AS balance
+  FROM fact f JOIN loan l USING (loan_id) GROUP BY ALL""",
+    "sql_provision": """SELECT * EXCLUDE (exact) FROM provisions
+  UNION ALL SELECT * EXCLUDE (exact) FROM provisions_other""",
+    "sql_movement": "SELECT * FROM movement_other",
+    "sql_stage2": f"""SELECT ltv, period,
+  {_pct("sum(current_balance::DECIMAL(28,4)) FILTER (status_code <> 1 AND current_ltv > ltv)",
+        "sum(current_balance::DECIMAL(28,4))")} AS stage2_share_pct
+  FROM (SELECT period, current_balance, current_ltv, coalesce(status_code, 9) AS status_code FROM fact),
+       (VALUES (8e1), (1e2)) AS t(ltv) GROUP BY ALL""",
+    "sql_movers": """SELECT DISTINCT ON (period) period, segment_type, segment_value,
+  quarterly_default_rate_pct
+  FROM segments WHERE quarterly_default_rate_pct IS NOT NULL AND active_loans > 10
+  ORDER BY period, quarterly_default_rate_pct DESC, segment_type, segment_value""",
+    "sql_segments": """SELECT period, segment_type, segment_value, active_balance, active_loans,
+  pct_of_portfolio_balance, quarterly_default_rate_pct FROM segments
+  WHERE segment_type = 'Credit score band' AND segment_value IN ('1. <620', '6. 780+')""",
+    "sql_vintages": """SELECT origination_vintage, quarters_on_book, pct_cohort_still_observed,
+  cumulative_default_rate_pct, cumulative_default_rate_by_balance_pct FROM curves
+  WHERE origination_vintage IN ('1995Q2', '1996Q4') AND pct_cohort_still_observed >= 50""",
     "movement_facts": "SELECT * FROM facts",
     "top_mover_growth": "SELECT * FROM growers",
     "top_mover_default": "SELECT * FROM worst",

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
 from ledgerloom.operators import commentary, loss, migration, portfolio, provision, quality, vintage
-from ledgerloom.plans.warehouse import Warehouse, written
+from ledgerloom.plans.warehouse import Warehouse
 from ledgerloom.sources import sinks
 
 # Every report, in the order in which they are published.
@@ -75,6 +75,7 @@ class ReportStore:
         self.warehouse = warehouse
         self.path = path
         self._written: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def report(self, name: str) -> DataFrame:
         if name == "vw_provision_movement":
@@ -94,8 +95,12 @@ class ReportStore:
             self.warehouse.spec,
         )
 
-    def rules(self) -> DataFrame:
-        """Findings of the ten rules, evaluated now."""
+    def rules(self, verify: bool = False) -> DataFrame:
+        """Findings of the ten rules, evaluated now.
+
+        With ``verify``, duplicate keys are counted in the published fact as it stands,
+        whatever has been appended to it, at the price of a shuffle by loan and period.
+        """
         w = self.warehouse
         return quality.rule_findings(
             w.dim,
@@ -104,14 +109,40 @@ class ReportStore:
             self.report("vw_segment_performance"),
             self.report("vw_portfolio_summary"),
             w.spec,
+            w.fact_loan_quarter if verify else None,
         )
 
     def ingest_findings(self) -> DataFrame:
+        """From what the build counted as it wrote, if it did."""
         w = self.warehouse
+        if w.counts:
+            spark = w.fact.sparkSession
+            return quality.counted_findings(spark, w.counts["dim_loan"], w.counts["fact_loan_quarter"])
         return self._once(
             "ingest_findings", lambda: quality.ingest_findings(w.panel, w.dim, w.fact)
         )
 
+    def long_gap_finding(self) -> DataFrame:
+        return quality.long_gap_finding(self.warehouse.fact, self.warehouse.spec)
+
+    def manifest(self, more: Mapping[str, DataFrame] | None = None) -> DataFrame:
+        """Rows of every table and report, as counted when they were written.
+
+        Tables in ``more`` are counted by reading them; so are all others of a warehouse
+        that was not written.
+        """
+        w = self.warehouse
+        for name in REPORTS:
+            self.report(name)
+        rows = {name: self._rows[name] for name in REPORTS}
+        read = {**(more or {})}
+        if w.counts:
+            rows |= {name: counts["rows"] for name, counts in w.counts.items()}
+        else:
+            read |= tables(w)
+        known = w.fact.sparkSession.createDataFrame(list(rows.items()), "object string, rows long")
+        return known.unionByName(sinks.manifest(read)) if read else known
+
     def rule_findings(self) -> DataFrame:
         return self._once("rule_findings", self.rules)
 
@@ -155,5 +186,6 @@ class ReportStore:
 
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
-            self._written[name] = written(build(), f"{self.path}/{name}")
+            self._written[name], counts = sinks.counted(build(), f"{self.path}/{name}")
+            self._rows[name] = counts["rows"]
         return self._written[name]

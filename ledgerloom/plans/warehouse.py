@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import prepare
+from ledgerloom.operators import prepare, quality
+from ledgerloom.sources.sinks import counted
 from ledgerloom.spec import PanelSpec
 
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Working tables. Use the properties below for the published columns."""
+    """Working tables. Use the properties below for the published columns.
+
+    ``counts``: what was counted as each table was written, by table; None if lazy.
+    """
 
     spec: PanelSpec
     panel: DataFrame
@@ -23,6 +28,7 @@ class Warehouse:
     event: DataFrame
     periods: DataFrame
     macro: DataFrame
+    counts: Mapping[str, Mapping[str, int]] | None = None
 
     @property
     def dim_loan(self) -> DataFrame:
@@ -54,18 +60,24 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     Written tables cut the lineage: a lost executor repeats a task of one step,
     not the chain. The plan is the same for every panel.
     """
-    macro = written(prepare.macro_rows(panel), f"{path}/dim_period_macro")
-    dim = written(
-        prepare.dim_rows(prepare.entity_attributes(panel), spec), f"{path}/dim_loan"
+    counts: dict[str, dict[str, int]] = {}
+
+    def write(name: str, rows: DataFrame, measures=None) -> DataFrame:
+        table, counts[name] = counted(rows, f"{path}/{name}", measures)
+        return table
+
+    macro = write("dim_period_macro", prepare.macro_rows(panel))
+    dim = write(
+        "dim_loan", prepare.dim_rows(prepare.entity_attributes(panel), spec), quality.dim_measures()
     )
     linked = prepare.linked_rows(prepare.dedupe(panel))
     # Sorted by period within each file, without a shuffle, so that a filter on the
     # period skips most of a file.
     fact_rows = prepare.fact_rows(linked, dim, macro, spec).sortWithinPartitions("period")
-    fact = written(fact_rows, f"{path}/fact_loan_quarter")
-    event = written(prepare.event_rows(fact), f"{path}/fact_credit_event")
-    periods = written(prepare.period_rows(fact, spec), f"{path}/dim_date")
-    return Warehouse(spec, panel, dim, fact, event, periods, macro)
+    fact = write("fact_loan_quarter", fact_rows, quality.fact_measures(spec))
+    event = write("fact_credit_event", prepare.event_rows(fact))
+    periods = write("dim_date", prepare.period_rows(fact, spec))
+    return Warehouse(spec, panel, dim, fact, event, periods, macro, counts)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -24,6 +24,7 @@ DERIVED_SPEC = PanelSpec(
     # Balances of the derived panel have three places, loan-to-value has five.
     money_scale=4,
     measure_scale=6,
+    long_gap=6,
 )
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.quality import REGISTER_SCHEMA
+from ledgerloom.sources.versions import Versions
 
 REGISTER_KEYS = ("phase", "run_timestamp")
 
@@ -35,23 +36,37 @@ def counted(
 
 
 def append_register(rows: DataFrame, path: str) -> None:
-    """Add the findings of a run, a partition per phase and run stamp.
+    """Add the findings of a run to the register at ``path``, as one commit.
 
-    Other runs are never rewritten. The same run written again, for instance by a
-    retry, replaces its own partition, so it does not count twice. A run has one row
+    Nothing that is there is rewritten, and readers see a run's findings all or not at
+    all. The same run written again, for instance by a retry, is one more commit, and
+    readers take the newest of each run, so it does not count twice. A run has one row
     per rule, so one file is enough.
     """
-    (
-        rows.coalesce(1)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*REGISTER_KEYS)
-        .parquet(path)
-    )
+    log = Versions(rows.sparkSession, path)
+    folder = log.begin().folder
+    rows.select(*REGISTER_SCHEMA.names).coalesce(1).write.parquet(folder)
+    log.append(folder)
 
 
 def read_register(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REGISTER_SCHEMA).parquet(path).select(*REGISTER_SCHEMA.names)
+    """All committed findings, each run as it was written last."""
+    folders = Versions(spark, path).folders()
+    if not folders:
+        return spark.createDataFrame([], REGISTER_SCHEMA)
+    # One row for each run, and a few for each of its rules.
+    numbers = spark.createDataFrame(
+        [(folder.rsplit("/", 1)[1], number) for number, folder in folders.items()], "build string, number long"
+    )
+    build = F.regexp_extract("_metadata.file_path", "([0-9a-f]{32})/[^/]*$", 1)
+    rows = spark.read.schema(REGISTER_SCHEMA).parquet(*folders.values()).withColumn("build", build)
+    newest = F.max("number").over(Window.partitionBy(*REGISTER_KEYS))
+    return (
+        rows.join(numbers, "build")
+        .withColumn("newest", newest)
+        .where("number = newest")
+        .select(*REGISTER_SCHEMA.names)
+    )
 
 
 def export_csv(

@@ -77,6 +77,14 @@ class Versions:
             raise
         return number
 
+    def append(self, folder: str) -> int:
+        """Commit a folder that does not depend on earlier ones, after whatever is newest."""
+        while True:
+            try:
+                return self.commit(Build(folder, self.latest()))
+            except CommitConflict:
+                continue
+
     def numbers(self) -> list[int]:
         """Numbers of all commits, oldest first."""
         folder = self._path(f"{self.root}/{_COMMITS}")
@@ -100,6 +108,10 @@ class Versions:
             file.close()
         return f"{self.root}/{_BUILDS}/{name}"
 
+    def folders(self) -> dict[int, str]:
+        """The folder of every commit, oldest first."""
+        return {number: self.folder(number) for number in self.numbers()}
+
     def expire(self, keep: int) -> list[str]:
         """Delete what no reader of the last ``keep`` commits needs: older builds and their commits.
 

@@ -109,6 +109,7 @@ INGEST_SEVERITY = {
     "inconsistent_origination_attributes": "MEDIUM",
     "panel_period_gap": "MEDIUM",
     "rejected_source_row": "HIGH",
+    "implausible_panel_gap": "MEDIUM",
 }
 SEVERITY_WEIGHT = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 
@@ -135,6 +136,8 @@ class PanelSpec:
     mover_min_active: int = 50
     balance_rise_tolerance: float = 1.0
     reconciliation_tolerance: float = 0.01
+    # More missing periods than this in one gap are filled, and reported as a finding.
+    long_gap: int = 40
     # Rows keep the source's doubles. Only sums are decimal, so that totals do not
     # depend on row order; a value too large for the type is an error.
     money_scale: int = 8

@@ -21,7 +21,8 @@ from ledgerloom.spec import PANEL_SCHEMA, PanelSpec  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[4]")
+        # A task may fail once, as on a cluster.
+        SparkSession.builder.master("local[4, 2]")
         .appName("ledgerloom-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")

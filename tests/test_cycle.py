@@ -32,7 +32,7 @@ def test_two_cycles_from_csv(spark, make_panel, tmp_path):
     store = run_cycle(panel, PanelSpec(), out, first + datetime.timedelta(days=90), period=2)
 
     register = sinks.read_register(spark, f"{out}/dq_results")
-    assert register.count() == 2 * 13
+    assert register.count() == 2 * 14
     assert quality.latest_run(register, "4-quality").count() == 10
     runs = sorted(os.listdir(out))
     assert runs == ["dq_results", "run=20240131T060000", "run=20240430T060000"]
@@ -61,7 +61,7 @@ def test_two_cycles_from_csv(spark, make_panel, tmp_path):
     periods = [int(line.split(",")[0]) for line in lines("vw_portfolio_summary")]
     assert periods == [1, 2, 3, 4]
     counts = dict(line.strip().split(",") for line in lines("manifest"))
-    assert counts["fact_loan_quarter"] == "19" and counts["dq_results"] == "13"
+    assert counts["fact_loan_quarter"] == "19" and counts["dq_results"] == "14"
 
     reporting.create_views(store)
     query = "SELECT defaults FROM vw_portfolio_summary WHERE period = :period"
@@ -74,7 +74,7 @@ def test_a_repeated_run_counts_once(spark, make_panel, tmp_path):
     for _ in range(2):
         run_cycle(panel, PanelSpec(), str(tmp_path), run_at)
     register = sinks.read_register(spark, f"{tmp_path}/dq_results")
-    assert register.count() == 13
+    assert register.count() == 14
     assert quality.quality_score(quality.latest_rules(register)).first()["rules"] == 10
     assert register.agg({"run_timestamp": "min"}).first()[0] == run_at
 

@@ -152,8 +152,8 @@ def test_rejected_rows_enter_the_register(spark, tmp_path):
     assert row["detail"] == (
         "Source rows left out: 1 malformed record, 2 not a number, 1 not a whole number, 0 out of range"
     )
-    assert quality.latest_run(register, "1-ingest").count() == 4
-    assert sinks.read_register(spark, f"{tmp_path}/out/dq_results").count() == 14
+    assert quality.latest_run(register, "1-ingest").count() == 5
+    assert sinks.read_register(spark, f"{tmp_path}/out/dq_results").count() == 15
     exported = f"{tmp_path}/out/run=20240131T000000/export/rejected_source_rows"
     back = spark.read.option("header", True).csv(exported)
     assert back.count() == 4

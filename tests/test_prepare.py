@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import random
+import struct
+from dataclasses import replace
 
 import pytest
 from panel_rows import rows_of
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ordered
-from ledgerloom.operators import prepare
+from ledgerloom.operators import prepare, quality
 from ledgerloom.plans.reporting import REPORTS
 from ledgerloom.plans.warehouse import lazy_warehouse
 from ledgerloom.sources.panel import conform, schema_profile, verify_columns
@@ -267,22 +269,101 @@ def test_a_sum_that_does_not_fit_is_an_error(make_warehouse):
         REPORTS["vw_portfolio_summary"](w).collect()
 
 
+EDGES = [
+    float("-inf"), -1.7976931348623157e308, -1e300, -1e15, -2.0, -1.0, -0.1, -1e-300, -2.3e-308, -5e-324,
+    0.0, 5e-324, 1e-323, 2.2250738585072009e-308, 2.2250738585072014e-308, 1e-300, 0.1, 0.5, 0.9999999999999999, 1.0,
+    1.0000000000000002, 1.9999999999999998, 2.0, 3.0, 8.0, 7.999999999999999, 12.345, 1e15, 1e22, 8.98846567431158e307,
+    1e300, 1.7976931348623157e308, float("inf"),
+]
+
+
+def test_ranks_of_doubles_count_their_bits(spark):
+    """The rank is the double's 64 bits as a signed magnitude."""
+    rng = random.Random(3)
+    some = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(4000)]
+    values = [v for v in [*EDGES, *some] if v == v]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v double")
+    ranks = {r["i"]: r["k"] for r in df.select("i", ordered.double_rank(F.col("v")).alias("k")).collect()}
+    for i, v in enumerate(values):
+        bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        assert ranks[i] == (-bits if v < 0 else bits), v
+    odd = spark.createDataFrame([(float("nan"),), (None,), (-0.0,)], "v double")
+    assert [r[0] for r in odd.select(ordered.double_rank(F.col("v"))).collect()] == [
+        (2047 << 52) + 2,
+        (2047 << 52) + 4,
+        0,
+    ]
+
+
 def test_packed_orders_sort_like_tuples(spark):
-    times = [None, -(2**62), -3, 0, 7, 500_000, 2**62]
-    balances = [-2.5e14, -0.004, 0.0, 1e-9, 12.345, 12.3451, 9e14, float("nan"), None]
+    """Any long, and any double, NaN and infinities included."""
+    times = [None, -(2**63), -(2**62), -(10**10), -3, 0, 7, 10**10, 2**62, 2**63 - 1]
+    balances = [*sorted(EDGES[::2]), float("nan"), None]
     rows = [(t, b) for t in times for b in balances]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, t long, b double")
     packed = ordered.packed_report(F.col("t"), F.col("b"))
-    got = [r["i"] for r in df.select("i", packed.alias("p")).orderBy("p", "i").collect()]
-    # A NULL period and one below ten digits share the lowest place.
-    assert got[: 2 * len(balances)] == [i + j for i in range(len(balances)) for j in (0, len(balances))]
-    assert got[2 * len(balances) :] == list(range(2 * len(balances), len(rows)))
-
-
-@pytest.mark.parametrize("value", [0, -1, 3, 2**63 - 1, -(2**63)])
-def test_packed_values_come_back(spark, value):
-    df = spark.createDataFrame([(t, value) for t in (None, -5, 0, 9)], "t long, v long")
-    packed = ordered.packed_value(F.col("t"), F.col("v"))
-    out = df.select(ordered.unpacked_value(packed).alias("v"), packed.alias("p"))
-    assert {r["v"] for r in out.collect()} == {value}
-    assert [r["p"] for r in out.collect()] == sorted(r["p"] for r in out.collect())
+    got = df.select("i", packed.alias("p")).orderBy("p", "i").collect()
+    assert [r["i"] for r in got] == list(range(len(rows)))
+    assert len({r["p"] for r in got}) == len(rows)
+
+
+def test_earliest_value_of_extreme_reports(make_panel):
+    """Beyond ten digits of a period and 10**15 of a balance the order still counts."""
+    w = prepare.entity_attributes(
+        make_panel(
+            {"id": 1, "time": 2**63 - 1, "balance_time": 1.0, "FICO_orig_time": 1},
+            {"id": 1, "time": 2**63 - 2, "balance_time": 1.0, "FICO_orig_time": 2},
+            {"id": 2, "time": 5, "balance_time": 1e300, "FICO_orig_time": 1},
+            {"id": 2, "time": 5, "balance_time": 1e299, "FICO_orig_time": 2},
+            {"id": 3, "time": 5, "balance_time": float("nan"), "FICO_orig_time": 1},
+            {"id": 3, "time": 5, "balance_time": float("inf"), "FICO_orig_time": 2},
+            {"id": 4, "time": 5, "balance_time": -1e16, "FICO_orig_time": 1},
+            {"id": 4, "time": 5, "balance_time": -2e16, "FICO_orig_time": 2},
+        )
+    )
+    assert [r["FICO_orig_time"] for r in rows_of(w, "id")] == [2, 2, 2, 2]
+
+
+@pytest.mark.parametrize("gap", [prepare.STRETCH - 1, prepare.STRETCH, 2 * prepare.STRETCH + 1])
+def test_gaps_around_a_stretch(make_warehouse, gap):
+    w = make_warehouse({"time": 3, "balance_time": 1.0}, {"time": 4 + gap, "balance_time": 2.0})
+    found = rows_of(w.fact.select("period", "is_forward_filled", "gap_periods", "current_balance"), "period")
+    assert [r["period"] for r in found] == list(range(3, 5 + gap))
+    assert [r["is_forward_filled"] for r in found] == [False, *[True] * gap, False]
+    assert [r["gap_periods"] for r in found] == [gap, *[None] * gap, 0]
+    assert [r["current_balance"] for r in found] == [*[1.0] * (gap + 1), 2.0]
+
+
+def test_a_gap_of_five_million_periods(make_panel):
+    """No array holds more than a stretch and the starts of stretches."""
+    n = 5_000_000
+    linked = prepare.linked_rows(prepare.dedupe(make_panel({"time": 1}, {"time": n + 2}, {"id": 2, "time": 1})))
+    filled = prepare.gap_filled(linked)
+    assert filled.agg(F.count("*"), F.sum("period"), F.count_if("is_forward_filled")).first()[:] == (
+        n + 3,
+        (n + 2) * (n + 3) // 2 + 1,
+        n,
+    )
+
+
+def test_a_gap_before_the_last_possible_period(make_panel):
+    last = 2**63 - 1
+    linked = prepare.linked_rows(prepare.dedupe(make_panel({"time": last - 5000}, {"time": last})))
+    assert prepare.gap_filled(linked).agg(F.count("*"), F.max("period")).first()[:] == (5001, last)
+
+
+def test_long_gaps_are_a_finding_and_stay_filled(make_warehouse):
+    spec = replace(PanelSpec(), long_gap=3)
+    w = make_warehouse(
+        {"id": 1, "time": 1}, {"id": 1, "time": 5}, {"id": 1, "time": 10}, {"id": 2, "time": 1}, {"id": 2, "time": 99},
+        spec=spec,
+    )
+    finding = quality.long_gap_finding(w.fact, spec).first().asDict()
+    assert finding == {
+        "rule_name": "implausible_panel_gap",
+        "severity": "MEDIUM",
+        "status": "FAIL",
+        "affected_rows": 2,
+        "detail": "Gaps of more than 3 periods; filled like any other",
+    }
+    assert w.fact.where("loan_id = 2").count() == 99

@@ -100,3 +100,18 @@ def test_headline_of_a_chosen_period(small):
 def test_focus_vintage_labels():
     assert insights.focus_vintages(PanelSpec()) == ["2003Q3", "2006Q4"]
     assert insights.focus_vintages(PanelSpec(calendar_anchor=None)) == ["P14", "P27"]
+
+
+def test_ends_of_extreme_periods_and_values(make_panel):
+    """Any long keeps its order as a period and its value as a status; a missing period is first."""
+    panel = make_panel(
+        {"id": 1, "time": 2**63 - 1, "orig_time": 5, "status_time": 2**62},
+        {"id": 1, "time": 2**63 - 2, "orig_time": -(2**63), "status_time": 1},
+        {"id": 2, "time": -(2**63), "orig_time": 7, "status_time": 1},
+        {"id": 2, "time": None, "orig_time": 8, "status_time": 2},
+        {"id": 3, "time": 4, "orig_time": 9, "status_time": 1},
+        {"id": 3, "time": 4, "orig_time": 3, "status_time": 2},
+        {"id": 3, "time": 5, "orig_time": None, "status_time": None},
+    )
+    ends = rows_of(profiling._entity_ends(panel), "id")
+    assert [(r["orig_time"], r["final_status"]) for r in ends] == [(-(2**63), 2**62), (8, 1), (3, 2)]
