@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT_CHARS = 40
+# Elements of one fold that builds an array, and code points of one block of a text: a
+# fold copies its array at every step, and positions in a text are counted from its start.
+FOLD, BLOCK = 512, 256
 
 
 @dataclass(frozen=True)
@@ -167,41 +170,77 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.required)
 
 
-def _spans(kind: Kind, pieces: Column, matches: Column, before: Column, inside: Column) -> Column:
+def _blocks(array: Column) -> Column:
+    """The array as an array of arrays of ``FOLD`` elements."""
+    last = F.expr("int(-1)") + F.ceil(F.size(array) / FOLD).cast("int")
+    numbers = F.when(F.size(array) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda b: F.slice(array, b * FOLD + 1, FOLD))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(steps: Column) -> Column:
+    """What lies before each element: the sums of the steps before it, in linear time."""
+    empty = F.array().cast("array<int>")
+
+    def summed(values: Column, start: Column) -> Column:
+        return F.aggregate(
+            values,
+            F.struct(start.alias("at"), empty.alias("out")),
+            lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def by_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + x))
+        starts = summed(totals, F.lit(0))
+        return F.flatten(F.zip_with(starts, blocks, lambda start, block: summed(block, start)))
+
+    return _bound(steps, lambda s: _bound(_blocks(s), by_blocks))
+
+
+def _spans(kind: Kind, pieces: Column, matches: Column) -> Column:
     """Valid spans of one kind from the pieces between matches and the matches.
 
-    ``before`` and ``inside`` are the lengths of pieces and of what the pattern took
-    between them, so the sum up to a match is its position. Positions are code points from 0, ends exclusive.
+    Positions are code points from 0, ends exclusive.
     """
+    took = (lambda m: F.lit(kind.head)) if kind.head else F.length
+    steps = F.zip_with(
+        F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + took(m)
+    )
 
-    def total(lengths: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda x, y: x + y)
-
-    def span(match: Column, i: Column) -> Column:
-        left, right = F.get(pieces, i), F.get(pieces, i + 1)
-        if kind.head:
-            right = F.substr(right, F.length(match) - kind.head + 1)
-        valid = kind.accept(match, left, right)
-        # Sums only for valid matches: a text can propose very many others.
-        start = F.when(valid, total(before, i + 1) + total(inside, i)).otherwise(F.lit(0))
-        near = F.lower(
-            F.concat(
-                F.right(left, F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(right, F.lit(CONTEXT_CHARS))
+    def span(befores: Column) -> Callable[[Column, Column], Column]:
+        def at(match: Column, i: Column) -> Column:
+            left, right = F.get(pieces, i), F.get(pieces, i + 1)
+            start = F.get(befores, i) + F.length(left)
+            if kind.head:
+                right = F.substr(right, F.length(match) - kind.head + 1)
+            valid = kind.accept(match, left, right)
+            # Words with something before and after them, so that hotel is no tel.
+            near = F.lower(
+                F.concat(
+                    F.right(F.concat(F.lit(" "), left), F.lit(CONTEXT_CHARS + 1)),
+                    F.lit(" "),
+                    F.left(F.concat(right, F.lit(" ")), F.lit(CONTEXT_CHARS + 1)),
+                )
             )
-        )
-        score = F.lit(kind.prior + 0.4 * kind.checked) + F.when(
-            near.rlike(kind.context), 0.3
-        ).otherwise(0.0)
-        return F.struct(
-            F.lit(kind.name).alias("kind"),
-            start.alias("start"),
-            (start + F.length(match)).alias("end"),
-            match.alias("value"),
-            F.least(score, F.lit(1.0)).alias("score"),
-            valid.alias("valid"),
-        )
+            context = near.rlike(f"[^a-z](?:{kind.context})[^a-z]")
+            score = F.lit(kind.prior + 0.4 * kind.checked) + F.when(context, 0.3).otherwise(0.0)
+            return F.struct(
+                F.lit(kind.name).alias("kind"),
+                start.alias("start"),
+                (start + F.length(match)).alias("end"),
+                match.alias("value"),
+                F.least(score, F.lit(1.0)).alias("score"),
+                valid.alias("valid"),
+            )
+
+        return at
 
-    found = F.transform(matches, span)
+    found = _bound(_running(steps), lambda befores: F.transform(matches, span(befores)))
     return F.filter(
         found,
         lambda s: s["valid"] & (F.lit(kind.required) | (s["score"] >= THRESHOLD)),
@@ -216,29 +255,30 @@ def find(documents: DataFrame) -> DataFrame:
     kept, except that a column ``pii_spans`` is replaced. Spans of different kinds may
     overlap, and account numbers that start in one another.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.col("text")
     empty = F.array().cast("array<string>")
-    found, lengths, spans = {}, {}, {}
+    found, pieces, spans = {}, {}, {}
     for kind in KINDS:
         k = f"__{kind.name}"
         pattern = F.lit(kind.pattern)
         possible = text.rlike(kind.gate)
         matches = F.regexp_extract_all(text, pattern, F.lit(1 if kind.head else 0))
         found[f"{k}_m"] = F.when(possible, matches).otherwise(empty)
-        lengths[f"{k}_s"] = F.when(
-            F.size(f"{k}_m") > 0, F.split(text, kind.pattern, -1)
+        pieces[f"{k}_s"] = F.when(
+            F.size(f"{k}_m") > 0, F.split("text", kind.pattern, -1)
         ).otherwise(empty)
-        took = F.lit(kind.head) if kind.head else None
-        spans[kind.name] = _spans(
-            kind,
-            F.col(f"{k}_s"),
-            F.col(f"{k}_m"),
-            F.transform(F.col(f"{k}_s"), F.length),
-            F.transform(F.col(f"{k}_m"), lambda m: F.length(m) if took is None else took),
-        )
+        spans[kind.name] = _spans(kind, F.col(f"{k}_s"), F.col(f"{k}_m"))
+    # A row is one value, so no column of its own can be mistaken for one of these.
     kept = [c for c in documents.columns if c != "pii_spans"]
-    out = documents.withColumns(found).withColumns(lengths)
-    return out.select(*kept, F.concat(*spans.values()).alias("pii_spans"))
+    rows = documents.select(F.struct(*map(_quoted, kept)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    out = rows.withColumns(found).withColumns(pieces)
+    return out.select(
+        *[F.col("row").getField(c).alias(c) for c in kept], F.concat(*spans.values()).alias("pii_spans")
+    )
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def spans(documents: DataFrame) -> DataFrame:
@@ -255,32 +295,60 @@ def redact(documents: DataFrame) -> DataFrame:
     text stays null.
     """
     ordered = F.array_sort(
-        F.transform("pii_spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))
+        F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))
     )
-    text = F.col("text")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.array().cast("array<struct<from: int, to: int, kind: string>>")
 
-    def replace(a: Column, s: Column) -> Column:
-        between = F.substr(text, a["at"] + 1, s["start"] - a["at"])
-        fresh = F.concat(a["out"], between, F.lit("<"), s["kind"], F.lit(">"))
+    def step(a: Column, s: Column) -> Column:
+        part = F.struct(a["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
         overlaps = s["start"] < a["at"]
         return F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(overlaps, a["out"]).otherwise(fresh).alias("out"),
+            F.when(overlaps, a["out"]).otherwise(F.concat(a["out"], F.array(part))).alias("out"),
         )
 
-    done = F.aggregate(
-        ordered, state, replace, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1))
-    )
-    out = find(documents).withColumn(
-        "__redacted", F.when(F.size("pii_spans") > 0, done).otherwise(text)
+    def merged(a: Column, block: Column) -> Column:
+        within = F.aggregate(block, F.struct(a["at"].alias("at"), none.alias("out")), step)
+        return F.struct(
+            within["at"].alias("at"), F.concat(a["out"], F.array(within["out"])).alias("out")
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<from: int, to: int, kind: string>>>").alias("out"))
+    parts = F.aggregate(_blocks(F.col("ordered")), start, merged)
+
+    def replaced(blocks: Column) -> Callable[[Column], Column]:
+        def of(plan: Column) -> Column:
+            texts = F.transform(
+                F.flatten(plan["out"]),
+                lambda p: F.concat(_cut(blocks, p["from"], p["to"]), F.lit("<"), p["kind"], F.lit(">")),
+            )
+            tail = _cut(blocks, plan["at"], F.size(blocks) * BLOCK)
+            return F.concat(F.array_join(texts, ""), tail)
+
+        return of
+
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    done = _bound(blocks, lambda b: _bound(parts, replaced(b)))
+    found = find(documents.select(F.struct("*").alias("row"), "text"))
+    out = (
+        found.select("row", "text", F.col("pii_spans").alias("spans"))
+        .withColumn("ordered", ordered)
+        .withColumn("redacted", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
     )
-    changed = {"text": F.col("__redacted")}
+    changed = {"text": F.col("redacted")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(
-            F.size("pii_spans") > 0, F.length("__redacted").cast("long")
-        ).otherwise(F.col("n_chars"))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns])
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("redacted").cast("long")).otherwise(
+            F.col("row.n_chars")
+        )
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of a text that is cut into blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    count = F.greatest(F.ceil(end / BLOCK).cast("int") - first, F.lit(0))
+    near = F.array_join(F.slice(blocks, first + 1, count), "")
+    return F.substr(near, start - first * BLOCK + 1, end - start)
 
 
 def listed(array: Column) -> Column:
@@ -308,4 +376,5 @@ def digest(documents: DataFrame) -> DataFrame:
         *[count(k.name).alias(f"n_{k.name}") for k in KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("pii_spans")).alias("spans"),
+        F.array_join(F.transform("pii_spans", lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores"),
     )

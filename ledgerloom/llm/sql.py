@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.llm import sql_trees
 from ledgerloom.llm.mixing import BLOCK, LIMIT, SEED, SHARE, WEIGHTS
-from ledgerloom.llm.pii import CONTEXT_CHARS, THRESHOLD
+from ledgerloom.llm.pii import _IBAN_LENGTHS, CONTEXT_CHARS, THRESHOLD
 from ledgerloom.llm.substrings import LENGTH
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,23 @@ _MOD_97 = """list_reduce(list_transform(
     lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END),
     lambda a, b: (a * CASE WHEN b < 10 THEN 10 ELSE 100 END + b) % 97, 0) = 1"""
 
+# A country and two digits after something else; the longest form that its country's
+# length allows and that nothing follows is then read from there.
+_HEAD = "[^A-Za-z0-9][A-Z]{2}[0-9]{2}"
+
+
+def _number() -> str:
+    """The account number at a head: the first form that ends before something else."""
+    forms = []
+    for length, countries in _IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(f"({countries.replace(' ', '|')})[0-9]{{2}}( ?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    forms.append("[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?")
+    found = ", ".join(f"nullif(regexp_extract(ahead, '\\A({f})[^A-Za-z0-9]', 1), '')" for f in forms)
+    return f"coalesce({found}, '')"
+
+
 # name, pattern, condition, prior score with checksum, context words, base kind
 _KINDS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 0.7,
@@ -30,9 +47,7 @@ _KINDS = (
      "card|visa|credit|payment|account", True),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15", 0.6,
      "phone|call|tel|mobile|fax", True),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-     rf"NOT regexp_matches(left_text, '[A-Za-z0-9]\z') AND NOT regexp_matches(right_text, '\A[A-Za-z0-9]') AND {_MOD_97}",
-     0.8, "iban|bank|account|transfer", False),
+    ("iban", _HEAD, f"value <> '' AND {_MOD_97}", 0.8, "iban|bank|account|transfer", False),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
      r"NOT regexp_matches(left_text, '[0-9-]\z') AND NOT regexp_matches(right_text, '\A[0-9-]') "
      "AND left(value, 3) NOT IN ('000', '666') AND left(value, 3) < '900' "
@@ -45,21 +60,33 @@ def _pii() -> str:
     parts = []
     for number, (name, pattern, valid, prior, context, base) in enumerate(_KINDS):
         near = (
-            f"regexp_matches(lower(right(left_text, {CONTEXT_CHARS}) || ' ' || "
-            f"left(right_text, {CONTEXT_CHARS})), '{context}')"
+            f"regexp_matches(lower(right(' ' || left_text, {CONTEXT_CHARS + 1}) || ' ' || "
+            f"left(right_text || ' ', {CONTEXT_CHARS + 1})), '[^a-z]({context})[^a-z]')"
+        )
+        score = f"least({prior} + CASE WHEN {near} THEN 0.3 ELSE 0 END, 1.0)"
+        # A head is found with what precedes it, in a text with one character more in front.
+        headed = pattern == _HEAD
+        text = "' ' || t" if headed else "t"
+        value, after, left = (
+            (_number(), "substr(right_text, length(value) - 3)", "left_text || left(head, 1)")
+            if headed
+            else ("head", "right_text", "left_text")
         )
-        score = f"{prior} + CASE WHEN {near} THEN 0.3 ELSE 0 END >= {THRESHOLD}"
         parts.append(
-            f"""SELECT row, {number} AS kind_no, '{name}' AS kind, start, start + length(value) AS stop
-            FROM (SELECT row, value, left_text, right_text, regexp_replace(value, '[^0-9]', '', 'g') AS digits,
-                before + coalesce(sum(length(value)) OVER (PARTITION BY row ORDER BY i
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-              FROM (SELECT row, i, m[i] AS value, s[i] AS left_text, s[i + 1] AS right_text,
-                      sum(length(s[i])) OVER (PARTITION BY row ORDER BY i) AS before
-                    FROM (SELECT row, unnest(generate_series(1, len(m))) AS i, m, s
-                          FROM (SELECT row, regexp_extract_all(t, '{pattern}') AS m,
-                                       string_split_regex(t, '{pattern}') AS s FROM docs))))
-            WHERE ({valid}) AND ({'true' if base else score})"""
+            f"""SELECT row, {number} AS kind_no, '{name}' AS kind, start, start + length(value) AS stop, {score} AS score
+            FROM (SELECT row, start, value, {left} AS left_text, {after} AS right_text,
+                         regexp_replace(value, '[^0-9]', '', 'g') AS digits
+              FROM (SELECT *, {value} AS value
+                FROM (SELECT *, substr(t, start::BIGINT + 1, 64) || ' ' AS ahead
+                  FROM (SELECT row, t, head, left_text, right_text,
+                      before + coalesce(sum(length(head)) OVER (PARTITION BY row ORDER BY i
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+                    FROM (SELECT row, t, i, m[i] AS head, s[i] AS left_text, s[i + 1] AS right_text,
+                              sum(length(s[i])) OVER (PARTITION BY row ORDER BY i) AS before
+                          FROM (SELECT row, t, unnest(generate_series(1, len(m))) AS i, m, s
+                                FROM (SELECT row, t, regexp_extract_all({text}, '{pattern}') AS m,
+                                             string_split_regex({text}, '{pattern}') AS s FROM docs)))))))
+            WHERE ({valid}) AND ({'true' if base else f"{score} >= {THRESHOLD}"})"""
         )
     base = [k[0] for k in _KINDS if k[5]]
     counts = ", ".join(
@@ -72,7 +99,9 @@ def _pii() -> str:
     spans AS ({' UNION ALL '.join(parts)})
     SELECT doc_id, {counts},
         sha256(coalesce({listed} FILTER (kind IN ({', '.join(f"'{b}'" for b in base)})), '')) AS base_sha256,
-        coalesce({listed} FILTER (kind IS NOT NULL), '') AS spans
+        coalesce({listed} FILTER (kind IS NOT NULL), '') AS spans,
+        coalesce(string_agg(printf('%.1f', score::DOUBLE), ',' ORDER BY kind_no, start)
+                 FILTER (kind IS NOT NULL), '') AS scores
     FROM docs LEFT JOIN spans USING (row) GROUP BY row, doc_id"""
 
 

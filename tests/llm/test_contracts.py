@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -463,20 +464,54 @@ def test_language_without_labels(documents):
     assert {r["lang_pred"] for r in out.collect()} == {"und"}
 
 
-def test_sql_agrees_on_awkward_rows(documents):
-    import pandas as pd
-
-    frame = pd.DataFrame(rows(), columns=documents.columns)
-    con = duckdb.connect()
-    con.register("frame", frame)
-    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text, lang, source FROM frame")
-    for name, operator in (("op1_pii", pii.digest), ("op2_substring_dedup", substrings.digest)):
-        found = operator(documents)
-        theirs = con.execute(sql.statements()[name]).df()[found.columns]
-        expected = Counter(
-            tuple(None if pd.isna(v) else v for v in r) for r in theirs.itertuples(index=False)
-        )
-        assert table(found) == expected, name
+def test_sql_agrees_on_awkward_rows(spark, documents):
+    numbers = [(500 + i, t, "en", "a", None) for i, t in enumerate(ACCOUNT_TEXTS + CONTEXT_TEXTS)]
+    more = documents.unionByName(spark.createDataFrame(numbers, documents.schema))
+    with duckdb.connect() as con:
+        con.register("documents", more.toArrow())
+        for name, operator in (
+            ("op1_pii", pii.digest),
+            ("op2_substring_dedup", substrings.digest),
+            ("op4_mixing", mixing.digest),
+        ):
+            found = operator(more)
+            theirs = con.sql(sql.statements()[name]).select(", ".join(found.columns)).fetchall()
+            assert table(found) == Counter(theirs), name
+
+
+ACCOUNT_TEXTS = [
+    f"pay {n}{a}"
+    for n in ("ES91 2100 0418 4502 0005 1332", "BE68539007547034", "AT61 1904 3002 3457 3201")
+    for a in ("", " BIC CAIXESBB", " 2024", " 2024 AND MORE CAPS", ".", " lower", " DE00 1234 5678")
+] + ["BE68 DE89 3704 0044 0532 0130 00", "XX12 ABCD ES91 2100 0418 4502 0005 1332 BIC"]
+CONTEXT_TEXTS = [
+    f"{w} 123-45-6789" for w in ("social", "antisocial", "my ssn is", "the SSN:", "ghosts", "socially", "(insurance)")
+] + ["123-45-6789 security", "123-45-6789 insecurity", "x" * 60 + " ssn 123-45-6789", "123-45-6789, 123-45-6780 ssn"]
+
+
+def test_context_words_stand_alone(spark):
+    frame = spark.createDataFrame(list(enumerate(CONTEXT_TEXTS)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in pii.spans(frame).where("kind = 'ssn'").collect()}
+    assert [i in kept for i in range(9)] == [True, False, True, True, False, False, True, True, False]
+    assert {r["score"] for r in pii.spans(frame).where("kind = 'ssn'").collect()} == {0.7}
+
+
+def test_many_matches_in_one_text(spark):
+    """All kinds, in time that grows with the text and no faster."""
+    n = 100_000
+    parts = ["a{0}@b.org", "10.0.0.{1};", "4111 1111 1111 1111;", "+49 30 123456{1:02};", "DE89370400440532013000", "ssn 123-45-6789"]
+    text = " ".join(parts[i % 6].format(i, i % 90) for i in range(n))
+    frame = spark.createDataFrame([(1, text, 7), (2, None, 0)], "doc_id long, text string, n_chars long")
+    start = time.monotonic()
+    found = pii.digest(frame).orderBy("doc_id").collect()
+    spans = [f"{k}:{a}:{b}" for k, a, b in base_spans(text)]
+    assert found[0]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    assert found[0]["n_email"] == 16_667 and found[0]["n_iban"] == 16_666 and found[0]["n_ssn"] > 16_000
+    out = pii.redact(frame).orderBy("doc_id").collect()
+    assert time.monotonic() - start < 120
+    assert out[0]["text"].count("<email>") == 16_667 and out[0]["n_chars"] == len(out[0]["text"])
+    assert out[0]["text"].startswith("<email> <ip>; <card>; <phone>; <iban> ssn <ssn> <email>")
+    assert tuple(out[1]) == (2, None, 0)
 
 
 def test_stored_tables_lie_in_the_shared_folder(spark):
