@@ -11,7 +11,9 @@ tables are ranked by their exact score.
 Distances differ between dense groups and the rest, so there are tables for several r,
 read off the distance to the ``top``-th neighbour among all vectors of a bounded sample
 of them. A query is done when its ``top`` nearest lie within r; others go on to the next
-r, and those left at the end, or few enough for one chunk, are compared with all vectors.
+r. Those that no r has served are compared with all vectors, in chunks: a part of a
+stated set of queries, whatever their number, and exact. The number of projections of a
+table grows with the logarithm of the vectors, so that its cells do not fill up.
 
 Equal vectors are one class with its smallest ids, so copies cost nothing. A cell with
 more than ``chunk`` classes or queries is cut, so no task holds a cell.
@@ -19,6 +21,7 @@ more than ``chunk`` classes or queries is cut, so no task holds a cell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from math import sqrt
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import importable, mixed, stored
 
 TOP, QUERY_STEP = 20, 20
-TABLES, FUNCTIONS, WIDTH, REACH = 2, 4, 1.4, 2
+TABLES, WIDTH, REACH = 2, 1.4, 2
 SUCCESS, SAMPLE, CHUNK, SEED = 0.985, 2048, 4096, 7
 # One r serves distances up to SPREAD times the least, and a scale with less than FEW of
 # the sample goes with the next; a last r, LAST times the greatest distance, serves those
@@ -40,6 +43,11 @@ SUCCESS, SAMPLE, CHUNK, SEED = 0.985, 2048, 4096, 7
 SPREAD, FEW, LAST = 1.5, 0.1, 1.2
 
 
+def functions_for(n: int) -> int:
+    """Projections of a table over ``n`` vectors: 4 up to some 260,000, one more for each 16-fold."""
+    return min(8, max(4, round(math.log2(max(2, n)) / 4)))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the vectors that take part, each pair once.
 
@@ -95,7 +103,7 @@ class Index:
         norm: float,
         distance: float,
         tables: int = TABLES,
-        functions: int = FUNCTIONS,
+        functions: int = 4,
         width: float = WIDTH,
         reach: int = REACH,
         success: float = SUCCESS,
@@ -203,6 +211,7 @@ def fit(found: DataFrame, top: int = TOP, sample: int = SAMPLE, **options) -> li
     last = F.sort_array(F.flatten(F.collect_list("scores")), asc=False)[top]
     scores = [r["score"] for r in closest.groupBy("s").agg(last.alias("score")).collect()]
     distances = np.sqrt(np.maximum(2 * norm**2 - 2 * np.array(scores), 0.0))
+    options = {"functions": functions_for(facts["n"]), **options}
     return [
         Index(facts["dimension"], norm, distance, **options)
         for distance in radii(np.maximum(distances, 1e-6 * norm))
@@ -244,9 +253,8 @@ def _visits(index: Index):
                             pa.array(np.full(len(cells), t, np.int32)),
                             pa.array(cells),
                             part.column("rep").take(rows),
-                            part.column("embedding").take(rows),
                         ],
-                        names=["t", "cell", "query", "embedding"],
+                        names=["t", "cell", "query"],
                     )
 
     return run
@@ -305,7 +313,7 @@ def _probed(found: DataFrame, queries: DataFrame, index: Index, top: int, chunk:
         "members",
     )
     visits = stored(
-        queries.mapInArrow(_visits(index), "t int, cell long, query long, embedding array<double>"),
+        queries.mapInArrow(_visits(index), "t int, cell long, query long"),
         "visits",
     )
     # Cells with members, in how many chunks, and the chunks of their queries.
@@ -314,7 +322,10 @@ def _probed(found: DataFrame, queries: DataFrame, index: Index, top: int, chunk:
     load = visits.groupBy("t", "cell").agg(F.count("*").alias("n"))
     load = load.select("t", "cell", F.ceil(F.col("n") / chunk).cast("int").alias("asks"))
     cells = stored(size.join(load, ["t", "cell"]), "cells")
-    return _compared(visits.join(cells, ["t", "cell"]), members.join(cells, ["t", "cell"]), top)
+    # Vectors go with the visits that are left, to cells that have members.
+    asked = queries.select(F.col("rep").alias("query"), "embedding")
+    met = visits.join(cells, ["t", "cell"]).join(asked, "query")
+    return _compared(met, members.join(cells, ["t", "cell"]), top)
 
 
 def _scanned(found: DataFrame, queries: DataFrame, top: int, chunk: int) -> DataFrame:
@@ -376,9 +387,7 @@ def search(
         found.join(asked.select("rep").distinct(), "rep").select("rep", "embedding"), "queries"
     )
     left, results = queries, []
-    for n, index in enumerate(indexes):
-        if n and left.count() <= chunk:
-            break
+    for index in indexes:
         best = stored(_nearest(_probed(found, left, index, top, chunk), found, left, top), "best")
         # Nearest vectors within r, the query itself among them.
         length = F.sqrt(F.aggregate("asked", F.lit(0.0), lambda a, x: a + x * x))
@@ -388,7 +397,8 @@ def search(
         results.append(best.join(done, "query"))
         left = stored(left.join(done.withColumnRenamed("query", "rep"), "rep", "left_anti"), "left")
     results.append(_nearest(_scanned(found, left, top, chunk), found, left, top))
-    exact = reduce(DataFrame.unionByName, results).select("query", "score", "ids")
+    # Written, so that the rows of a vector that very many queries share can be split.
+    exact = stored(reduce(DataFrame.unionByName, results).select("query", "score", "ids"), "exact")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(exact.withColumnRenamed("query", "rep"), "rep")
