@@ -25,12 +25,14 @@ def components(links: DataFrame) -> DataFrame:
     mark = _checksum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Both sides of a join are written, so that a hub's rows can be split.
         least = both.groupBy("a").agg(F.min("b").alias("n")).select("a", F.least("a", "n").alias("m"))
+        least, both = stored(least, "least"), stored(both, "both")
         large = (
             both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ).distinct()
         large = stored(large, "large")
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        smallest = stored(large.groupBy("a").agg(F.min("b").alias("m")), "smallest")
         small = large.join(smallest, "a")
         edges = stored(
             small.where("b <> m")

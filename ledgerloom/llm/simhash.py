@@ -152,7 +152,8 @@ def groups(
     )
     rooted = stored(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root")
+    # Written, so that the rows of a common fingerprint can be split.
+    named = stored(rooted.select("fp", "root").join(stored(smallest, "smallest"), "root"), "named")
     return prints.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 

@@ -13,7 +13,6 @@ occurrences. Matched stretches are merged into maximal repeats in the end.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,10 +153,13 @@ def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     importable(documents.sparkSession)
     docs = documents.select("doc_id", "text", text_key().alias("th")).where("doc_id IS NOT NULL")
     runs = stored(docs.mapInArrow(_run_rows(length, seed), _RUN_SCHEMA), "runs")
+    # What is joined by a key is written first: of two written sides, adaptive execution
+    # splits the rows of a key that very many documents share.
     shared = runs.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    near = stored(runs.join(shared.where("lo < hi"), "m", "left_semi"), "near")
+    shared = stored(shared.where("lo < hi").select("m"), "shared")
+    near = stored(runs.join(shared, "m", "left_semi"), "near")
     # Equal runs: all but those of the first document go as a whole.
-    firsts = near.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+    firsts = stored(near.groupBy("s1", "s2").agg(F.min("doc_id").alias("first")), "firsts")
     compared = stored(near.join(firsts, ["s1", "s2"]), "compared")
     whole = compared.where("doc_id > first").select(
         "doc_id", "th", F.col("a").alias("start"), (F.col("b") + length).alias("end")
@@ -166,9 +168,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     mixed_up = near.groupBy("m").agg(
         F.min("s1").alias("x1"), F.max("s1").alias("y1"), F.min("s2").alias("x2"), F.max("s2").alias("y2")
     )
-    heads = compared.where("doc_id = first").join(
-        mixed_up.where("x1 < y1 OR x2 < y2"), "m", "left_semi"
-    )
+    mixed_up = stored(mixed_up.where("x1 < y1 OR x2 < y2").select("m"), "mixed")
+    heads = compared.where("doc_id = first").join(mixed_up, "m", "left_semi")
     by_document = heads.groupBy("doc_id", "th").agg(
         F.collect_list(F.struct("a", "b")).alias("runs")
     )
@@ -176,8 +177,9 @@ def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     texts = docs.join(by_document, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
     windows = stored(texts.mapInArrow(_window_rows(length), _WINDOW_SCHEMA), "windows")
     sources = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    sources = stored(sources.where("lo < hi").select("w1", "w2", "lo"), "sources")
     single = (
-        windows.join(sources.where("lo < hi"), ["w1", "w2"])
+        windows.join(sources, ["w1", "w2"])
         .where("doc_id > lo")
         .select("doc_id", "th", F.col("a").alias("start"), (F.col("a") + length).alias("end"))
     )
@@ -240,22 +242,3 @@ def digest(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Data
     return without_repeats(documents, length, seed).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
-
-
-def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:
-    """The same by definition; for tests."""
-    split = [(d, (t or "").encode().split()) for d, t in rows]
-    first: dict[tuple, int] = {}
-    for d, words in split:
-        for i in range(len(words) - length + 1) if d is not None else ():
-            key = tuple(words[i : i + length])
-            first[key] = min(d, first.get(key, d))
-    out = []
-    for d, words in split:
-        gone = set()
-        for i in range(len(words) - length + 1) if d is not None else ():
-            if first[tuple(words[i : i + length])] < d:
-                gone.update(range(i, i + length))
-        left = b" ".join(w for i, w in enumerate(words) if i not in gone)
-        out.append((d, len(words), len(gone), hashlib.sha256(left).hexdigest()))
-    return out
