@@ -26,8 +26,9 @@ from ledgerloom.llm.tokens import encoder, vocabulary_path
 
 CAPACITY, END, SALTS = 2048, 0, 128
 # Lengths up to capacity / SMALL_PART are small. The plan with the fewest sequences of
-# these numbers of groups is used: more groups round less but give more patterns.
-SMALL_PART, GROUPS = 8, (128, 512, 2048)
+# these numbers of groups is used; all are far below the number of large lengths (1792),
+# so sizes are few and most lengths are rounded.
+SMALL_PART, GROUPS = 8, (64, 128, 256)
 
 _PIECES = "doc_id long, th long, piece int, start long, length long, ids_crc32 long"
 

@@ -32,7 +32,7 @@ from ledgerloom.llm.tokens import encoder, vocabulary_path
 END, BLOCK_IDS = 2, 1 << 16
 
 _BLOCKS = (
-    "part int, block int, first long, n_ids long, doc_ids array<long>, "
+    "part int, block int, first long, n_ids long, least long, greatest long, doc_ids array<long>, "
     "doc_offsets array<int>, bits int, payload binary"
 )
 
@@ -67,7 +67,7 @@ def _blocks(path: str, end: int, block_ids: int):
         doc_ids, lengths, held, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate(held)
+            ids, named = np.concatenate(held), [d for d in doc_ids if d is not None]
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [
@@ -75,6 +75,8 @@ def _blocks(path: str, end: int, block_ids: int):
                     pa.array([block], pa.int32()),
                     pa.array([first], pa.int64()),
                     pa.array([len(ids)], pa.int64()),
+                    pa.array([min(named, default=None)], pa.int64()),
+                    pa.array([max(named, default=None)], pa.int64()),
                     pa.array([doc_ids], pa.list_(pa.int64())),
                     pa.array([offsets], pa.list_(pa.int32())),
                     pa.array([bits], pa.int32()),
@@ -169,8 +171,14 @@ def _read(blocks: DataFrame, column: str, of_ids, kind: pa.DataType) -> DataFram
 
 
 def lookup(blocks: DataFrame, doc_id: int) -> DataFrame:
-    """Ids of one document: reads the blocks that hold it and unpacks only its range."""
-    found = blocks.where(F.array_contains("doc_ids", doc_id))
+    """Ids of one document: reads the blocks that can hold it and unpacks only its range.
+
+    Blocks are in the order of ids and carry their least and greatest one, so files and
+    pages of other blocks are skipped by their statistics.
+    """
+    found = blocks.where(
+        (F.col("least") <= doc_id) & (F.col("greatest") >= doc_id) & F.array_contains("doc_ids", doc_id)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
