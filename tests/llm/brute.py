@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -121,3 +122,22 @@ def crc(values):
 
 def fold(doc_id, folds):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds
+
+
+def repeats(rows, length=50):
+    """doc_id, words, removed words and digest of what is left, per row."""
+    split = [(d, (t or "").encode().split()) for d, t in rows]
+    first = {}
+    for d, words in split:
+        for i in range(len(words) - length + 1) if d is not None else ():
+            key = tuple(words[i : i + length])
+            first[key] = min(d, first.get(key, d))
+    out = []
+    for d, words in split:
+        gone = set()
+        for i in range(len(words) - length + 1) if d is not None else ():
+            if first[tuple(words[i : i + length])] < d:
+                gone.update(range(i, i + length))
+        left = b" ".join(w for i, w in enumerate(words) if i not in gone)
+        out.append((d, len(words), len(gone), hashlib.sha256(left).hexdigest()))
+    return out
