@@ -76,6 +76,8 @@ def pieces(
                     ],
                     names=[c.split()[0] for c in _PIECES.split(", ")],
                 )
+            # The words stay for the worker's next task, all else goes back.
+            give_back(keep="tokens")
 
     docs = documents.select("doc_id", "text", text_key().alias("th"))
     return docs.mapInArrow(run, _PIECES)
