@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import as_bytes, importable, portions, stored, text_key
+from ledgerloom.llm.common import bytes_in_parts, give_back, importable, stored, text_key
 from ledgerloom.llm.tokens import encoder, vocabulary_path
 
 END, BLOCK_IDS = 2, 1 << 16
+# Words a worker remembers: more of them save time, some 300 bytes each.
+WORDS = 1_000_000
 
 _BLOCKS = (
     "part int, block int, first long, n_ids long, least long, greatest long, doc_ids array<long>, "
@@ -41,8 +43,15 @@ def bits_for(vocabulary_size: int) -> int:
     return max(1, int(vocabulary_size - 1).bit_length())
 
 
+def _whole(bits: int) -> str | None:
+    """The number type whose bytes the packed bits are, if there is one."""
+    return f"<u{bits // 8}" if bits in (8, 16, 32) else None
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids below 2**bits, lowest bit first."""
+    if whole := _whole(bits):
+        return ids.astype(whole).tobytes()
     octets = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     flags = np.unpackbits(octets, axis=1, bitorder="little", count=bits)
     return np.packbits(flags.ravel(), bitorder="little").tobytes()
@@ -51,6 +60,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     """``count`` ids from the ``start``-th on; only their bytes are looked at."""
     lo = start * bits
+    if whole := _whole(bits):
+        return np.frombuffer(payload, whole, count, lo // 8).astype("<u4")
     octets = np.frombuffer(payload, np.uint8)[lo // 8 : (lo + count * bits + 7) // 8]
     flags = np.unpackbits(octets, bitorder="little")[lo % 8 : lo % 8 + count * bits]
     values = np.zeros((count, 4), np.uint8)
@@ -61,7 +72,7 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 def _blocks(path: str, end: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(path)
+        tokenizer = encoder(path, WORDS)
         bits = bits_for(max(tokenizer.size, end + 1))
         part, block, first = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held, size = [], [], [], 0
@@ -86,10 +97,10 @@ def _blocks(path: str, end: int, block_ids: int):
             )
 
         for batch in batches:
-            texts, names = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for lo, hi in portions(texts):
-                ids, bounds = tokenizer.encode(texts[lo:hi], end)
-                for i in range(hi - lo):
+            names, lo = batch.column("doc_id").to_pylist(), 0
+            for texts in bytes_in_parts(batch.column("text")):
+                ids, bounds = tokenizer.encode(texts, end)
+                for i in range(len(texts)):
                     doc_ids.append(names[lo + i])
                     lengths.append(int(bounds[i + 1] - bounds[i]))
                     held.append(ids[bounds[i] : bounds[i + 1]])
@@ -98,6 +109,8 @@ def _blocks(path: str, end: int, block_ids: int):
                         yield close()
                         first, block = first + size, block + 1
                         doc_ids, lengths, held, size = [], [], [], 0
+                lo += len(texts)
+            give_back(keep="tokens")
         if doc_ids:
             yield close()
 

@@ -155,8 +155,9 @@ _encoders: dict[str, WordEncoder] = {}
 caches["tokens"] = _encoders.clear
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per process and file."""
+def encoder(path: str, limit: int = 600_000) -> WordEncoder:
+    """One per process and file; it remembers up to ``limit`` words from now on."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]
