@@ -50,18 +50,16 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
 
 def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts (text by bucket) and whether a text has a letter."""
-    joined = "\0".join((t or "").replace("\0", " ").lower() for t in texts)
+    joined = "".join("\0" + (t or "").replace("\0", " ").lower() for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     border = points == 0
-    row = np.cumsum(border)
+    row = np.cumsum(border) - 1
     letter = _is_letter()[points]
     has = np.zeros(len(texts), bool)
     has[row[letter]] = True
-    # Runs of other characters become one space, and each text begins and ends with one.
-    keep = letter.copy()
+    # Each text begins with a space, and runs of other characters after a letter become one.
+    keep = letter | border
     keep[1:] |= letter[:-1]
-    keep[:1] = True
-    keep |= border
     code = np.where(letter, points, 32).astype(np.uint64)[keep]
     row = row[keep]
     flat = np.zeros(len(texts) * BUCKETS, np.float64)

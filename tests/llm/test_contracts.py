@@ -299,11 +299,12 @@ def test_lookup_reads_few_blocks(spark):
     assert blocks.where("least <= 637 AND greatest >= 637").count() == 1 < blocks.count()
 
 
-@pytest.mark.parametrize("bits", [1, 7, 15, 16, 17, 31])
+@pytest.mark.parametrize("bits", [1, 7, 8, 15, 16, 17, 31, 32])
 def test_packed_bits_round_trip(bits):
     values = np.random.default_rng(bits).integers(0, 1 << bits, 1001).astype(np.uint32)
     data = token_files.pack(values, bits)
-    assert len(data) == -(-1001 * bits // 8)
+    flags = "".join(f"{int(v):0{bits}b}"[::-1] for v in values).ljust(-(-1001 * bits // 8) * 8, "0")
+    assert data == bytes(int(flags[i : i + 8][::-1], 2) for i in range(0, len(flags), 8))
     for start, count in ((0, 1001), (13, 5), (1000, 1), (400, 0)):
         assert (token_files.unpack(data, bits, start, count) == values[start : start + count]).all()
 
@@ -589,6 +590,59 @@ def test_exchange_raises_the_likelihood():
     assert gain == pytest.approx(max(trials) - start)
 
 
+def grams(text):
+    """Counts of buckets, n-gram by n-gram."""
+    out, codes, after = Counter(), [32], False
+    for c in (text or "").replace("\0", " ").lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif after:
+            codes.append(32)
+        after = c.isalpha()
+    for n in range(1, 4):
+        for i in range(len(codes) - n + 1):
+            value = 0
+            for c in codes[i : i + n]:
+                value = (value * 0x9E3779B97F4A7C15 + c) % 2**64
+            out[(value * (0xD1B54A32D192ED03 + 2 * (n - 1))) % 2**64 >> 52] += 1
+    return out
+
+
+def test_language_by_definition(documents):
+    """Weights over all learning texts, cosines to every centroid, rejection by its radius."""
+    model = language.fit(documents)
+    learning = [r for r in rows() if fold(r[0], 4) != 2 and r[2] is not None and r[1] is not None]
+    texts_with = Counter(b for r in learning for b in grams(r[1]))
+    idf = [math.log((1 + len(learning)) / (1 + texts_with[b])) + 1 for b in range(language.BUCKETS)]
+    assert np.allclose(model.idf, idf)
+    expected = []
+    for doc_id, text, *_ in rows():
+        x = np.zeros(language.BUCKETS)
+        for b, c in grams(text).items():
+            x[b] = (1 + math.log(c)) * idf[b]
+        cosines = model.centres @ (x / np.linalg.norm(x))
+        best = int(np.argmax(cosines))
+        if any(c.isalpha() for c in text or ""):
+            score = float(np.clip(cosines[best], 0, 1))
+            expected.append((doc_id, fold(doc_id, 4) == 2, model.languages[best], round(score, 9), score < model.radii[best]))
+        else:
+            expected.append((doc_id, fold(doc_id, 4) == 2, "und", 0.0, True))
+    found = language.predict(documents, model).collect()
+    close = Counter((r[0], r[1], r[2], round(r[3], 9)) for r in found)
+    assert close == Counter(e[:4] for e in expected)
+    # At the border of a radius, rounding decides.
+    far = {(e[0], e[4]) for e in expected if not any(abs(e[3] - r) < 1e-9 for r in model.radii)}
+    assert far <= {(r["doc_id"], r["rejected"]) for r in found}
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 7])
+def test_language_counts_do_not_depend_on_neighbours(cuts):
+    texts = [r[1] for r in rows()]
+    whole = language.counts(texts)[0]
+    parts = [language.counts(texts[i : i + cuts])[0] for i in range(0, len(texts), cuts)]
+    assert (np.concatenate(parts) == whole).all()
+
+
 def test_language(spark):
     from document_rows import prose
 
