@@ -27,7 +27,7 @@ from ledgerloom.operators import (
 )
 from ledgerloom.plans.bucketed import BucketedTables, copartitioned, save_tables
 from ledgerloom.plans.faults import Faulty, write_faulty
-from ledgerloom.plans.reporting import ReportStore
+from ledgerloom.plans.reporting import SORT_KEYS, ReportStore
 from ledgerloom.plans.sqlapi import create_sql
 from ledgerloom.plans.warehouse import Warehouse, build_warehouse, shared_folder, written
 from ledgerloom.sources import sinks
@@ -91,6 +91,22 @@ class Context:
         """The published tables with faults that the build itself never makes."""
         return write_faulty(self.store, f"{self.path}/faulty")
 
+    @cached_property
+    def exported(self) -> DataFrame:
+        """The segment report through its CSV export."""
+        name = "vw_segment_performance"
+        report = self.report(name)
+        sinks.export_csv({name: report}, f"{self.path}/export", SORT_KEYS)
+        reader = report.sparkSession.read.schema(report.schema).option("header", True)
+        return reader.csv(f"{self.path}/export/{name}")
+
+    @cached_property
+    def commentary_files(self) -> DataFrame:
+        """Lines of the commentary's text files, by quarter."""
+        sinks.write_commentary(self.store.commentary_lines(self.register), f"{self.path}/commentary")
+        files = self.warehouse.fact.sparkSession.read.text(f"{self.path}/commentary")
+        return files.select("reporting_quarter", F.col("value").alias("text"))
+
     def sql(self, statement: str) -> DataFrame:
         """A statement over the views and SQL functions of this folder's tables."""
         create_sql(self.store)
@@ -243,7 +259,7 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     ),
     "sql_movement": lambda c: c.sql("SELECT * FROM provision_movement(lgd => 0.45D, stage2_ltv => 90D, horizon => 8)"),
     "sql_stage2": lambda c: c.sql(
-        "SELECT ltv, period, stage2_share_pct FROM VALUES (80D), (100D) AS t(ltv), LATERAL stage2_share(ltv)"
+        "SELECT 80D AS ltv, * FROM stage2_share(80D) UNION ALL SELECT 100D, * FROM stage2_share()"
     ),
     "sql_movers": lambda c: c.sql("SELECT * FROM top_mover_default(min_active => 10L)"),
     "sql_segments": lambda c: c.sql(
@@ -258,6 +274,9 @@ QUERIES: dict[str, Callable[[Context], DataFrame]] = {
     "top_mover_default": lambda c: commentary.top_mover_default(c.report(SEGMENTS), c.spec),
     "stage2_share": lambda c: c.store.stage2_share(),
     "commentary_lines": lambda c: c.store.commentary_lines(c.register),
+    "commentary_files": lambda c: c.commentary_files,
+    # exports
+    "export_segments": lambda c: c.exported,
     # dashboard datasets
     "slicer_values": lambda c: insights.slicer_values(c.warehouse.dim),
     "headline_kpis": lambda c: insights.headline(c.report(SUMMARY), c.report(MOVEMENT)),

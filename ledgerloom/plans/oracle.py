@@ -733,6 +733,8 @@ BODIES = {
     "commentary_lines": """SELECT period, reporting_quarter,
   CAST(unnest(range(1, len(lines) + 1)) AS INTEGER) AS line_no, unnest(lines) AS text
   FROM pages""",
+    "commentary_files": "SELECT reporting_quarter, unnest(lines) AS text FROM pages",
+    "export_segments": "SELECT * FROM segments",
     "slicer_values": """SELECT DISTINCT 'origination_vintage' AS slicer,
   origination_vintage AS value FROM loan
   UNION ALL SELECT DISTINCT 'credit_score_band', credit_score_band FROM loan""",
