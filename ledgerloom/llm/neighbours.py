@@ -278,7 +278,9 @@ def _ranked(top: int):
                 out["query"].append(query)
                 out["reps"].append(reps[best])
                 out["scores"].append(row[best])
-        return pd.DataFrame(out)
+        # An empty list alone would become a column of doubles, which is no column of arrays.
+        kinds = {"query": "int64", "reps": object, "scores": object}
+        return pd.DataFrame({name: pd.Series(out[name], dtype=kinds[name]) for name in kinds})
 
     return run
 

@@ -449,6 +449,15 @@ def test_no_query_among_the_vectors(spark):
     assert neighbours.search(frame).count() == 0
 
 
+def test_neighbours_compare_chunks_without_queries(spark):
+    found = spark.createDataFrame(
+        [(i, [1.0, float(i)], [i]) for i in range(9)], "rep long, embedding array<double>, ids array<long>"
+    )
+    nobody = found.select("rep", "embedding").where("rep < 0")
+    assert neighbours._scanned(found, nobody, 2, 4).count() == 0
+    assert neighbours._scanned(nobody, found.select("rep", "embedding"), 2, 4).count() == 0
+
+
 def test_neighbours_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.search(none).count() == 0
