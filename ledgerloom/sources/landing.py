@@ -13,13 +13,15 @@ is reported, so one look at the rejected rows is enough to mend a source.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.sources.panel import verify_columns
-from ledgerloom.sources.sinks import counted
+from ledgerloom.sources.sinks import compilable, counted
 from ledgerloom.spec import PANEL_SCHEMA
 
 # Why a cell or a record is rejected.
@@ -31,6 +33,9 @@ REASONS = (MALFORMED, NOT_A_NUMBER, NOT_WHOLE, OUT_OF_RANGE)
 
 # Digits, point and exponent; names such as NaN and suffixes such as 5d are no numbers.
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+# What nearly all cells are: numbers that surely fit their type, for one match and one cast.
+_PLAIN_WHOLE = r"^ *[+-]?[0-9]{1,18} *\z"
+_PLAIN_NUMBER = r"^ *[+-]?[0-9]{1,18}(?:\.[0-9]*)?(?:[eE][+-]?[0-9]{1,2})? *\z"
 _RECORD, _PROBLEMS = "_record", "_problems"
 _PROBLEM = "array<struct<column_name: string, value: string, reason: string>>"
 
@@ -73,7 +78,8 @@ def land_csv(spark: SparkSession, path: str, folder: str) -> Landing:
     landed = judged(raw.withColumn("_file", F.input_file_name()))
     measures = {"rows_read": F.count("*"), "rows_rejected": F.count(_PROBLEMS)}
     measures |= {f"cells_{reason.replace(' ', '_')}": _cells(reason) for reason in REASONS}
-    table, counts = counted(landed, folder, measures)
+    with compilable(spark):
+        table, counts = counted(landed, folder, measures)
     return Landing(accepted(table), rejected(table), counts)
 
 
@@ -84,15 +90,20 @@ def read_landing(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def judged(raw: DataFrame) -> DataFrame:
-    """The panel's columns in their types, and what keeps a row from being used."""
-    values, problems = [], []
+    """The panel's columns in their types, and what keeps a row from being used.
+
+    A cell that a plain pattern and one cast settle costs no more; a cell's reason is
+    sought only in rows with a cell that has a text and no value.
+    """
+    names = PANEL_SCHEMA.names
+    values = {f"_value_{f.name}": _value(f) for f in PANEL_SCHEMA}
+    problems, suspects = [], []
     for field in PANEL_SCHEMA:
-        value, reason = _cell(field)
-        values.append(value.alias(field.name))
-        cell = F.struct(
-            F.lit(field.name).alias("column_name"), F.col(f"`{field.name}`").alias("value"), reason.alias("reason")
-        )
-        problems.append(F.when(reason.isNotNull(), cell))
+        text, reason = F.col(f"`{field.name}`"), _reason(field)
+        suspect = F.col(f"_value_{field.name}").isNull() & (F.trim(text) != "")
+        cell = F.struct(F.lit(field.name).alias("column_name"), text.alias("value"), reason.alias("reason"))
+        problems.append(F.when(suspect, F.when(reason.isNotNull(), cell)))
+        suspects.append(suspect)
     malformed = F.array(
         F.struct(
             F.lit(None).cast("string").alias("column_name"),
@@ -101,12 +112,14 @@ def judged(raw: DataFrame) -> DataFrame:
         )
     )
     found = F.filter(F.array(*problems), lambda p: p.isNotNull())
-    wrong = F.when(F.col(_RECORD).isNotNull(), malformed).when(F.size(found) > 0, found)
+    found = F.when(F.size(found) > 0, found)
+    wrong = F.when(F.col(_RECORD).isNotNull(), malformed).when(reduce(or_, suspects), found)
     is_wrong = F.col(_PROBLEMS).isNotNull()
     return (
-        raw.withColumn(_PROBLEMS, wrong.cast(_PROBLEM))
+        raw.withColumns(values)
+        .withColumn(_PROBLEMS, wrong.cast(_PROBLEM))
         .select(
-            *values,
+            *[F.col(f"_value_{c}").alias(c) for c in names],
             _PROBLEMS,
             # What a rejected row is found by in its source; nothing for the others.
             F.when(is_wrong, F.col("_file")).alias("_file"),
@@ -123,24 +136,37 @@ def _cells(reason: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col(_PROBLEMS).isNotNull(), cells)), F.lit(0))
 
 
-def _cell(field: T.StructField) -> tuple[Column, Column]:
-    """A cell's value, NULL if it has none, and the reason against it, NULL if it is good."""
-    text = F.nullif(F.trim(F.col(f"`{field.name}`")), F.lit(""))
-    number = F.when(text.rlike(_NUMBER), text)
-    unreadable = F.when(text.isNotNull() & number.isNull(), NOT_A_NUMBER)
+def _number(field: T.StructField) -> Column:
+    """A cell's text if it is a number, else NULL."""
+    text = F.trim(F.col(f"`{field.name}`"))
+    return F.when(text.rlike(_NUMBER), text)
+
+
+def _value(field: T.StructField) -> Column:
+    """A cell's value, NULL if it has none or is wrong."""
+    cell, number = F.col(f"`{field.name}`"), _number(field)
+    if field.dataType == T.LongType():
+        exact = number.try_cast("decimal(38,18)")
+        whole = exact.try_cast("long")
+        return F.when(cell.rlike(_PLAIN_WHOLE), cell.try_cast("long")).when(exact == whole, whole)
+    double = number.try_cast("double")
+    plain = F.when(cell.rlike(_PLAIN_NUMBER), cell.try_cast("double"))
+    return plain.when(F.abs(double) != F.lit(float("inf")), double)
+
+
+def _reason(field: T.StructField) -> Column:
+    """The reason against a cell that is not blank, NULL if it is good."""
+    number = _number(field)
+    unreadable = F.when(number.isNull(), NOT_A_NUMBER)
     if field.dataType == T.LongType():
         exact = number.try_cast("decimal(38,18)")
         whole = exact.try_cast("long")
-        # Shorter texts have no room for what a long cannot hold.
-        reason = (
-            unreadable.when(exact.isNull() & number.isNotNull(), OUT_OF_RANGE)
+        return (
+            unreadable.when(exact.isNull(), OUT_OF_RANGE)
             .when(exact != F.floor(exact), NOT_WHOLE)
-            .when(whole.isNull() & number.isNotNull(), OUT_OF_RANGE)
+            .when(whole.isNull(), OUT_OF_RANGE)
         )
-        return F.when(exact == whole, whole), reason
-    double = number.try_cast("double")
-    infinite = F.abs(double) == F.lit(float("inf"))
-    return F.when(~infinite, double), unreadable.when(infinite, OUT_OF_RANGE)
+    return unreadable.when(F.abs(number.try_cast("double")) == F.lit(float("inf")), OUT_OF_RANGE)
 
 
 def accepted(table: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -14,6 +15,29 @@ from ledgerloom.sources.versions import Versions
 REGISTER_KEYS = ("phase", "run_timestamp")
 
 
+# The JVM only interprets methods of more bytecode than this.
+_METHOD_LIMIT, _COMPILED = "spark.sql.codegen.hugeMethodLimit", "8000"
+
+
+@contextmanager
+def compilable(spark: SparkSession) -> Iterator[None]:
+    """Let wide projections run as methods that the JVM compiles.
+
+    By default Spark fuses steps into methods of up to 65535 bytes, and those beyond 8000
+    are interpreted, row by row. Plans are made when a job starts, so the jobs themselves
+    belong inside.
+    """
+    before = spark.conf.get(_METHOD_LIMIT, None)
+    spark.conf.set(_METHOD_LIMIT, _COMPILED)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_METHOD_LIMIT)
+        else:
+            spark.conf.set(_METHOD_LIMIT, before)
+
+
 def counted(
     df: DataFrame, path: str, measures: Mapping[str, Column] | None = None
 ) -> tuple[DataFrame, dict[str, int]]:

@@ -5,6 +5,7 @@ import os
 
 import pytest
 from panel_rows import DEFAULTS, rows_of
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import quality
 from ledgerloom.plans.cycle import run_cycle
@@ -122,6 +123,53 @@ def test_sources_that_cannot_be_named_are_errors(spark, tmp_path):
         landing.land_csv(spark, mixed, f"{tmp_path}/out2")
 
 
+@pytest.mark.parametrize(
+    ("column", "text", "value"),
+    [
+        ("time", "999999999999999999", 10**18 - 1),
+        ("time", "0000000000000000000007", 7),
+        ("time", "-1000000000000000000", -(10**18)),
+        ("time", " -12 ", -12),
+        ("balance_time", " 1.25e-99 ", 1.25e-99),
+        ("balance_time", "123456789012345678901234567890", 123456789012345678901234567890.0),
+        ("balance_time", "1e308", 1e308),
+        ("balance_time", "7.", 7.0),
+    ],
+)
+def test_cells_beyond_the_plain_patterns(spark, tmp_path, column, text, value):
+    landed = landing.land_csv(spark, write_csv(tmp_path / "in", {column: text}), f"{tmp_path}/out")
+    assert rows_of(landed.accepted) == [{**DEFAULTS, column: value}] and problems(landed) == []
+
+
+@pytest.mark.parametrize("text", ["\t5", "5\t", "5 x", "+", "1e", "5L"])
+def test_cells_that_only_a_cast_would_take(spark, tmp_path, text):
+    for column in ("time", "balance_time"):
+        source = write_csv(tmp_path / column, {"id": 2, column: text})
+        landed = landing.land_csv(spark, source, f"{tmp_path}/out-{column}")
+        assert problems(landed) == [("2", column, text, landing.NOT_A_NUMBER)]
+
+
+def test_reasons_are_sought_only_for_cells_without_a_value(spark):
+    raw = spark.range(1).select(*[F.lit("1").alias(c) for c in [*NAMES, "_record", "_file"]])
+    plan = landing.judged(raw)._jdf.queryExecution().analyzed().toString()
+    problems_line = next(x for x in plan.splitlines() if "filter(array(" in x)
+    guards = [f"WHEN (isnull(_value_{c}#" for c in NAMES]
+    assert all(guard in problems_line for guard in guards)
+
+
+def test_the_landing_runs_as_compiled_methods(spark, tmp_path, monkeypatch):
+    limits = []
+
+    def noted(*args):
+        limits.append(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+        return sinks.counted(*args)
+
+    monkeypatch.setattr(landing, "counted", noted)
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    landing.land_csv(spark, write_csv(tmp_path / "in", {"id": 1}), f"{tmp_path}/out")
+    assert limits == ["8000"] and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
 def test_an_empty_source(spark, tmp_path):
     landed = landing.land_csv(spark, write_csv(tmp_path / "in"), f"{tmp_path}/out")
     assert landed.accepted.count() == landed.rejected.count() == 0
