@@ -13,6 +13,10 @@ from ledgerloom.operators import prepare, quality
 from ledgerloom.sources.sinks import counted
 from ledgerloom.spec import PanelSpec
 
+# Panel rows of one task of the fact. A window and a sort hold a task's rows, some 0.5 KB
+# each, in memory or spill them.
+TASK_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Warehouse:
@@ -70,10 +74,15 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
     dim = write(
         "dim_loan", prepare.dim_rows(prepare.entity_attributes(panel), spec), quality.dim_measures()
     )
-    linked = prepare.linked_rows(prepare.dedupe(panel))
+    # Tasks by rows, both sides alike: sizes in bytes tell little, since rows of one entity
+    # shrink to a fraction when they are shuffled and are whole again where they are sorted.
+    cores = panel.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-counts["dim_loan"]["placed"] // TASK_ROWS))
+    linked = prepare.linked_rows(prepare.dedupe(panel).repartition(parts, "loan_id"))
+    entities = dim.repartition(parts, "loan_id")
     # Sorted by period within each file, without a shuffle, so that a filter on the
     # period skips most of a file.
-    fact_rows = prepare.fact_rows(linked, dim, macro, spec).sortWithinPartitions("period")
+    fact_rows = prepare.fact_rows(linked, entities, macro, spec).sortWithinPartitions("period")
     fact = write("fact_loan_quarter", fact_rows, quality.fact_measures(spec))
     event = write("fact_credit_event", prepare.event_rows(fact))
     periods = write("dim_date", prepare.period_rows(fact, spec))

@@ -8,7 +8,7 @@ import pytest
 from panel_rows import rows_of
 from pyspark.sql import functions as F
 
-from ledgerloom.plans import reporting
+from ledgerloom.plans import reporting, warehouse
 from ledgerloom.plans.warehouse import build_warehouse, lazy_warehouse, shared_folder
 from ledgerloom.sources import sinks
 from ledgerloom.sources.panel import read_csv
@@ -104,3 +104,14 @@ def test_shared_folder_follows_the_session(spark):
     assert folder != shared_folder(spark)
     if configured:
         assert os.path.dirname(folder) == configured.rstrip("/")
+
+
+def test_tasks_of_the_fact_go_by_rows(spark, make_panel, tmp_path, monkeypatch):
+    """However small the rows are in a shuffle, a task gets no more of them."""
+    panel = make_panel(*[{"id": i, "time": t} for i in range(60) for t in (1, 2, 4)])
+    lazy = lazy_warehouse(panel, PanelSpec()).fact
+    monkeypatch.setattr(warehouse, "TASK_ROWS", 15)
+    fact = build_warehouse(panel, PanelSpec(), f"{tmp_path}/w").fact
+    sizes = [r["count"] for r in fact.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 6 and max(sizes) < 120 and sum(sizes) == 240
+    assert fact.exceptAll(lazy).count() == lazy.exceptAll(fact).count() == 0
