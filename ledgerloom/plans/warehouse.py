@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import prepare, quality
-from ledgerloom.sources.sinks import counted
+from ledgerloom.sources.sinks import COMPRESSION, counted
 from ledgerloom.spec import PanelSpec
 
 # Panel rows of one task of the fact. A window and a sort hold a task's rows, some 0.5 KB
@@ -91,7 +91,7 @@ def build_warehouse(panel: DataFrame, spec: PanelSpec, path: str) -> Warehouse:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a parquet table at ``path``."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=COMPRESSION)
     # The schema is known, so reading back needs no footer inference job.
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

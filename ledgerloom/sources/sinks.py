@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.quality import REGISTER_SCHEMA
 from ledgerloom.sources.versions import Versions
 
+# Working tables are written once and read a few times; zstd makes them smaller than snappy.
+COMPRESSION = "zstd"
 REGISTER_KEYS = ("phase", "run_timestamp")
 
 
@@ -52,7 +54,7 @@ def counted(
     wanted = {"rows": F.count("*"), **(measures or {})}
     seen = Observation()
     watched = df.observe(seen, *[column.alias(name) for name, column in wanted.items()])
-    watched.write.mode("overwrite").parquet(path)
+    watched.write.mode("overwrite").parquet(path, compression=COMPRESSION)
     # A plan that Spark knows to be empty runs without the observation.
     found = {name: seen.get.get(name) or 0 for name in wanted}
     # The schema is known, so reading back needs no footer inference job.

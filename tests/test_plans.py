@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from panel_rows import SMALL
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import migration, portfolio, prepare, profiling, provision, quality
@@ -179,6 +180,13 @@ def test_one_entity_with_a_third_of_all_rows(spark, make_panel):
     assert kept.count() == 40_000 + 5
 
 
+def test_quarters_and_not_times_are_shuffled(spark):
+    from ledgerloom.sources.derived import shipped_rows
+
+    text = shipped_rows(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join Inner") < text.index("year(")
+
+
 def test_hot_customer_is_split_in_the_panel_join(spark, tmp_path):
     """One customer with a third of the rows: adaptive execution splits its join."""
     from ledgerloom.plans.warehouse import written

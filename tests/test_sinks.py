@@ -115,3 +115,10 @@ def test_tasks_of_the_fact_go_by_rows(spark, make_panel, tmp_path, monkeypatch):
     sizes = [r["count"] for r in fact.groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) > 6 and max(sizes) < 120 and sum(sizes) == 240
     assert fact.exceptAll(lazy).count() == lazy.exceptAll(fact).count() == 0
+
+
+def test_working_tables_are_compressed_well(spark, make_panel, tmp_path):
+    built = build_warehouse(make_panel({}), PanelSpec(), f"{tmp_path}/w")
+    rows = warehouse.written(spark.range(3), f"{tmp_path}/rows")
+    for table in (built.dim, built.fact, rows):
+        assert all(name.endswith(".zstd.parquet") for name in table.inputFiles())
